@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trackloom.operators import values
 from trackloom.operators.intervals import CHR, END, KEY, START, VALUE, length
-from trackloom.operators.nodes import NODE, spread, top_level
+from trackloom.operators.nodes import NODE, node_join, spread, top_level
 from trackloom.operators.scans import TILE, following, tile_of
 
 
@@ -88,7 +88,7 @@ def discretize(df: DataFrame, vd: str | None = None, vm: str = values.EACH) -> D
     partial = values.partial_fold(vd, F.col(VALUE)) if vd else {"_n": F.count(F.lit(1))}
     nodes = covers.groupBy(CHR, NODE).agg(*[c.alias(n) for n, c in partial.items()])
     cells = spread(segments(df), top, point=F.col(START))
-    found = cells.join(nodes, [CHR, NODE])
+    found = node_join(cells, nodes)
     merged = values.merge_fold(vd) if vd else {"_n": F.sum("_n")}
     out = found.groupBy(*KEY).agg(*[c.alias(n) for n, c in merged.items()])
     if vd is None:

@@ -18,10 +18,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.operators.intervals import END, START
+from trackloom.operators.intervals import CHR, END, START
 
 NODE = "_node"
-_LEVEL = "_level"
+_LEVEL, _SLOT = "_level", "_slot"
 
 
 def _shift_right(value: Column, bits: Column) -> Column:
@@ -61,35 +61,48 @@ def spread(
     """One row per node: the cover of ``[lo, hi]`` and / or the ancestors of a position.
 
     ``role`` keeps two different containment questions apart in the same join.
-    Everything here is built-in expressions, so both generators stay in
-    whole-stage code.
+    The only generator runs over slot numbers; which node a slot stands for, if
+    any, is plain arithmetic on longs, so all of it stays in one code span.
     """
-    leveled = df.withColumn(_LEVEL, F.explode(F.sequence(F.lit(0), top)))
-    level = F.col(_LEVEL)
+    slots = (1 if point is not None else 0) + (6 if cover is not None else 0)
+    numbered = df.withColumn(_SLOT, F.explode(F.sequence(F.lit(0), (top + 1) * slots - 1)))
+    level = F.floor(F.col(_SLOT) / slots).cast("int")
+    which = F.col(_SLOT) % slots
+    leveled = numbered.withColumns({_LEVEL: level, _SLOT: which})
+    level, which = F.col(_LEVEL), F.col(_SLOT)
     bits = level * 2
-    slots: list[Column] = []
-    if point is not None:
-        slots.append(_node(_shift_right(point, bits), level, point_role))
+    node = None
     if cover is not None:
         lo, hi = cover
         size = F.call_function("shiftleft", F.lit(1).cast("bigint"), bits)
+        four = F.lit(-4).cast("bigint")
         # Complete blocks of this level inside [lo, hi]: first, first + 1, .., last - 1.
+        # The middle of that run, up .. down - 1, is made of blocks of the next level.
         leveled = leveled.withColumns({
             "_first": _shift_right(lo + size - 1, bits),
             "_last": _shift_right(hi + 1, bits),
-        }).withColumns({
-            # The part of that run made of complete blocks of the next level.
-            "_up": (F.col("_first") + 3).bitwiseAND(F.lit(-4).cast("bigint")),
-            "_down": F.col("_last").bitwiseAND(F.lit(-4).cast("bigint")),
         })
-        first, last, up, down = (F.col(c) for c in ("_first", "_last", "_up", "_down"))
-        for i in range(3):
-            left = first + i
-            slots.append(F.when(left < F.least(up, last), _node(left, level, cover_role)))
-        for i in range(3):
-            right = down + i
-            slots.append(F.when((up <= down) & (right < last), _node(right, level, cover_role)))
-    out = leveled.withColumn(NODE, F.explode(F.array(*slots)))
+        first, last = F.col("_first"), F.col("_last")
+        up, down = (first + 3).bitwiseAND(four), last.bitwiseAND(four)
+        left, right = first + which, down + (which - 3)
+        # Slots 0 to 2 lie before the middle, slots 3 to 5 after it.
+        node = F.when(which < 3, F.when(left < F.least(up, last), _node(left, level, cover_role)))
+        node = node.when(which < 6, F.when(
+            (up <= down) & (right < last), _node(right, level, cover_role)))
+    if point is not None:
+        ancestor = _node(_shift_right(point, bits), level, point_role)
+        node = ancestor if node is None else node.otherwise(ancestor)
+    out = leveled.withColumn(NODE, node)
     if cover is not None:
         out = out.filter(F.col(NODE).isNotNull())
-    return out.drop(_LEVEL, "_first", "_last", "_up", "_down")
+    return out.drop(_LEVEL, _SLOT, "_first", "_last")
+
+
+def node_join(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Join two spread tables on ``(chr, node)``.
+
+    Size estimates do not see the rows :func:`spread` adds, so a broadcast
+    planned from them would be unchecked: ask for a shuffled join, which the
+    adaptive planner can split where a node is hot.
+    """
+    return left.join(right.hint("merge"), [CHR, NODE])

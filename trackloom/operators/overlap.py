@@ -12,7 +12,7 @@ from trackloom.operators.intervals import (
     CHR, END, KEY, LOCATION, START, VALUE, Interval, distance, length, overlap_length,
 )
 from trackloom.operators.merge import coalesce_track
-from trackloom.operators.nodes import NODE, spread, top_level
+from trackloom.operators.nodes import NODE, node_join, spread, top_level
 from trackloom.operators.scans import following
 
 
@@ -26,7 +26,9 @@ def shared(prefix: str) -> Interval:
     return Interval(F.col(CHR), F.col(prefix + START), F.col(prefix + END))
 
 
-def overlap_join(a: DataFrame, b: DataFrame, reach: int = 0) -> DataFrame:
+def overlap_join(
+    a: DataFrame, b: DataFrame, reach: int = 0, broadcast_rows: int = 0
+) -> DataFrame:
     """All pairs of overlapping intervals: ``chr``, ``a_*`` and ``b_*`` columns.
 
     Two intervals overlap when either b starts inside a, or a starts inside b
@@ -34,7 +36,11 @@ def overlap_join(a: DataFrame, b: DataFrame, reach: int = 0) -> DataFrame:
     questions, answered together by one equi-join on ``(chr, node)`` that
     produces result pairs only. ``reach`` widens a on both sides, which finds
     the pairs at distance ``reach`` or less.
+
+    With ``broadcast_rows`` the rows of b are counted (up to that many), and a b
+    that is within the bound is broadcast, which spares shuffling a large a.
     """
+    few = broadcast_rows > 0 and b.limit(broadcast_rows + 1).count() <= broadcast_rows
     top = top_level(a, b)
     if reach:
         # Widening adds 2 * reach to a length: log4 grows by at most that many levels.
@@ -45,7 +51,9 @@ def overlap_join(a: DataFrame, b: DataFrame, reach: int = 0) -> DataFrame:
     left = spread(left, top, cover=(lo, hi), cover_role=0, point=lo, point_role=1)
     right = spread(right, top, cover=(F.col("b_" + START) + 1, F.col("b_" + END)), cover_role=1,
                    point=F.col("b_" + START), point_role=0)
-    return left.join(right, [CHR, NODE]).drop(NODE)
+    if few:
+        return left.join(F.broadcast(right), [CHR, NODE]).drop(NODE)
+    return node_join(left, right).drop(NODE)
 
 
 def location_join(a: DataFrame, b: DataFrame, predicate: str) -> DataFrame:

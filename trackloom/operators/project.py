@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trackloom.operators import values
 from trackloom.operators.intervals import CHR, END, KEY, START, VALUE, length, overlap_length
-from trackloom.operators.nodes import NODE, spread, top_level
+from trackloom.operators.nodes import NODE, node_join, spread, top_level
 from trackloom.operators.overlap import overlap_join, shared
 
 # Bins are generated in blocks of this many, so that no task makes a whole chromosome.
@@ -20,6 +20,7 @@ def project_on(
     vd: str = "avg",
     vm: str = values.EACH,
     metadata: bool = False,
+    broadcast_rows: int = 0,
 ) -> DataFrame:
     """The value of ``source`` over every distinct interval of ``target``.
 
@@ -28,7 +29,8 @@ def project_on(
     the target under ``total``. Targets that nothing overlaps get 0. With
     ``metadata`` every target row comes back with its own columns.
 
-    Copies of the same source interval are folded before the join.
+    Copies of the same source interval are folded before the join. For
+    ``broadcast_rows`` see :func:`overlap_join`.
     """
     values.check(vd, vm, values.FOLDED)
     weighted = vd == "avg" and vm == values.EACH
@@ -37,7 +39,7 @@ def project_on(
     distinct_source = source.groupBy(*KEY).agg(*[c.alias(n) for n, c in partial.items()])
     targets = target.select(*KEY).distinct()
 
-    pairs = overlap_join(distinct_source, targets)
+    pairs = overlap_join(distinct_source, targets, broadcast_rows=broadcast_rows)
     a, b = shared("a_"), shared("b_")
     if weighted:
         share = overlap_length(a, b)
@@ -130,8 +132,7 @@ def project_bins(
     top = top_level(inner, start="_lo", end="_hi")
     nodes = spread(inner, top, cover=(F.col("_lo"), F.col("_hi"))).groupBy(CHR, NODE).agg(
         F.sum("_d").alias("_d"))
-    spans = spread(cells.select(CHR, "bin"), top, point=F.col("bin")).join(
-        nodes, [CHR, NODE]).groupBy(CHR, "bin").agg((F.sum("_d") * width).alias("_spans"))
+    spans = node_join(spread(cells.select(CHR, "bin"), top, point=F.col("bin")), nodes).groupBy(CHR, "bin").agg((F.sum("_d") * width).alias("_spans"))
 
     total = F.coalesce(F.col("_edges"), F.lit(0.0)) + F.coalesce(F.col("_spans"), F.lit(0.0))
     if vm == values.EACH:
