@@ -1,0 +1,93 @@
+"""Window functions for partitions too large for one task.
+
+``Window.partitionBy(k)`` sends every row of a key to one task. Here rows are
+range-partitioned by key and order, so a hot key fills several partitions. The
+partition number becomes the tile of the two-level scan in ``scans``: work in
+each tile, then carry one row per (key, tile). The tiles are cut by sampling,
+so the partitioned rows are checkpointed once to the shared folder and every
+later read, also after the loss of an executor, sees the same cut.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from trackloom.operators.scans import TILE, scan
+from trackloom.session import checkpoint_folder
+
+
+def cut_in_tiles(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Rows with a ``_tile`` number that rises with (keys, order)."""
+    spark = df.sparkSession
+    checkpoint_folder(spark)
+    tiles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(tiles, *keys, *order)
+    return ranged.withColumn(TILE, F.spark_partition_id()).checkpoint()
+
+
+def running_folds(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    outputs: dict[str, tuple[str, Column]],
+) -> DataFrame:
+    """Folds over ``ROWS UNBOUNDED PRECEDING .. CURRENT ROW``; ``order`` must be total."""
+    return scan(cut_in_tiles(df, keys, order), keys, order, outputs, inclusive=True)
+
+
+def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "row_number") -> DataFrame:
+    return running_folds(df, keys, order, {name: ("sum", F.lit(1))})
+
+
+def ranks(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """Add ``rank``, ``dense_rank``, ``percent_rank`` and ``cume_dist``.
+
+    Ties are counted map-side first, so they never gather in one task; the
+    ranked distinct values are joined back on (keys, order).
+    """
+    keys = list(keys)
+    counted = df.groupBy(*keys, order).agg(F.count(F.lit(1)).alias("_n"))
+    upto = running_folds(counted, keys, [order], {
+        "_upto": ("sum", F.col("_n")), "dense_rank": ("sum", F.lit(1))})
+    totals = upto.groupBy(*keys).agg(F.max("_upto").alias("_total"))
+    rank = F.col("_upto") - F.col("_n") + 1
+    ranked = upto.join(totals, keys).select(
+        *keys, order, rank.alias("rank"), "dense_rank",
+        F.when(F.col("_total") > 1, (rank - 1) / (F.col("_total") - 1)).otherwise(0.0).alias("percent_rank"),
+        (F.col("_upto") / F.col("_total")).alias("cume_dist"))
+    on = [df[k].eqNullSafe(ranked[k]) for k in (*keys, order)]
+    extra = ["rank", "dense_rank", "percent_rank", "cume_dist"]
+    return df.join(ranked, on).select(*[df[c] for c in df.columns], *extra)
+
+
+def ntiles(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
+    """Add ``ntile``: n parts whose sizes differ by one at most, larger ones first."""
+    keys = list(keys)
+    numbered = row_numbers(df, keys, order, "_rn")
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
+    at, total = F.col("_rn") - 1, F.col("_total")
+    small = F.floor(total / n)
+    large_rows = (total % n) * (small + 1)
+    part = F.when(at < large_rows, F.floor(at / (small + 1))).otherwise(
+        (total % n) + F.floor((at - large_rows) / F.greatest(small, F.lit(1))))
+    return numbered.join(sizes, keys).withColumn("ntile", (part + 1).cast("int")).drop("_rn", "_total")
+
+
+def shifted(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, tuple[str, int]]
+) -> DataFrame:
+    """Add ``lag`` (offset > 0) and ``lead`` (offset < 0) columns.
+
+    Rows are numbered once and meet their neighbour in an equi-join on
+    (keys, number), so the offset may reach across tiles.
+    """
+    keys = list(keys)
+    numbered = row_numbers(df, keys, order, "_rn")
+    out = numbered
+    for name, (column, offset) in values.items():
+        other = numbered.select(*keys, (F.col("_rn") + offset).alias("_rn"), F.col(column).alias(name))
+        out = out.join(other, [*keys, "_rn"], "left")
+    return out.drop("_rn")

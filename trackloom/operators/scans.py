@@ -11,7 +11,7 @@ the carry is joined back on ``(chr, tile)``.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,49 +30,63 @@ def _combine_sum(inner: Column, carry: Column) -> Column:
     return F.coalesce(inner, F.lit(0)) + F.coalesce(carry, F.lit(0))
 
 
-_FOLDS: dict[str, tuple[Callable, Callable]] = {
+FOLDS: dict[str, tuple[Callable, Callable]] = {
     "sum": (F.sum, _combine_sum),
     "max": (F.max, F.greatest),
     "min": (F.min, F.least),
 }
 
 
-def running(
-    df: DataFrame,
-    position: str,
+def scan(
+    tiled: DataFrame,
+    by: Sequence[str],
+    order: Sequence[str],
     outputs: dict[str, tuple[str, Column]],
     backward: bool = False,
     inclusive: bool = False,
 ) -> DataFrame:
-    """Running folds along each chromosome, ``outputs[name] = (fold, input)``.
+    """Running folds over rows that carry a ``_tile`` number rising with the order.
 
-    ``df`` must be unique per ``(chr, position)``. The fold covers the rows
-    before the current one, or after it when ``backward``.
+    ``outputs[name] = (fold, input)``. Without ``inclusive`` a row sees the rows
+    before it, or after it when ``backward``.
     """
-    tiled = df.withColumn(TILE, tile_of(F.col(position)))
-    for name, (_, value) in outputs.items():
-        tiled = tiled.withColumn(f"_v_{name}", value)
-    order = F.col(position).desc() if backward else F.col(position).asc()
-    tile_order = F.col(TILE).desc() if backward else F.col(TILE).asc()
-    inside = Window.partitionBy(CHR, TILE).orderBy(order).rowsBetween(
+    columns = [c for c in tiled.columns if c != TILE]
+    by = list(by)
+    marked = tiled.withColumns({f"_v_{n}": value for n, (_, value) in outputs.items()})
+
+    def directed(c: str) -> Column:
+        return F.col(c).desc() if backward else F.col(c).asc()
+
+    inside = Window.partitionBy(*by, TILE).orderBy(*[directed(c) for c in order]).rowsBetween(
         Window.unboundedPreceding, 0 if inclusive else -1)
-    before = Window.partitionBy(CHR).orderBy(tile_order).rowsBetween(
+    before = Window.partitionBy(*by).orderBy(directed(TILE)).rowsBetween(
         Window.unboundedPreceding, -1)
-
-    rows = tiled.withColumns({
-        f"_i_{n}": _FOLDS[fold][0](F.col(f"_v_{n}")).over(inside)
+    rows = marked.withColumns({
+        f"_i_{n}": FOLDS[fold][0](F.col(f"_v_{n}")).over(inside)
         for n, (fold, _) in outputs.items()})
-    tiles = tiled.groupBy(CHR, TILE).agg(*[
-        _FOLDS[fold][0](F.col(f"_v_{n}")).alias(f"_s_{n}") for n, (fold, _) in outputs.items()])
-    carries = tiles.select(CHR, TILE, *[
-        _FOLDS[fold][0](F.col(f"_s_{n}")).over(before).alias(f"_c_{n}")
+    tiles = marked.groupBy(*by, TILE).agg(*[
+        FOLDS[fold][0](F.col(f"_v_{n}")).alias(f"_s_{n}") for n, (fold, _) in outputs.items()])
+    carries = tiles.select(*by, TILE, *[
+        FOLDS[fold][0](F.col(f"_s_{n}")).over(before).alias(f"_c_{n}")
         for n, (fold, _) in outputs.items()])
-    joined = rows.join(carries, [CHR, TILE])
-    return joined.select(*df.columns, *[
-        _FOLDS[fold][1](F.col(f"_i_{n}"), F.col(f"_c_{n}")).alias(n)
+    return rows.join(carries, [*by, TILE]).select(*columns, *[
+        FOLDS[fold][1](F.col(f"_i_{n}"), F.col(f"_c_{n}")).alias(n)
         for n, (fold, _) in outputs.items()])
 
 
+def running(
+    df: DataFrame,
+    position: str,
+    outputs: dict[str, tuple[str, Column]],
+    backward: bool = False,
+    inclusive: bool = False,
+    by: Sequence[str] = (CHR,),
+) -> DataFrame:
+    """:func:`scan` over whole-number positions, ``df`` being unique per (by, position)."""
+    tiled = df.withColumn(TILE, tile_of(F.col(position)))
+    return scan(tiled, by, [position], outputs, backward, inclusive)
+
+
 def following(df: DataFrame, position: str, output: str) -> DataFrame:
     """Add the next larger position on the same chromosome (NULL on the last row)."""
     tiled = df.withColumn(TILE, tile_of(F.col(position)))

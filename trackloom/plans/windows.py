@@ -1,3 +1,118 @@
-from trackloom.plans.registry import Query
+"""Window functions, plain and for partitions too large for one task."""
 
-QUERIES: dict[str, Query] = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from trackloom.operators import ordered
+from trackloom.plans.registry import Query, query, same_sql
+
+# A total order within a customer, so that every function is determined.
+_W = "PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey"
+_PLACED = "FROM {orders} "
+
+
+def _single(text: str) -> str:
+    return f"CAST(CAST({text} AS FLOAT) AS DOUBLE)"
+
+
+QUERIES: dict[str, Query] = {
+    "window_row_number": same_sql(
+        f"SELECT o_custkey, o_orderkey, row_number() OVER ({_W}) AS rn {_PLACED}"),
+    "window_ranks": same_sql(
+        "SELECT p_brand, p_partkey, rank() OVER w AS r, dense_rank() OVER w AS dr, "
+        "percent_rank() OVER w AS pr, cume_dist() OVER w AS cd FROM {part} "
+        "WINDOW w AS (PARTITION BY p_brand ORDER BY p_size)"),
+    "window_ntile": same_sql(
+        f"SELECT o_custkey, o_orderkey, ntile(4) OVER ({_W}) AS part {_PLACED}"),
+    "window_lead_lag": same_sql(
+        f"SELECT o_custkey, o_orderkey, lag(o_orderkey) OVER ({_W}) AS prev, "
+        f"lead(o_orderkey, 2) OVER ({_W}) AS next2, lag(o_orderkey, 1, CAST(-1 AS BIGINT)) OVER ({_W}) AS prev_or "
+        f"{_PLACED}"),
+    "window_first_last": same_sql(
+        f"SELECT o_custkey, o_orderkey, first_value(o_orderkey) OVER ({_W}) AS f, "
+        f"last_value(o_orderkey) OVER ({_W}) AS l {_PLACED}"),
+    "window_first_last_skip_nulls": query(
+        lambda t: t.sql(
+            "SELECT o_custkey, o_orderkey, first_value(k, true) OVER w AS f, last_value(k, true) OVER w AS l FROM "
+            "(SELECT *, CASE WHEN o_orderstatus = 'F' THEN o_orderkey END AS k FROM {orders}) "
+            f"WINDOW w AS ({_W})"),
+        "SELECT o_custkey, o_orderkey, first_value(k IGNORE NULLS) OVER w AS f, "
+        "last_value(k IGNORE NULLS) OVER w AS l FROM "
+        "(SELECT *, CASE WHEN o_orderstatus = 'F' THEN o_orderkey END AS k FROM orders) "
+        f"WINDOW w AS ({_W})"),
+    "window_rows_frames": same_sql(
+        f"SELECT o_custkey, o_orderkey, CAST(sum(o_orderkey) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS run, "
+        f"count(*) OVER ({_W} ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS c, "
+        f"max(o_orderkey) OVER ({_W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS m {_PLACED}"),
+    "window_range_frame": same_sql(
+        "SELECT p_partkey, count(*) OVER (PARTITION BY p_brand ORDER BY p_size RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS near, "
+        "min(p_partkey) OVER (PARTITION BY p_brand ORDER BY p_size RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lo "
+        "FROM {part}"),
+    "window_default_frame": same_sql(
+        "SELECT p_partkey, CAST(sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_size) AS BIGINT) AS s FROM {part}"),
+    "window_whole_partition": same_sql(
+        "SELECT s_suppkey, count(*) OVER (PARTITION BY s_nationkey) AS n, "
+        "max(s_acctbal) OVER (PARTITION BY s_nationkey) AS m FROM {supplier}"),
+    "window_several_partitionings": same_sql(
+        "SELECT c_custkey, rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS by_nation, "
+        "rank() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS by_segment FROM {customer}"),
+    "window_named_inherited": query(
+        lambda t: t.sql(
+            f"SELECT o_custkey, o_orderkey, count(*) OVER (w ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS c, "
+            f"min(o_orderkey) OVER w AS m {_PLACED} WINDOW w AS ({_W})".replace(
+                "(w ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)",
+                f"({_W} ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)")),
+        f"SELECT o_custkey, o_orderkey, count(*) OVER (w ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS c, "
+        f"min(o_orderkey) OVER w AS m FROM orders WINDOW w AS ({_W})"),
+    "window_aggregates_of_lag": same_sql(
+        "SELECT o_custkey, o_orderkey, CAST(sum(step) OVER (PARTITION BY o_custkey ORDER BY o_orderkey "
+        "ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS BIGINT) AS s FROM (SELECT *, o_orderkey - "
+        "lag(o_orderkey, 1) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS step FROM {orders})"),
+    "window_over_expression": same_sql(
+        "SELECT s_suppkey, rank() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) "
+        "+ dense_rank() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS r FROM {supplier}"),
+    "window_statistics": same_sql(
+        f"SELECT p_partkey, {_single('avg(p_retailprice) OVER (PARTITION BY p_brand)')} AS a, "
+        f"{_single('stddev_pop(p_retailprice) OVER (PARTITION BY p_brand)')} AS s FROM " "{part}"),
+    "window_over_aggregate": same_sql(
+        "SELECT c_nationkey, c_mktsegment, n, rank() OVER (PARTITION BY c_nationkey ORDER BY n DESC, c_mktsegment) AS r "
+        "FROM (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM {customer} GROUP BY c_nationkey, c_mktsegment)"),
+    "window_top_per_group": same_sql(
+        "SELECT * FROM (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey "
+        "ORDER BY c_acctbal DESC, c_custkey) AS rn FROM {customer}) WHERE rn <= 3"),
+    "window_chained_table_functions": same_sql(
+        "SELECT p_brand, p_partkey, r, CAST(sum(r) OVER (PARTITION BY p_brand ORDER BY p_name, p_partkey) AS BIGINT) AS s FROM ("
+        "SELECT *, rank() OVER (PARTITION BY p_brand ORDER BY p_name, p_partkey) AS r FROM {part})"),
+    # Partitions of a fifth of the table or more: a few keys, cut in range tiles.
+    "window_large_row_number": query(
+        lambda t: ordered.row_numbers(
+            t.events.select("event_type", "user_id", "event_id"), ["event_type"], ["user_id", "event_id"]),
+        "SELECT event_type, user_id, event_id, row_number() OVER (PARTITION BY event_type "
+        "ORDER BY user_id, event_id) AS row_number FROM events"),
+    "window_large_ranks": query(
+        lambda t: ordered.ranks(t.events.select("event_type", "user_id", "event_id"), ["event_type"], "user_id"),
+        "SELECT event_type, user_id, event_id, rank() OVER w AS rank, dense_rank() OVER w AS dense_rank, "
+        "percent_rank() OVER w AS percent_rank, cume_dist() OVER w AS cume_dist FROM events "
+        "WINDOW w AS (PARTITION BY event_type ORDER BY user_id)"),
+    "window_large_ntile": query(
+        lambda t: ordered.ntiles(t.events.select("event_type", "event_id"), ["event_type"], ["event_id"], 7),
+        "SELECT event_type, event_id, ntile(7) OVER (PARTITION BY event_type ORDER BY event_id) AS ntile FROM events"),
+    "window_large_lead_lag": query(
+        lambda t: ordered.shifted(
+            t.events.select("event_type", "event_id", "user_id"), ["event_type"], ["event_id"],
+            {"before": ("user_id", 1), "after": ("user_id", -2)}),
+        "SELECT event_type, event_id, user_id, lag(user_id) OVER w AS before, lead(user_id, 2) OVER w AS after "
+        "FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id)"),
+    "window_large_running": query(
+        lambda t: ordered.running_folds(
+            t.lineitem.select("l_returnflag", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                              "l_extendedprice"),
+            ["l_returnflag"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"],
+            {"total": ("sum", F.col("l_partkey")), "top": ("max", F.col("l_extendedprice")),
+             "low": ("min", F.col("l_suppkey"))}),
+        "SELECT l_returnflag, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, "
+        "CAST(sum(l_partkey) OVER w AS BIGINT) AS total, max(l_extendedprice) OVER w AS top, "
+        "min(l_suppkey) OVER w AS low FROM lineitem WINDOW w AS (PARTITION BY l_returnflag ORDER BY "
+        "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS UNBOUNDED PRECEDING)"),
+}
