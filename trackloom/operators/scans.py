@@ -44,13 +44,14 @@ def scan(
     outputs: dict[str, tuple[str, Column]],
     backward: bool = False,
     inclusive: bool = False,
+    keep_tile: bool = False,
 ) -> DataFrame:
     """Running folds over rows that carry a ``_tile`` number rising with the order.
 
     ``outputs[name] = (fold, input)``. Without ``inclusive`` a row sees the rows
     before it, or after it when ``backward``.
     """
-    columns = [c for c in tiled.columns if c != TILE]
+    columns = [c for c in tiled.columns if keep_tile or c != TILE]
     by = list(by)
     marked = tiled.withColumns({f"_v_{n}": value for n, (_, value) in outputs.items()})
 

@@ -1,3 +1,78 @@
-from trackloom.plans.registry import Query
+"""Filters, projections, sorting, limits, sampling and set operations."""
 
-QUERIES: dict[str, Query] = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from trackloom.functions import hashing
+from trackloom.operators import sampling
+from trackloom.plans.registry import Query, query, same_sql
+
+QUERIES: dict[str, Query] = {
+    "filter_three_valued": same_sql(
+        "SELECT doc_id, k FROM (SELECT doc_id, nullif(quality, 0) AS k, toxic FROM {labels}) "
+        "WHERE NOT (k = 1 AND toxic = 1)"),
+    "filter_between_in_like": same_sql(
+        "SELECT p_partkey, p_name FROM {part} WHERE p_size BETWEEN 10 AND 20 AND p_type IN ('SMALL', 'PROMO') "
+        "AND p_name LIKE 'small%'"),
+    "filter_in_with_null": same_sql(
+        "SELECT n_nationkey, n_regionkey IN (1, 2, NULL) AS i FROM {nation}"),
+    "filter_pushdown": same_sql(
+        "SELECT l_orderkey, l_extendedprice FROM {lineitem} WHERE l_shipdate >= TIMESTAMP '1999-01-01 00:00:00' "
+        "AND l_shipdate < TIMESTAMP '2000-01-01 00:00:00' AND l_discount >= 0.05 AND l_quantity < 24"),
+    "project_expressions": same_sql(
+        "SELECT o_orderkey, o_orderkey * 2 + 1 AS e, o_totalprice / 2 AS h, -o_custkey AS m FROM {orders}"),
+    "project_regex_columns": query(
+        lambda t: t.customer.select(t.customer.colRegex("`c_(name|acct.*)`")),
+        "SELECT c_name, c_acctbal FROM customer"),
+    "project_star": same_sql("SELECT * FROM {nation}"),
+    "subquery_in_from": same_sql(
+        "SELECT s.s_suppkey FROM (SELECT s_suppkey, s_acctbal FROM {supplier} WHERE s_acctbal < 1000) s "
+        "WHERE s.s_suppkey > 10"),
+    "sort_total_order_top": same_sql(
+        "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC, o_orderkey LIMIT 100"),
+    "sort_nulls_first": Query(
+        same_sql("SELECT doc_id, k FROM (SELECT doc_id, nullif(quality, 0) AS k FROM {labels}) "
+                 "ORDER BY k, doc_id LIMIT 40").run,
+        "SELECT doc_id, k FROM (SELECT doc_id, nullif(quality, 0) AS k FROM labels) "
+        "ORDER BY k NULLS FIRST, doc_id LIMIT 40"),
+    "sort_whole_table": same_sql("SELECT c_custkey, c_acctbal FROM {customer} ORDER BY c_acctbal, c_custkey"),
+    "sort_within_partitions": Query(
+        same_sql("SELECT c_custkey, c_nationkey FROM {customer} SORT BY c_nationkey DESC").run,
+        "SELECT c_custkey, c_nationkey FROM customer"),
+    "distribute_by": Query(
+        same_sql("SELECT c_custkey, c_nationkey FROM {customer} DISTRIBUTE BY c_nationkey SORT BY c_custkey").run,
+        "SELECT c_custkey, c_nationkey FROM customer"),
+    "cluster_by": Query(
+        same_sql("SELECT l_orderkey, l_partkey FROM {lineitem} CLUSTER BY l_partkey").run,
+        "SELECT l_orderkey, l_partkey FROM lineitem"),
+    "limit_no_shuffle": Query(
+        same_sql("SELECT count(*) AS n FROM (SELECT o_orderkey FROM {orders} LIMIT 25)").run,
+        "SELECT count(*) AS n FROM (SELECT o_orderkey FROM orders LIMIT 25)"),
+    "union_all": same_sql(
+        "SELECT k, count(*) AS n FROM (SELECT c_nationkey AS k FROM {customer} UNION ALL "
+        "SELECT s_nationkey AS k FROM {supplier}) GROUP BY k"),
+    "union_all_mixed_types": same_sql(
+        "SELECT k FROM (SELECT CAST(n_nationkey AS BIGINT) AS k FROM {nation} UNION ALL SELECT s_suppkey AS k FROM {supplier})"),
+    "union_distinct": same_sql(
+        "SELECT c_nationkey AS k FROM {customer} UNION SELECT n_regionkey AS k FROM {nation}"),
+    "sample_bucket_int": query(
+        lambda t: sampling.bucket_sample(t.nation, 2, 4, "n_nationkey").select("n_nationkey"),
+        "SELECT n_nationkey FROM nation WHERE (n_nationkey & 2147483647) % 4 = 1"),
+    "sample_bucket_bigint": query(
+        lambda t: sampling.bucket_sample(t.lineitem, 3, 16, "l_orderkey").select("l_orderkey", "l_partkey"),
+        "SELECT l_orderkey, l_partkey FROM lineitem WHERE (((l_orderkey ^ (l_orderkey >> 32)) & 4294967295) "
+        "& 2147483647) % 16 = 2".replace("l_orderkey ^ (l_orderkey >> 32)", "xor(l_orderkey, l_orderkey >> 32)")),
+    "sample_bucket_string": query(
+        lambda t: sampling.bucket_sample(t.customer, 1, 8, "c_name").select("c_custkey")),
+    "hash_fold": query(
+        lambda t: t.nation.select(
+            "n_nationkey", hashing.fold_hash(t.nation, "n_nationkey", "n_regionkey").alias("h")),
+        "SELECT n_nationkey, CAST(n_nationkey * 31 + n_regionkey AS INT) AS h FROM nation"),
+    "sample_percent": query(
+        lambda t: sampling.percent_sample(t.lineitem, 10, seed=3).agg(F.count(F.lit(1)).alias("n"))),
+    "sample_rows_per_split": query(
+        lambda t: sampling.row_sample(t.orders, 10).select("o_orderkey")),
+    "sample_size": query(
+        lambda t: sampling.size_sample(t.orders, "100K", seed=1).agg(F.count(F.lit(1)).alias("n"))),
+}

@@ -1,3 +1,51 @@
-from trackloom.plans.registry import Query
+"""Row patterns over ordered events."""
 
-QUERIES: dict[str, Query] = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from trackloom.operators import patterns
+from trackloom.plans.registry import Query, query
+
+_EVENTS = "event_type", "user_id", "event_id", "value"
+
+
+def _by_user(t):
+    return t.events.select(*_EVENTS)
+
+
+QUERIES: dict[str, Query] = {
+    "npath_repeated_high_values": query(
+        lambda t: patterns.npath(
+            _by_user(t), ["user_id"], ["event_id"], "HIGH.HIGH+", {"HIGH": F.col("value") > 10},
+        ).select("user_id", "event_id", "path_start", "path_size"),
+        "WITH n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS path_start, "
+        "count(*) OVER (PARTITION BY user_id) AS total FROM events), "
+        "u AS (SELECT *, coalesce(min(CASE WHEN NOT value > 10 THEN path_start END) OVER (PARTITION BY user_id "
+        "ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), total + 1) AS stop FROM n) "
+        "SELECT user_id, event_id, path_start, stop - path_start AS path_size FROM u WHERE stop - path_start >= 2"),
+    "npath_view_clicks_purchase": query(
+        lambda t: patterns.npath(
+            _by_user(t), ["user_id"], ["event_id"], "VIEW.CLICK*.BUY",
+            {"VIEW": F.col("event_type") == "view", "CLICK": F.col("event_type") == "click",
+             "BUY": F.col("event_type") == "purchase"},
+        ).select("user_id", "event_id", "path_size"),
+        "WITH s AS (SELECT user_id, string_agg(event_type[1], '' ORDER BY event_id) AS letters, "
+        "list(event_id ORDER BY event_id) AS ids FROM events GROUP BY user_id), "
+        "p AS (SELECT user_id, letters, unnest(ids) AS event_id, generate_subscripts(ids, 1) AS i FROM s), "
+        "m AS (SELECT user_id, event_id, length(regexp_extract(substr(letters, i), '^vc*p')) AS path_size FROM p) "
+        "SELECT user_id, event_id, path_size FROM m WHERE path_size > 0"),
+    # Five event types: each holds a fifth of all rows.
+    "npath_large_partitions": query(
+        lambda t: patterns.npath(
+            _by_user(t), ["event_type"], ["event_id"], "HIGH+.LOW", {
+                "HIGH": F.col("value") > 10, "LOW": F.col("value") <= 10},
+        ).select("event_type", "event_id", "path_size"),
+        "WITH n AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i FROM events), "
+        "u AS (SELECT *, min(CASE WHEN NOT value > 10 THEN i END) OVER (PARTITION BY event_type "
+        "ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS stop FROM n) "
+        "SELECT event_type, event_id, stop - i + 1 AS path_size FROM u WHERE stop > i"),
+    "noop_partitioned": query(
+        lambda t: patterns.noop(t.part.select("p_brand", "p_partkey"), ["p_brand"], ["p_partkey"]),
+        "SELECT p_brand, p_partkey FROM part"),
+}

@@ -1,3 +1,210 @@
-from trackloom.plans.registry import Query
+"""Sources and sinks: whole tables written in a format and read back."""
 
-QUERIES: dict[str, Query] = {}
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from trackloom.plans.registry import Query, Tables, query
+from trackloom.session import checkpoint_folder
+from trackloom.sources import files, tables, text
+
+
+def scratch(t: Tables) -> str:
+    """A new folder that all executors share."""
+    return f"{checkpoint_folder(t.spark)}/storage-{uuid.uuid4().hex}"
+
+
+def _written(t: Tables, frame, write) -> str:
+    path = scratch(t)
+    write(frame, path)
+    return path
+
+
+_NESTED = ("n_nationkey int, n_name string, tags array<string>, codes map<string,int>, "
+           "place struct<region:int,name:string>, missing double")
+
+
+def _nested(t: Tables):
+    return t.nation.select(
+        "n_nationkey", "n_name", F.array(F.col("n_name"), F.lit("x")).alias("tags"),
+        F.create_map(F.lit("k"), F.col("n_nationkey")).alias("codes"),
+        F.struct(F.col("n_regionkey").alias("region"), F.col("n_name").alias("name")).alias("place"),
+        F.lit(None).cast("double").alias("missing"))
+
+
+def _flat(df):
+    return df.select(
+        "n_nationkey", "n_name", F.array_join("tags", "|").alias("tags"), F.col("codes")["k"].alias("k"),
+        F.col("place.region").alias("region"), F.col("place.name").alias("name"),
+        F.col("missing").isNull().alias("missing"))
+
+
+_FLAT_SQL = ("SELECT n_nationkey, n_name, n_name || '|x' AS tags, n_nationkey AS k, n_regionkey AS region, "
+             "n_name AS name, true AS missing FROM nation")
+
+
+def _delimited(t: Tables):
+    path = _written(t, _nested(t), lambda d, p: text.write_delimited(d, p, compression="gzip"))
+    return _flat(text.read_delimited(t.spark, path, _NESTED))
+
+
+def _orc(t: Tables):
+    path = _written(t, t.lineitem, lambda d, p: d.write.option("compression", "zlib").option(
+        "orc.bloom.filter.columns", "l_orderkey").orc(p))
+    return t.spark.read.schema(t.lineitem.schema).orc(path).filter("l_quantity > 45").select(
+        "l_orderkey", "l_partkey", "l_extendedprice")
+
+
+def _json(t: Tables):
+    path = _written(t, t.events.select("event_id", "event_type", "value"), lambda d, p: d.write.json(p))
+    return t.spark.read.schema("event_id bigint, event_type string, value double").json(path)
+
+
+def _csv(t: Tables):
+    path = _written(t, t.customer, lambda d, p: d.write.option("sep", "|").csv(p))
+    return t.spark.read.schema(t.customer.schema).option("sep", "|").csv(path)
+
+
+def _sequence(t: Tables):
+    path = _written(t, t.customer, lambda d, p: files.write_sequence(d, "c_custkey", "c_name", p))
+    return files.read_sequence(t.spark, path)
+
+
+def _regex(t: Tables):
+    line = F.concat_ws(" ", F.col("page_id").cast("string"), F.lit("-"), F.concat(F.lit("["), "url", F.lit("]")))
+    path = _written(t, t.pages.select(line.alias("value")), lambda d, p: d.write.text(p))
+    return text.read_regex(t.spark, path, r"^(\d+) (\S+) \[([a-z]+)://([^/]*)(.*)\]$",
+                           ["id", "dash", "scheme", "host", "rest"])
+
+
+def _base64(t: Tables):
+    path = _written(t, t.documents.select(F.encode("text", "utf-8").alias("b")),
+                    lambda d, p: text.write_base64(d, "b", p))
+    return text.read_base64(t.spark, path).select(F.md5("value").alias("m"))
+
+
+def _symlinks(t: Tables):
+    one = _written(t, t.customer.filter("c_custkey % 2 = 0"), lambda d, p: d.write.parquet(p))
+    two = _written(t, t.customer.filter("c_custkey % 2 = 1"), lambda d, p: d.write.parquet(p))
+    links = _written(t, t.spark.createDataFrame([(one,), (two,)], "value string"), lambda d, p: d.write.text(p))
+    return files.read_symlinks(t.spark, links, "parquet")
+
+
+def _export(t: Tables):
+    path = _written(t, t.orders, lambda d, p: tables.export_table(d, p, ["o_orderstatus"]))
+    return tables.import_table(t.spark, path).select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+
+
+def _multi_insert(t: Tables):
+    columns = [F.col("o_orderkey"), F.col("o_totalprice")]
+    out = tables.multi_insert(t.orders, scratch(t), {
+        "large": (F.col("o_totalprice") > 100000, columns),
+        "open": (F.col("o_orderstatus") == "O", columns),
+        "never": (F.col("o_orderkey") < 0, columns)})
+    labelled = [d.withColumn("branch", F.lit(n)) for n, d in out.items()]
+    return labelled[0].unionByName(labelled[1]).unionByName(labelled[2])
+
+
+def _dynamic_partitions(t: Tables):
+    path = scratch(t)
+    base = t.orders.select("o_orderkey", "o_totalprice", "o_orderstatus")
+    tables.insert_overwrite_partitions(base, path, ["o_orderstatus"])
+    changed = base.filter("o_orderstatus = 'P'").withColumn("o_totalprice", F.lit(0.0))
+    tables.insert_overwrite_partitions(changed, path, ["o_orderstatus"])
+    return t.spark.read.parquet(path)
+
+
+def _bucketed(t: Tables):
+    name = uuid.uuid4().hex
+    left = tables.save_bucketed(t.lineitem.select("l_orderkey", "l_quantity"), f"l_{name}", 8, ["l_orderkey"], scratch(t))
+    right = tables.save_bucketed(t.orders.select("o_orderkey", "o_orderstatus"), f"o_{name}", 8, ["o_orderkey"], scratch(t))
+    joined = left.join(right.hint("merge"), left.l_orderkey == right.o_orderkey)
+    return joined.groupBy("o_orderstatus").agg(F.sum("l_quantity").alias("q"), F.count(F.lit(1)).alias("n"))
+
+
+def _ctas_view(t: Tables):
+    name = uuid.uuid4().hex
+    t.orders.createOrReplaceTempView(f"src_{name}")
+    t.spark.sql(f"CREATE TABLE t_{name} USING parquet LOCATION '{scratch(t)}' AS "
+                f"SELECT o_custkey, count(*) AS n FROM src_{name} GROUP BY o_custkey")
+    t.spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW v_{name} AS SELECT o_custkey, n FROM t_{name} WHERE n > 5")
+    return t.spark.sql(f"SELECT o_custkey, n FROM v_{name}")
+
+
+def _insert_directory(t: Tables):
+    path = scratch(t)
+    t.part.createOrReplaceTempView("part_to_write")
+    t.spark.sql(f"INSERT OVERWRITE DIRECTORY '{path}' USING parquet SELECT p_partkey, p_size FROM part_to_write WHERE p_size > 25")
+    return t.spark.read.parquet(path)
+
+
+def _load(t: Tables):
+    files_path = _written(t, t.supplier, lambda d, p: d.write.orc(p))
+    target = scratch(t)
+    for overwrite in (False, True, False):
+        tables.load_data(t.spark, files_path, target, "orc", t.supplier.schema, overwrite)
+    return t.spark.read.parquet(target)
+
+
+def _compact(t: Tables):
+    small = _written(t, t.part.repartition(16), lambda d, p: d.write.parquet(p))
+    target = scratch(t)
+    files.compact(t.spark, small, target)
+    return t.spark.read.parquet(target)
+
+
+def _virtual_columns(t: Tables):
+    return files.with_virtual_columns(t.lineitem.select("l_orderkey", "_metadata")).groupBy(
+        F.regexp_extract("INPUT__FILE__NAME", "([^/]+)$", 1).alias("file")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _table_statistics(t: Tables):
+    name = f"stats_{uuid.uuid4().hex}"
+    t.customer.write.option("path", scratch(t)).saveAsTable(name)
+    t.spark.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS FOR COLUMNS c_custkey, c_nationkey")
+    described = t.spark.sql(f"DESCRIBE EXTENDED {name} c_nationkey")
+    return described.filter(F.col("info_name").isin("min", "max", "num_nulls"))
+
+
+def _partition_commands(t: Tables):
+    name = f"parts_{uuid.uuid4().hex}"
+    t.nation.write.partitionBy("n_regionkey").option("path", scratch(t)).saveAsTable(name)
+    t.spark.sql(f"ALTER TABLE {name} DROP PARTITION (n_regionkey = 0)")
+    return t.spark.sql(f"SHOW PARTITIONS {name}")
+
+
+QUERIES: dict[str, Query] = {
+    "storage_delimited_nested": query(_delimited, _FLAT_SQL),
+    "storage_orc": query(_orc, "SELECT l_orderkey, l_partkey, l_extendedprice FROM lineitem WHERE l_quantity > 45"),
+    "storage_json": query(_json, "SELECT event_id, event_type, value FROM events"),
+    "storage_csv": query(_csv, "SELECT * FROM customer"),
+    "storage_sequence_file": query(_sequence, "SELECT CAST(c_custkey AS VARCHAR) AS key, c_name AS value FROM customer"),
+    "storage_regex_text": query(
+        _regex, "SELECT CAST(page_id AS VARCHAR) AS id, '-' AS dash, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, "
+        "regexp_extract(url, '^[a-z]+://([^/]*)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/]*(.*)$', 1) AS rest FROM pages"),
+    "storage_base64_text": query(_base64, "SELECT md5(text) AS m FROM documents"),
+    "storage_symlinks": query(_symlinks, "SELECT * FROM customer"),
+    "storage_export_import": query(_export, "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders"),
+    "storage_multi_insert": query(
+        _multi_insert, "SELECT o_orderkey, o_totalprice, 'large' AS branch FROM orders WHERE o_totalprice > 100000 "
+        "UNION ALL SELECT o_orderkey, o_totalprice, 'open' FROM orders WHERE o_orderstatus = 'O'"),
+    "storage_dynamic_partitions": query(
+        _dynamic_partitions, "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 0.0 ELSE o_totalprice END AS o_totalprice, "
+        "o_orderstatus FROM orders"),
+    "storage_bucketed_join": query(
+        _bucketed, "SELECT o_orderstatus, sum(l_quantity) AS q, count(*) AS n FROM lineitem JOIN orders "
+        "ON l_orderkey = o_orderkey GROUP BY o_orderstatus"),
+    "storage_ctas_and_view": query(
+        _ctas_view, "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 5"),
+    "storage_insert_directory": query(_insert_directory, "SELECT p_partkey, p_size FROM part WHERE p_size > 25"),
+    "storage_load_data": query(_load, "SELECT * FROM supplier UNION ALL SELECT * FROM supplier"),
+    "storage_compact": query(_compact, "SELECT * FROM part"),
+    "storage_virtual_columns": query(_virtual_columns, "SELECT 'lineitem.parquet' AS file, count(*) AS n FROM lineitem"),
+    "storage_table_statistics": query(
+        _table_statistics, "SELECT 'min' AS info_name, CAST(min(c_nationkey) AS VARCHAR) AS info_value FROM customer UNION ALL "
+        "SELECT 'max', CAST(max(c_nationkey) AS VARCHAR) FROM customer UNION ALL SELECT 'num_nulls', '0'"),
+    "storage_partition_commands": query(
+        _partition_commands, "SELECT DISTINCT 'n_regionkey=' || n_regionkey AS partition FROM nation WHERE n_regionkey <> 0"),
+}
