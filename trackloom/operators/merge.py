@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trackloom.operators import values
 from trackloom.operators.intervals import CHR, END, KEY, START, VALUE, length
 from trackloom.operators.nodes import NODE, node_join, spread, top_level
-from trackloom.operators.scans import TILE, following, tile_of
+from trackloom.operators.scans import TILE, following, solid, tile_of, whole_row
 
 
 def coalesce_track(
@@ -28,11 +28,11 @@ def coalesce_track(
     values.check(vd, vm, values.FOLDED)
     slack = 1 if merge_adjacent else 0
     partial = values.partial_fold(vd, F.col(VALUE)) if vd else {}
-    starts = df.groupBy(CHR, START).agg(
+    starts = solid(df).groupBy(CHR, START).agg(
         F.max(END).alias(END), *[c.alias(n) for n, c in partial.items()])
 
     tiled = starts.withColumn(TILE, tile_of(F.col(START)))
-    inside = Window.partitionBy(CHR, TILE).orderBy(START)
+    inside = Window.partitionBy(TILE, CHR).orderBy(START)
     earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
     up_to_here = inside.rowsBetween(Window.unboundedPreceding, 0)
     reach = F.max(END).over(earlier)
@@ -46,13 +46,14 @@ def coalesce_track(
     # everything earlier tiles reach; free starts ascend, so the last decides.
     before = Window.partitionBy(CHR).orderBy(TILE).rowsBetween(Window.unboundedPreceding, -1)
     tiles = rows.groupBy(CHR, TILE).agg(
-        F.max(END).alias("_end"), F.max("_free").alias("_last"))
+        F.max(END).alias("_end"), F.max("_free").alias("_last"), whole_row(starts).alias("_seen")
+    ).filter(F.col("_seen").isNotNull())
     carries = tiles.withColumn("_reach", F.max("_end").over(before)).withColumn(
         "_opened", F.when(F.col("_reach").isNull() | (F.col("_last") > F.col("_reach") + slack),
                           F.col("_last"))
     ).withColumn("_open", F.max("_opened").over(before)).select(CHR, TILE, "_reach", "_open")
 
-    headed = rows.join(carries, [CHR, TILE]).withColumn(
+    headed = rows.join(carries, [TILE, CHR]).withColumn(
         "_head", F.when(F.col("_reach").isNull() | (F.col("_free") > F.col("_reach") + slack),
                         F.col("_free")).otherwise(F.col("_open")))
     merged = values.merge_fold(vd) if vd else {}
@@ -65,7 +66,7 @@ def coalesce_track(
 
 def segments(df: DataFrame) -> DataFrame:
     """Elementary stretches between consecutive boundaries, covered or not."""
-    cuts = df.select(CHR, F.explode(F.array(F.col(START) - 1, F.col(END))).alias("_cut")).distinct()
+    cuts = solid(df).select(CHR, F.explode(F.array(F.col(START) - 1, F.col(END))).alias("_cut")).distinct()
     ordered = following(cuts, "_cut", END)
     return ordered.filter(F.col(END).isNotNull()).select(CHR, (F.col("_cut") + 1).alias(START), END)
 
@@ -86,7 +87,7 @@ def discretize(df: DataFrame, vd: str | None = None, vm: str = values.EACH) -> D
         source = df.withColumn(VALUE, F.col(VALUE) / length())
     covers = spread(source, top, cover=(F.col(START), F.col(END)))
     partial = values.partial_fold(vd, F.col(VALUE)) if vd else {"_n": F.count(F.lit(1))}
-    nodes = covers.groupBy(CHR, NODE).agg(*[c.alias(n) for n, c in partial.items()])
+    nodes = covers.groupBy(NODE, CHR).agg(*[c.alias(n) for n, c in partial.items()])
     cells = spread(segments(df), top, point=F.col(START))
     found = node_join(cells, nodes)
     merged = values.merge_fold(vd) if vd else {"_n": F.sum("_n")}

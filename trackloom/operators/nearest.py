@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trackloom.operators.intervals import CHR, END, START, distance, literal, side
 from trackloom.operators.overlap import _prefixed, overlap_join
-from trackloom.operators.scans import running
+from trackloom.operators.scans import running, solid
 
 
 def closest_to(df: DataFrame, chr: str, start: int, end: int) -> DataFrame:
@@ -61,5 +61,5 @@ def _events(b: DataFrame, b_column: str, a: DataFrame, a_column: str) -> DataFra
     """One row per position: how many of b are there, and whether an a is."""
     marks = b.select(CHR, F.col(b_column).alias("_at"), F.lit(1).alias("_b"), F.lit(False).alias("_a"))
     asks = a.select(CHR, F.col(a_column).alias("_at"), F.lit(0).alias("_b"), F.lit(True).alias("_a"))
-    return marks.unionByName(asks).groupBy(CHR, "_at").agg(
+    return solid(marks.unionByName(asks)).groupBy(CHR, "_at").agg(
         F.sum("_b").alias("_b"), F.max("_a").alias("_a"))

@@ -66,7 +66,7 @@ def spread(
     """
     slots = (1 if point is not None else 0) + (6 if cover is not None else 0)
     numbered = df.withColumn(_SLOT, F.explode(F.sequence(F.lit(0), (top + 1) * slots - 1)))
-    level = F.floor(F.col(_SLOT) / slots).cast("int")
+    level = F.call_function("div", F.col(_SLOT), F.lit(slots)).cast("int")
     which = F.col(_SLOT) % slots
     leveled = numbered.withColumns({_LEVEL: level, _SLOT: which})
     level, which = F.col(_LEVEL), F.col(_SLOT)
@@ -95,6 +95,9 @@ def spread(
     out = leveled.withColumn(NODE, node)
     if cover is not None:
         out = out.filter(F.col(NODE).isNotNull())
+    else:
+        # Never NULL: a join on the node then adds no filter to this branch. No node is -1.
+        out = out.withColumn(NODE, F.coalesce(F.col(NODE), F.lit(-1).cast("bigint")))
     return out.drop(_LEVEL, _SLOT, "_first", "_last")
 
 
@@ -103,6 +106,7 @@ def node_join(left: DataFrame, right: DataFrame) -> DataFrame:
 
     Size estimates do not see the rows :func:`spread` adds, so a broadcast
     planned from them would be unchecked: ask for a shuffled join, which the
-    adaptive planner can split where a node is hot.
+    adaptive planner can split where a node is hot. The node comes first
+    because rows are sorted by it, and chromosome names share their first bytes.
     """
-    return left.join(right.hint("merge"), [CHR, NODE])
+    return left.join(right.hint("merge"), [NODE, CHR])

@@ -52,7 +52,7 @@ def overlap_join(
     right = spread(right, top, cover=(F.col("b_" + START) + 1, F.col("b_" + END)), cover_role=1,
                    point=F.col("b_" + START), point_role=0)
     if few:
-        return left.join(F.broadcast(right), [CHR, NODE]).drop(NODE)
+        return left.join(F.broadcast(right), [NODE, CHR]).drop(NODE)
     return node_join(left, right).drop(NODE)
 
 

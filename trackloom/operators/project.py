@@ -130,7 +130,7 @@ def project_bins(
     inner = located.filter(l - f > 1).select(
         CHR, (f + 1).alias("_lo"), (l - 1).alias("_hi"), d.alias("_d"))
     top = top_level(inner, start="_lo", end="_hi")
-    nodes = spread(inner, top, cover=(F.col("_lo"), F.col("_hi"))).groupBy(CHR, NODE).agg(
+    nodes = spread(inner, top, cover=(F.col("_lo"), F.col("_hi"))).groupBy(NODE, CHR).agg(
         F.sum("_d").alias("_d"))
     spans = node_join(spread(cells.select(CHR, "bin"), top, point=F.col("bin")), nodes).groupBy(CHR, "bin").agg((F.sum("_d") * width).alias("_spans"))
 

@@ -23,7 +23,23 @@ TILE = "_tile"
 
 
 def tile_of(position: Column) -> Column:
-    return F.shiftright(position, TILE_BITS)
+    # Never NULL, so that a join on it adds no filter to one branch only.
+    return F.coalesce(F.shiftright(position, TILE_BITS), F.lit(0))
+
+
+def solid(df: DataFrame) -> DataFrame:
+    """Rows with a chromosome, the column being known not to be NULL.
+
+    The scans read their aggregated input twice, row by row and per tile. Spark
+    computes it once when both branches have the same plan, which a NULL filter
+    pushed into one of them would prevent.
+    """
+    return df.filter(F.col(CHR).isNotNull()).withColumn(CHR, F.coalesce(F.col(CHR), F.lit("")))
+
+
+def whole_row(df: DataFrame) -> Column:
+    """An aggregate over all columns, to keep them in the per-tile branch (see ``solid``)."""
+    return F.max(F.xxhash64(*df.columns))
 
 
 def _combine_sum(inner: Column, carry: Column) -> Column:
@@ -58,7 +74,7 @@ def scan(
     def directed(c: str) -> Column:
         return F.col(c).desc() if backward else F.col(c).asc()
 
-    inside = Window.partitionBy(*by, TILE).orderBy(*[directed(c) for c in order]).rowsBetween(
+    inside = Window.partitionBy(TILE, *by).orderBy(*[directed(c) for c in order]).rowsBetween(
         Window.unboundedPreceding, 0 if inclusive else -1)
     before = Window.partitionBy(*by).orderBy(directed(TILE)).rowsBetween(
         Window.unboundedPreceding, -1)
@@ -66,11 +82,12 @@ def scan(
         f"_i_{n}": FOLDS[fold][0](F.col(f"_v_{n}")).over(inside)
         for n, (fold, _) in outputs.items()})
     tiles = marked.groupBy(*by, TILE).agg(*[
-        FOLDS[fold][0](F.col(f"_v_{n}")).alias(f"_s_{n}") for n, (fold, _) in outputs.items()])
+        FOLDS[fold][0](F.col(f"_v_{n}")).alias(f"_s_{n}") for n, (fold, _) in outputs.items()],
+        whole_row(tiled).alias("_seen")).filter(F.col("_seen").isNotNull())
     carries = tiles.select(*by, TILE, *[
         FOLDS[fold][0](F.col(f"_s_{n}")).over(before).alias(f"_c_{n}")
         for n, (fold, _) in outputs.items()])
-    return rows.join(carries, [*by, TILE]).select(*columns, *[
+    return rows.join(carries, [TILE, *by]).select(*columns, *[
         FOLDS[fold][1](F.col(f"_i_{n}"), F.col(f"_c_{n}")).alias(n)
         for n, (fold, _) in outputs.items()])
 
@@ -91,10 +108,10 @@ def running(
 def following(df: DataFrame, position: str, output: str) -> DataFrame:
     """Add the next larger position on the same chromosome (NULL on the last row)."""
     tiled = df.withColumn(TILE, tile_of(F.col(position)))
-    inside = Window.partitionBy(CHR, TILE).orderBy(position)
+    inside = Window.partitionBy(TILE, CHR).orderBy(position)
     rows = tiled.withColumn("_inner", F.lead(position).over(inside))
     heads = tiled.groupBy(CHR, TILE).agg(F.min(position).alias("_head"))
     carries = heads.select(
         CHR, TILE, F.lead("_head").over(Window.partitionBy(CHR).orderBy(TILE)).alias("_carry"))
-    return rows.join(carries, [CHR, TILE]).select(
+    return rows.join(carries, [TILE, CHR]).select(
         *df.columns, F.coalesce("_inner", "_carry").alias(output))
