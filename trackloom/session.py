@@ -49,11 +49,12 @@ def checkpoint_folder(spark: SparkSession) -> str:
     Only when ``spark.checkpoint.dir`` is unset and the master is local, which
     is the case in tests, is a folder of our own made.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         folder = os.path.join(tempfile.mkdtemp(prefix="trackloom-"), "checkpoints")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
     return folder
