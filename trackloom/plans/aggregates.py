@@ -39,7 +39,7 @@ QUERIES: dict[str, Query] = {
     "agg_having": same_sql(
         "SELECT o_custkey, count(*) AS n FROM {orders} GROUP BY o_custkey HAVING count(*) > 15"),
     "agg_expression_key": same_sql(
-        "SELECT o_custkey % 7 AS k, year(o_orderdate) AS y, count(*) AS n FROM {orders} "
+        "SELECT o_custkey % 7 AS k, CAST(year(o_orderdate) AS BIGINT) AS y, count(*) AS n FROM {orders} "
         "GROUP BY o_custkey % 7, year(o_orderdate)"),
     "agg_by_position": same_sql(
         "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM {orders} GROUP BY 1, 2"),
@@ -47,7 +47,7 @@ QUERIES: dict[str, Query] = {
         f"SELECT count(*) AS n, count(c_mktsegment) AS m, {money('c_acctbal')} AS total, "
         "min(c_name) AS lo, max(c_name) AS hi FROM {customer}"),
     "agg_filtered_case": same_sql(
-        "SELECT o_orderpriority, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS f, "
+        "SELECT o_orderpriority, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS f, "
         "CAST(sum(CASE WHEN o_orderstatus = 'O' THEN o_custkey END) AS BIGINT) AS o FROM {orders} "
         "GROUP BY o_orderpriority"),
     "agg_cube": same_sql(

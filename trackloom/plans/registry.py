@@ -59,6 +59,14 @@ def same_sql(text: str) -> Query:
     return query(lambda t: t.sql(text), plain)
 
 
+def as_long(declared: Query, *columns: str) -> Query:
+    """The same query with the named columns as bigint, which ranks are elsewhere."""
+    return Query(
+        lambda spark, folder: declared.run(spark, folder).withColumns(
+            {c: F.col(c).cast("bigint") for c in columns}),
+        declared.sql)
+
+
 def single(column: Column | str) -> Column:
     """Round to single precision, where sums taken in another order agree."""
     column = F.col(column) if isinstance(column, str) else column

@@ -67,7 +67,7 @@ QUERIES: dict[str, Query] = {
         "sign(value - 50) AS s FROM {events}",
         "SELECT event_id, abs(value - 50) AS a, CAST(ceil(value) AS BIGINT) AS c, CAST(ceil(value) AS BIGINT) AS c2, "
         "CAST(floor(value) AS BIGINT) AS f, CAST(round(CAST(value AS DECIMAL(12, 2)), 1) AS DECIMAL(12, 1)) AS r, "
-        "round(CAST(value AS DECIMAL(12, 2))) AS r0, CAST(sign(value - 50) AS DOUBLE) AS s FROM events"),
+        "CAST(round(CAST(value AS DECIMAL(12, 2))) AS DECIMAL(11, 0)) AS r0, CAST(sign(value - 50) AS DOUBLE) AS s FROM events"),
     "scalar_powers": same_sql(
         f"SELECT event_id, {_S('exp(value / 100)')} AS e, {_S('ln(value + 1)')} AS l, {_S('log2(value + 1)')} AS l2, "
         f"{_S('log10(value + 1)')} AS l10, {_S('power(value, 2)')} AS p, {_S('pow(value, 0.5)')} AS p2 "
@@ -238,7 +238,7 @@ QUERIES: dict[str, Query] = {
         "SELECT event_id, get_json_object(props, '$.k') AS k, get_json_object(props, '$.missing') AS m FROM {events}",
         "SELECT event_id, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.missing') AS m FROM events"),
     "scalar_xpath": both(
-        "SELECT c_custkey, xpath_string(x, 'a/n') AS s, xpath_int(x, 'a/k') AS i, xpath_long(x, 'a/k') AS l, xpath_short(x, 'a/t') AS sh, "
+        "SELECT c_custkey, xpath_string(x, 'a/n') AS s, xpath_int(x, 'a/k') AS i, xpath_long(x, 'a/k') AS l, CAST(xpath_short(x, 'a/t') AS INT) AS sh, "
         "xpath_double(x, 'a/k') AS d, xpath_number(x, 'a/k') AS nu, CAST(xpath_float(x, 'a/t') AS DOUBLE) AS f, "
         "xpath_boolean(x, 'a/k > 100') AS b, array_join(xpath(x, 'a/*/text()'), ',') AS p FROM (SELECT c_custkey, "
         "concat('<a><n>', c_name, '</n><k>', c_custkey, '</k><t>', c_nationkey, '</t></a>') AS x FROM {customer})",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trackloom.operators import ordered
-from trackloom.plans.registry import Query, query, same_sql
+from trackloom.plans.registry import Query, as_long, query, same_sql
 
 # A total order within a customer, so that every function is determined.
 _W = "PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey"
@@ -116,3 +116,11 @@ QUERIES: dict[str, Query] = {
         "min(l_suppkey) OVER w AS low FROM lineitem WINDOW w AS (PARTITION BY l_returnflag ORDER BY "
         "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS UNBOUNDED PRECEDING)"),
 }
+
+for _name, _columns in {
+    "window_row_number": ("rn",), "window_ranks": ("r", "dr"), "window_ntile": ("part",),
+    "window_several_partitionings": ("by_nation", "by_segment"), "window_over_expression": ("r",),
+    "window_over_aggregate": ("r",), "window_top_per_group": ("rn",),
+    "window_chained_table_functions": ("r",), "window_large_ntile": ("ntile",),
+}.items():
+    QUERIES[_name] = as_long(QUERIES[_name], *_columns)
