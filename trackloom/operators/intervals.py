@@ -12,8 +12,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHR, START, END, VALUE = "chr", "chrstart", "chrend", "value"
-KEY = (CHR, START, END)
+CHR, BEGIN, END, VALUE = "chr", "chrstart", "chrend", "value"
+KEY = (CHR, BEGIN, END)
 
 # Chromosome lengths of the hg19 assembly, and two short
 # chromosomes for tests.
@@ -39,7 +39,7 @@ class Interval(NamedTuple):
 def track(
     df: DataFrame,
     chr: str | Column = CHR,
-    start: str | Column = START,
+    start: str | Column = BEGIN,
     end: str | Column = END,
     value: str | Column | None = None,
     metadata: Sequence[str] = (),
@@ -49,7 +49,7 @@ def track(
     def col(c):
         return F.col(c) if isinstance(c, str) else c
 
-    cols = [col(chr).alias(CHR), col(start).cast("bigint").alias(START),
+    cols = [col(chr).alias(CHR), col(start).cast("bigint").alias(BEGIN),
             col(end).cast("bigint").alias(END)]
     if value is not None:
         cols.append(col(value).cast("double").alias(VALUE))

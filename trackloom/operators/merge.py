@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.operators import values
-from trackloom.operators.intervals import CHR, END, KEY, START, VALUE, length
+from trackloom.operators.intervals import CHR, END, KEY, BEGIN, VALUE, length
 from trackloom.operators.nodes import NODE, node_join, spread, top_level
 from trackloom.operators.scans import TILE, following, solid, tile_of, whole_row
 
@@ -28,18 +28,18 @@ def coalesce_track(
     values.check(vd, vm, values.FOLDED)
     slack = 1 if merge_adjacent else 0
     partial = values.partial_fold(vd, F.col(VALUE)) if vd else {}
-    starts = solid(df).groupBy(CHR, START).agg(
+    starts = solid(df).groupBy(CHR, BEGIN).agg(
         F.max(END).alias(END), *[c.alias(n) for n, c in partial.items()])
 
-    tiled = starts.withColumn(TILE, tile_of(F.col(START)))
-    inside = Window.partitionBy(TILE, CHR).orderBy(START)
+    tiled = starts.withColumn(TILE, tile_of(F.col(BEGIN)))
+    inside = Window.partitionBy(TILE, CHR).orderBy(BEGIN)
     earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
     up_to_here = inside.rowsBetween(Window.unboundedPreceding, 0)
     reach = F.max(END).over(earlier)
     # Starts that no earlier interval of the same tile reaches.
     rows = tiled.withColumn("_reach", reach).withColumn(
-        "_free", F.when(F.col("_reach").isNull() | (F.col(START) > F.col("_reach") + slack),
-                        F.col(START))
+        "_free", F.when(F.col("_reach").isNull() | (F.col(BEGIN) > F.col("_reach") + slack),
+                        F.col(BEGIN))
     ).withColumn("_free", F.max("_free").over(up_to_here)).drop("_reach")
 
     # A tile opens a merged interval when its last free start lies beyond
@@ -57,7 +57,7 @@ def coalesce_track(
         "_head", F.when(F.col("_reach").isNull() | (F.col("_free") > F.col("_reach") + slack),
                         F.col("_free")).otherwise(F.col("_open")))
     merged = values.merge_fold(vd) if vd else {}
-    out = headed.groupBy(CHR, F.col("_head").alias(START)).agg(
+    out = headed.groupBy(CHR, F.col("_head").alias(BEGIN)).agg(
         F.max(END).alias(END), *[c.alias(n) for n, c in merged.items()])
     if vd is None:
         return out
@@ -66,9 +66,9 @@ def coalesce_track(
 
 def segments(df: DataFrame) -> DataFrame:
     """Elementary stretches between consecutive boundaries, covered or not."""
-    cuts = solid(df).select(CHR, F.explode(F.array(F.col(START) - 1, F.col(END))).alias("_cut")).distinct()
+    cuts = solid(df).select(CHR, F.explode(F.array(F.col(BEGIN) - 1, F.col(END))).alias("_cut")).distinct()
     ordered = following(cuts, "_cut", END)
-    return ordered.filter(F.col(END).isNotNull()).select(CHR, (F.col("_cut") + 1).alias(START), END)
+    return ordered.filter(F.col(END).isNotNull()).select(CHR, (F.col("_cut") + 1).alias(BEGIN), END)
 
 
 def discretize(df: DataFrame, vd: str | None = None, vm: str = values.EACH) -> DataFrame:
@@ -85,10 +85,10 @@ def discretize(df: DataFrame, vd: str | None = None, vm: str = values.EACH) -> D
     source = df
     if vd is not None and vm == values.TOTAL:
         source = df.withColumn(VALUE, F.col(VALUE) / length())
-    covers = spread(source, top, cover=(F.col(START), F.col(END)))
+    covers = spread(source, top, cover=(F.col(BEGIN), F.col(END)))
     partial = values.partial_fold(vd, F.col(VALUE)) if vd else {"_n": F.count(F.lit(1))}
     nodes = covers.groupBy(NODE, CHR).agg(*[c.alias(n) for n, c in partial.items()])
-    cells = spread(segments(df), top, point=F.col(START))
+    cells = spread(segments(df), top, point=F.col(BEGIN))
     found = node_join(cells, nodes)
     merged = values.merge_fold(vd) if vd else {"_n": F.sum("_n")}
     out = found.groupBy(*KEY).agg(*[c.alias(n) for n, c in merged.items()])

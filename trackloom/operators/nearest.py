@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.operators.intervals import CHR, END, START, distance, literal, side
+from trackloom.operators.intervals import CHR, END, BEGIN, distance, literal, side
 from trackloom.operators.overlap import _prefixed, overlap_join
 from trackloom.operators.scans import running, solid
 
@@ -29,21 +29,21 @@ def pair_closest(a: DataFrame, b: DataFrame) -> DataFrame:
     by one scan each way, and picked up again with an equi-join.
     """
     before = running(
-        _events(b, END, a, START), "_at",
+        _events(b, END, a, BEGIN), "_at",
         {"_end": ("max", F.when(F.col("_b") > 0, F.col("_at"))), "_ended": ("sum", F.col("_b"))},
-    ).filter(F.col("_a")).select(CHR, F.col("_at").alias("a_" + START), "_end", "_ended")
+    ).filter(F.col("_a")).select(CHR, F.col("_at").alias("a_" + BEGIN), "_end", "_ended")
     after = running(
-        _events(b, START, a, END), "_at",
+        _events(b, BEGIN, a, END), "_at",
         {"_start": ("min", F.when(F.col("_b") > 0, F.col("_at"))), "_open": ("sum", F.col("_b"))},
         backward=True,
     ).filter(F.col("_a")).select(CHR, F.col("_at").alias("a_" + END), "_start", "_open")
     counts = b.groupBy(CHR).agg(F.count(F.lit(1)).alias("_total"))
 
     left = _prefixed(a, "a_")
-    placed = left.join(before, [CHR, "a_" + START]).join(after, [CHR, "a_" + END]).join(counts, CHR)
+    placed = left.join(before, [CHR, "a_" + BEGIN]).join(after, [CHR, "a_" + END]).join(counts, CHR)
     # b's that neither end before the interval nor start after it overlap it.
     alone = placed.filter(F.col("_ended") + F.col("_open") == F.col("_total"))
-    back = F.col("a_" + START) - F.col("_end")
+    back = F.col("a_" + BEGIN) - F.col("_end")
     ahead = F.col("_start") - F.col("a_" + END)
     nearest = alone.withColumn("distance", F.least(back, ahead)).withColumn("_at", F.explode(F.array(
         F.when(back == F.col("distance"), F.struct(F.lit("end").alias("side"), F.col("_end").alias("at"))),
@@ -51,7 +51,7 @@ def pair_closest(a: DataFrame, b: DataFrame) -> DataFrame:
     ))).filter(F.col("_at").isNotNull()).select(*left.columns, "distance", "_at")
     right = _prefixed(b, "b_").withColumn("_at", F.explode(F.array(
         F.struct(F.lit("end").alias("side"), F.col("b_" + END).alias("at")),
-        F.struct(F.lit("start").alias("side"), F.col("b_" + START).alias("at")))))
+        F.struct(F.lit("start").alias("side"), F.col("b_" + BEGIN).alias("at")))))
     apart = nearest.join(right, [CHR, "_at"]).drop("_at")
     touching = overlap_join(a, b).withColumn("distance", F.lit(0).cast("bigint"))
     return touching.unionByName(apart)

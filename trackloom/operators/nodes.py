@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.operators.intervals import CHR, END, START
+from trackloom.operators.intervals import CHR, END, BEGIN
 
 NODE = "_node"
 _LEVEL, _SLOT = "_level", "_slot"
@@ -34,7 +34,7 @@ def _node(index: Column, level: Column, role: int) -> Column:
     return packed.bitwiseOR(F.lit(role).cast("bigint"))
 
 
-def top_level(*tracks: DataFrame, start: str = START, end: str = END) -> Column:
+def top_level(*tracks: DataFrame, start: str = BEGIN, end: str = END) -> Column:
     """Highest level any cover can use, as a scalar subquery.
 
     It is one aggregate row, worked out on the cluster when the query runs.

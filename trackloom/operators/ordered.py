@@ -12,10 +12,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.operators.scans import TILE, scan
+from trackloom.operators.scans import FOLDS, TILE, scan
 from trackloom.session import checkpoint_folder
 
 
@@ -28,6 +28,13 @@ def cut_in_tiles(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
     return ranged.withColumn(TILE, F.spark_partition_id()).checkpoint()
 
 
+def _attach(df: DataFrame, other: DataFrame, on: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Columns ``names`` of the row of ``other`` with equal values, NULLs being equal too."""
+    renamed = other.select(*[F.col(c).alias(f"_on_{c}") for c in on], *names)
+    same = [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on]
+    return df.join(renamed, same, "left").select(*df.columns, *names)
+
+
 def running_folds(
     df: DataFrame,
     keys: Sequence[str],
@@ -58,9 +65,7 @@ def ranks(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
         *keys, order, rank.alias("rank"), "dense_rank",
         F.when(F.col("_total") > 1, (rank - 1) / (F.col("_total") - 1)).otherwise(0.0).alias("percent_rank"),
         (F.col("_upto") / F.col("_total")).alias("cume_dist"))
-    on = [df[k].eqNullSafe(ranked[k]) for k in (*keys, order)]
-    extra = ["rank", "dense_rank", "percent_rank", "cume_dist"]
-    return df.join(ranked, on).select(*[df[c] for c in df.columns], *extra)
+    return _attach(df, ranked, [*keys, order], ["rank", "dense_rank", "percent_rank", "cume_dist"])
 
 
 def ntiles(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
@@ -91,3 +96,44 @@ def shifted(
         other = numbered.select(*keys, (F.col("_rn") + offset).alias("_rn"), F.col(column).alias(name))
         out = out.join(other, [*keys, "_rn"], "left")
     return out.drop("_rn")
+
+
+def partition_folds(df: DataFrame, keys: Sequence[str], aggregates: dict[str, Column]) -> DataFrame:
+    """Aggregates ``OVER (PARTITION BY keys)``: one row per key, joined back.
+
+    The aggregate is combined map-side, and the join has one row per key on one
+    side, so a hot key is split by adaptive execution or needs no shuffle at all.
+    """
+    folded = df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggregates.items()])
+    return _attach(df, folded, keys, list(aggregates))
+
+
+def range_folds(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    outputs: dict[str, tuple[str, Column]],
+    low: int | None = None,
+    high: int = 0,
+) -> DataFrame:
+    """Folds over ``RANGE BETWEEN low AND high`` around the order value.
+
+    Rows with equal order values share their frame, so they are folded first,
+    map-side. The frames then run over distinct values: in tiles when they
+    begin at the start of the partition, which is ``low=None`` with ``high=0``,
+    else in a window per key, for order columns with few distinct values.
+    """
+    keys = list(keys)
+    partial = df.groupBy(*keys, order).agg(*[
+        FOLDS[fold][0](c).alias(n) for n, (fold, c) in outputs.items()])
+    again = {n: (fold, F.col(n)) for n, (fold, _) in outputs.items()}
+    if low is None and high == 0:
+        named = {f"_r_{n}": spec for n, spec in again.items()}
+        framed = running_folds(partial, keys, [order], named)
+    else:
+        frame = Window.partitionBy(*keys).orderBy(order).rangeBetween(
+            Window.unboundedPreceding if low is None else low, high)
+        framed = partial.withColumns({
+            f"_r_{n}": FOLDS[fold][0](c).over(frame) for n, (fold, c) in again.items()})
+    framed = framed.select(*keys, order, *[F.col(f"_r_{n}").alias(n) for n in outputs])
+    return _attach(df, framed, [*keys, order], list(outputs))

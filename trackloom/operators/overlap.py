@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trackloom.operators import values
 from trackloom.operators.intervals import (
-    CHR, END, KEY, LOCATION, START, VALUE, Interval, distance, length, overlap_length,
+    CHR, END, KEY, LOCATION, BEGIN, VALUE, Interval, distance, length, overlap_length,
 )
 from trackloom.operators.merge import coalesce_track
 from trackloom.operators.nodes import NODE, node_join, spread, top_level
@@ -23,7 +23,7 @@ def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
 
 def shared(prefix: str) -> Interval:
     """One side of a pair produced by the joins of this module."""
-    return Interval(F.col(CHR), F.col(prefix + START), F.col(prefix + END))
+    return Interval(F.col(CHR), F.col(prefix + BEGIN), F.col(prefix + END))
 
 
 def overlap_join(
@@ -47,10 +47,10 @@ def overlap_join(
         top = top + F.lit((2 * reach).bit_length() // 2 + 1)
     left = _prefixed(a, "a_")
     right = _prefixed(b, "b_")
-    lo, hi = F.col("a_" + START) - reach, F.col("a_" + END) + reach
+    lo, hi = F.col("a_" + BEGIN) - reach, F.col("a_" + END) + reach
     left = spread(left, top, cover=(lo, hi), cover_role=0, point=lo, point_role=1)
-    right = spread(right, top, cover=(F.col("b_" + START) + 1, F.col("b_" + END)), cover_role=1,
-                   point=F.col("b_" + START), point_role=0)
+    right = spread(right, top, cover=(F.col("b_" + BEGIN) + 1, F.col("b_" + END)), cover_role=1,
+                   point=F.col("b_" + BEGIN), point_role=0)
     if few:
         return left.join(F.broadcast(right), [NODE, CHR]).drop(NODE)
     return node_join(left, right).drop(NODE)
@@ -72,8 +72,8 @@ def location_join(a: DataFrame, b: DataFrame, predicate: str) -> DataFrame:
             right.withColumn("_k", right_key), [CHR, "_k"])
         return pairs.filter(test).drop("_k")
 
-    a_start, a_end = F.col("a_" + START), F.col("a_" + END)
-    b_start, b_end = F.col("b_" + START), F.col("b_" + END)
+    a_start, a_end = F.col("a_" + BEGIN), F.col("a_" + END)
+    b_start, b_end = F.col("b_" + BEGIN), F.col("b_" + END)
     if predicate == "overlaps":
         return overlap_join(a, b)
     if predicate in ("contains", "within"):
@@ -126,7 +126,7 @@ def intersect_join(
         a, b = a.select(*KEY, VALUE), b.select(*KEY, VALUE)
     pairs = overlap_join(a, b)
     left, right = shared("a_"), shared("b_")
-    out = [F.col(CHR), F.greatest(left.start, right.start).alias(START),
+    out = [F.col(CHR), F.greatest(left.start, right.start).alias(BEGIN),
            F.least(left.end, right.end).alias(END)]
     if vd is not None:
         out.append(values.PAIRWISE[vd](
@@ -155,12 +155,12 @@ def uncovered(b: DataFrame, around: DataFrame) -> DataFrame:
     Sentinels just outside the range of ``around`` close the first and the last
     stretch, so every stretch lies between two consecutive merged intervals.
     """
-    bounds = around.groupBy(CHR).agg(F.min(START).alias("lo"), F.max(END).alias("hi"))
-    sentinels = bounds.select(CHR, F.explode(F.array(F.col("lo") - 1, F.col("hi") + 1)).alias(START))
-    walls = b.select(*KEY).unionByName(sentinels.withColumn(END, F.col(START)))
+    bounds = around.groupBy(CHR).agg(F.min(BEGIN).alias("lo"), F.max(END).alias("hi"))
+    sentinels = bounds.select(CHR, F.explode(F.array(F.col("lo") - 1, F.col("hi") + 1)).alias(BEGIN))
+    walls = b.select(*KEY).unionByName(sentinels.withColumn(END, F.col(BEGIN)))
     merged = coalesce_track(walls, merge_adjacent=True)
-    gaps = following(merged, START, "_next").filter(F.col("_next").isNotNull())
-    return gaps.select(CHR, (F.col(END) + 1).alias(START), (F.col("_next") - 1).alias(END))
+    gaps = following(merged, BEGIN, "_next").filter(F.col("_next").isNotNull())
+    return gaps.select(CHR, (F.col(END) + 1).alias(BEGIN), (F.col("_next") - 1).alias(END))
 
 
 def exclusive_join(
@@ -177,7 +177,7 @@ def exclusive_join(
     values.check(None, vm, ())
     pairs = overlap_join(a, uncovered(b, a))
     left, right = shared("a_"), shared("b_")
-    out = [F.col(CHR), F.greatest(left.start, right.start).alias(START),
+    out = [F.col(CHR), F.greatest(left.start, right.start).alias(BEGIN),
            F.least(left.end, right.end).alias(END)]
     if VALUE in a.columns:
         out.append(_share(F.col("a_" + VALUE), vm, left, right, left).alias(VALUE))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.operators import values
-from trackloom.operators.intervals import CHR, END, KEY, START, VALUE, length, overlap_length
+from trackloom.operators.intervals import CHR, END, KEY, BEGIN, VALUE, length, overlap_length
 from trackloom.operators.nodes import NODE, node_join, spread, top_level
 from trackloom.operators.overlap import overlap_join, shared
 
@@ -56,7 +56,7 @@ def project_on(
             column = column * share
         folded.append(column.alias(name))
     merged = values.merge_fold(fold)
-    found = pairs.select(CHR, b.start.alias(START), b.end.alias(END), *folded).groupBy(*KEY).agg(
+    found = pairs.select(CHR, b.start.alias(BEGIN), b.end.alias(END), *folded).groupBy(*KEY).agg(
         *[c.alias(n) for n, c in merged.items()])
     value = values.finish_fold(fold)
     if weighted:
@@ -84,7 +84,7 @@ def bins(sizes: DataFrame, width: int, first: DataFrame | None = None) -> DataFr
     high = F.least(F.col("_last"), F.col("_block") * BLOCK + (BLOCK - 1))
     cells = blocks.withColumn("bin", F.explode(F.sequence(low, high)))
     return cells.select(
-        CHR, "bin", (F.col("bin") * width + 1).alias(START),
+        CHR, "bin", (F.col("bin") * width + 1).alias(BEGIN),
         F.least((F.col("bin") + 1) * width, F.col("len")).alias(END))
 
 
@@ -105,7 +105,7 @@ def project_bins(
     so are chromosomes without any interval.
     """
     values.check(vd, vm, values.FOLDED)
-    first_bin = F.floor((F.col(START) - 1) / width).cast("bigint")
+    first_bin = F.floor((F.col(BEGIN) - 1) / width).cast("bigint")
     last_bin = F.floor((F.col(END) - 1) / width).cast("bigint")
     first = None
     if not leading_zeros:
@@ -116,11 +116,11 @@ def project_bins(
 
     density = F.col(VALUE) if vm == values.EACH else F.col(VALUE) / length()
     located = source.select(
-        CHR, START, END, density.alias("_d"), first_bin.alias("_f"), last_bin.alias("_l"))
+        CHR, BEGIN, END, density.alias("_d"), first_bin.alias("_f"), last_bin.alias("_l"))
     f, l, d = F.col("_f"), F.col("_l"), F.col("_d")
     edge_first = F.struct(
         f.alias("bin"),
-        (d * (F.least(F.col(END), (f + 1) * width) - F.col(START) + 1)).alias("weight"))
+        (d * (F.least(F.col(END), (f + 1) * width) - F.col(BEGIN) + 1)).alias("weight"))
     edge_last = F.when(l > f, F.struct(
         l.alias("bin"), (d * (F.col(END) - l * width)).alias("weight")))
     edges = located.select(CHR, F.explode(F.array(edge_first, edge_last)).alias("_edge")).filter(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trackloom.operators import ordered
-from trackloom.plans.registry import Query, as_long, query, same_sql
+from trackloom.plans.registry import Query, as_long, query, same_sql, single
 
 # A total order within a customer, so that every function is determined.
 _W = "PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey"
@@ -117,6 +117,44 @@ QUERIES: dict[str, Query] = {
         "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS UNBOUNDED PRECEDING)"),
 }
 
+
+def _by_brand(t):
+    return t.part.select("p_brand", "p_partkey", "p_size", "p_name", "p_retailprice")
+
+
+# Few keys, so each partition is a large share of the table: these run as folds
+# and tiled scans, which do not bring a partition into one task.
+_LARGE = {
+    "window_ranks": lambda t: ordered.ranks(
+        _by_brand(t).select("p_brand", "p_partkey", "p_size"), ["p_brand"], "p_size").select(
+        "p_brand", "p_partkey", F.col("rank").alias("r"), F.col("dense_rank").alias("dr"),
+        F.col("percent_rank").alias("pr"), F.col("cume_dist").alias("cd")),
+    "window_range_frame": lambda t: ordered.range_folds(
+        ordered.range_folds(_by_brand(t).select("p_brand", "p_partkey", "p_size"), ["p_brand"], "p_size",
+                            {"near": ("sum", F.lit(1))}, -5, 5),
+        ["p_brand"], "p_size", {"lo": ("min", F.col("p_partkey"))}).select("p_partkey", "near", "lo"),
+    "window_default_frame": lambda t: ordered.range_folds(
+        _by_brand(t).select("p_brand", "p_partkey", "p_size"), ["p_brand"], "p_size",
+        {"s": ("sum", F.col("p_size"))}).select("p_partkey", "s"),
+    "window_whole_partition": lambda t: ordered.partition_folds(
+        t.supplier.select("s_suppkey", "s_nationkey", "s_acctbal"), ["s_nationkey"],
+        {"n": F.count(F.lit(1)), "m": F.max("s_acctbal")}).select("s_suppkey", "n", "m"),
+    "window_statistics": lambda t: ordered.partition_folds(
+        _by_brand(t).select("p_brand", "p_partkey", "p_retailprice"), ["p_brand"],
+        {"a": single(F.avg("p_retailprice")), "s": single(F.stddev_pop("p_retailprice"))}).select("p_partkey", "a", "s"),
+    "window_several_partitionings": lambda t: ordered.row_numbers(
+        ordered.row_numbers(
+            t.customer.select("c_custkey", "c_nationkey", "c_mktsegment", (-F.col("c_acctbal")).alias("_order")),
+            ["c_nationkey"], ["_order", "c_custkey"], "by_nation"),
+        ["c_mktsegment"], ["_order", "c_custkey"], "by_segment").select("c_custkey", "by_nation", "by_segment"),
+    "window_chained_table_functions": lambda t: ordered.running_folds(
+        ordered.row_numbers(_by_brand(t).select("p_brand", "p_partkey", "p_name"), ["p_brand"],
+                            ["p_name", "p_partkey"], "r"),
+        ["p_brand"], ["p_name", "p_partkey"], {"s": ("sum", F.col("r"))}).select("p_brand", "p_partkey", "r", "s"),
+}
+for _name, _build in _LARGE.items():
+    QUERIES[_name] = query(_build, QUERIES[_name].sql)
+
 for _name, _columns in {
     "window_row_number": ("rn",), "window_ranks": ("r", "dr"), "window_ntile": ("part",),
     "window_several_partitionings": ("by_nation", "by_segment"), "window_over_expression": ("r",),
