@@ -80,6 +80,32 @@ def test_percentiles_of_one_hot_key(spark):
         assert got[key] == pytest.approx(values)
 
 
+def test_null_keys_are_a_partition_of_their_own(spark):
+    from pyspark.sql import Window
+
+    from trackloom.operators.ordered import ntiles, partition_folds, range_folds, shifted
+    from trackloom.operators.patterns import npath
+
+    df = spark.range(200).select(F.when(F.col("id") % 4 > 0, F.col("id") % 4).alias("k"),
+                                 (F.col("id") % 10).cast("int").alias("v"), "id")
+    w = Window.partitionBy("k").orderBy("id")
+    byv = Window.partitionBy("k").orderBy("v")
+
+    def same(got, *expected):
+        want = df.select("k", "v", "id", *expected)
+        assert got.select(want.columns).exceptAll(want).count() == 0 and got.count() == 200
+
+    same(row_numbers(df, ["k"], ["id"]), F.row_number().over(w).cast("bigint").alias("row_number"))
+    same(ranks(df, ["k"], "v"), F.rank().over(byv).cast("bigint").alias("rank"), F.cume_dist().over(byv).alias("cume_dist"))
+    same(ntiles(df, ["k"], ["id"], 7), F.ntile(7).over(w).alias("ntile"))
+    same(shifted(df, ["k"], ["id"], {"b": ("v", 1), "a": ("v", -3)}), F.lag("v").over(w).alias("b"), F.lead("v", 3).over(w).alias("a"))
+    same(partition_folds(df, ["k"], {"n": F.count(F.lit(1))}), F.count(F.lit(1)).over(Window.partitionBy("k")).alias("n"))
+    same(range_folds(df, ["k"], "v", {"s": ("sum", F.col("id"))}, -2, 1), F.sum("id").over(byv.rangeBetween(-2, 1)).alias("s"))
+    same(range_folds(df, ["k"], "v", {"s": ("sum", F.col("id"))}), F.sum("id").over(byv).alias("s"))
+    assert percentiles(df, ["k"], "v", [0.5]).count() == 4
+    assert npath(df, ["k"], ["id"], "A.B*", {"A": F.col("v") >= 0, "B": F.col("v") >= 0}).count() == 200
+
+
 def explained(frame):
     return frame._jdf.queryExecution().toString()
 

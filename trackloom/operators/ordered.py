@@ -19,6 +19,15 @@ from trackloom.operators.scans import FOLDS, TILE, scan
 from trackloom.session import checkpoint_folder
 
 
+# The key columns as one struct. It is never NULL and structs with equal NULL
+# fields are equal, so rows with a NULL key form a partition like any other.
+BY = "_by"
+
+
+def with_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return df.withColumn(BY, F.struct(*keys) if keys else F.struct(F.lit(0)))
+
+
 def cut_in_tiles(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Rows with a ``_tile`` number that rises with (keys, order)."""
     spark = df.sparkSession
@@ -42,7 +51,8 @@ def running_folds(
     outputs: dict[str, tuple[str, Column]],
 ) -> DataFrame:
     """Folds over ``ROWS UNBOUNDED PRECEDING .. CURRENT ROW``; ``order`` must be total."""
-    return scan(cut_in_tiles(df, keys, order), keys, order, outputs, inclusive=True)
+    tiled = with_key(cut_in_tiles(df, keys, order), keys)
+    return scan(tiled, [BY], order, outputs, inclusive=True).drop(BY)
 
 
 def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "row_number") -> DataFrame:
@@ -61,7 +71,7 @@ def ranks(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
         "_upto": ("sum", F.col("_n")), "dense_rank": ("sum", F.lit(1))})
     totals = upto.groupBy(*keys).agg(F.max("_upto").alias("_total"))
     rank = F.col("_upto") - F.col("_n") + 1
-    ranked = upto.join(totals, keys).select(
+    ranked = _attach(upto, totals, keys, ["_total"]).select(
         *keys, order, rank.alias("rank"), "dense_rank",
         F.when(F.col("_total") > 1, (rank - 1) / (F.col("_total") - 1)).otherwise(0.0).alias("percent_rank"),
         (F.col("_upto") / F.col("_total")).alias("cume_dist"))
@@ -78,7 +88,7 @@ def ntiles(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) ->
     large_rows = (total % n) * (small + 1)
     part = F.when(at < large_rows, F.floor(at / (small + 1))).otherwise(
         (total % n) + F.floor((at - large_rows) / F.greatest(small, F.lit(1))))
-    return numbered.join(sizes, keys).withColumn("ntile", (part + 1).cast("int")).drop("_rn", "_total")
+    return _attach(numbered, sizes, keys, ["_total"]).withColumn("ntile", (part + 1).cast("int")).drop("_rn", "_total")
 
 
 def shifted(
@@ -89,13 +99,12 @@ def shifted(
     Rows are numbered once and meet their neighbour in an equi-join on
     (keys, number), so the offset may reach across tiles.
     """
-    keys = list(keys)
-    numbered = row_numbers(df, keys, order, "_rn")
+    numbered = with_key(row_numbers(df, keys, order, "_rn"), list(keys))
     out = numbered
     for name, (column, offset) in values.items():
-        other = numbered.select(*keys, (F.col("_rn") + offset).alias("_rn"), F.col(column).alias(name))
-        out = out.join(other, [*keys, "_rn"], "left")
-    return out.drop("_rn")
+        other = numbered.select(BY, (F.col("_rn") + offset).alias("_rn"), F.col(column).alias(name))
+        out = out.join(other, [BY, "_rn"], "left")
+    return out.select(*df.columns, *values)
 
 
 def partition_folds(df: DataFrame, keys: Sequence[str], aggregates: dict[str, Column]) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.operators.ordered import cut_in_tiles
+from trackloom.operators.ordered import BY, cut_in_tiles, with_key
 from trackloom.operators.scans import scan
 
 
@@ -29,16 +29,16 @@ def _elements(pattern: str, symbols: dict[str, Column]) -> list[tuple[str, str]]
 def numbered_runs(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], symbols: dict[str, Column]
 ) -> DataFrame:
-    """Rows with ``_at`` (their number within the key) and, per symbol, ``_until_<symbol>``:
+    """Rows with their key as a struct, ``_at`` (their number within the key) and, per symbol, ``_until_<symbol>``:
     the number of the first row from here on that does not match."""
-    tiled = cut_in_tiles(df, keys, order)
-    numbered = scan(tiled, keys, order, {"_at": ("sum", F.lit(1))}, inclusive=True, keep_tile=True)
+    tiled = with_key(cut_in_tiles(df, keys, order), keys)
+    numbered = scan(tiled, [BY], order, {"_at": ("sum", F.lit(1))}, inclusive=True, keep_tile=True)
     fails = {
         f"_until_{name}": ("min", F.when(~F.coalesce(test, F.lit(False)), F.col("_at")))
         for name, test in symbols.items()}
-    runs = scan(numbered, keys, ["_at"], fails, backward=True, inclusive=True)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    runs = runs.join(sizes, list(keys))
+    runs = scan(numbered, [BY], ["_at"], fails, backward=True, inclusive=True)
+    sizes = tiled.groupBy(BY).agg(F.count(F.lit(1)).alias("_rows"))
+    runs = runs.join(sizes, BY)
     return runs.withColumns({
         n: F.coalesce(F.col(n), F.col("_rows") + 1) for n in fails}).drop("_rows")
 
@@ -56,17 +56,16 @@ def npath(
     the pattern moves a cursor, by an equi-join on (key, row number), so no
     task holds the rows of a key. ``order`` must be total within a key.
     """
-    keys = list(keys)
     runs = numbered_runs(df, keys, order, symbols)
     used = {name for name, _ in _elements(pattern, symbols)}
-    stops = runs.select(*keys, F.col("_at").alias("_cursor"), *[f"_until_{n}" for n in used])
-    found = runs.select(*keys, *[c for c in df.columns if c not in keys], F.col("_at").alias("path_start"),
+    stops = runs.select(BY, F.col("_at").alias("_cursor"), *[f"_until_{n}" for n in used])
+    found = runs.select(BY, *df.columns, F.col("_at").alias("path_start"),
                         F.col("_at").alias("_cursor"), *[f"_until_{n}" for n in used])
     ends = [f"_until_{n}" for n in used]
     for step, (name, repeat) in enumerate(_elements(pattern, symbols)):
         if step:
             # A cursor past the last row finds nothing: only ``*`` can match there.
-            found = found.drop(*ends).join(stops, [*keys, "_cursor"], "left")
+            found = found.drop(*ends).join(stops, [BY, "_cursor"], "left")
         until, cursor = F.col(f"_until_{name}"), F.col("_cursor")
         if repeat == "*":
             found = found.withColumn("_cursor", F.coalesce(until, cursor))

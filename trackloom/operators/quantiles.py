@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackloom.operators.ordered import BY, with_key
 from trackloom.operators.scans import running
 
 
@@ -19,20 +20,20 @@ def percentiles(
     tiles, and each rank is the smallest value whose running count exceeds it.
     """
     keys = list(keys)
-    counted = df.filter(F.col(value).isNotNull()).groupBy(
-        *keys, F.col(value).cast("bigint").alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running(counted, "_value", {"_upto": ("sum", F.col("_n"))}, inclusive=True, by=keys)
-    totals = counted.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    placed = ranked.join(totals, keys)
+    counted = with_key(df, keys).filter(F.col(value).isNotNull()).groupBy(
+        BY, F.col(value).cast("bigint").alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = running(counted, "_value", {"_upto": ("sum", F.col("_n"))}, inclusive=True, by=[BY])
+    totals = counted.groupBy(BY).agg(F.sum("_n").alias("_total"))
+    placed = ranked.join(totals, BY)
 
     def at(rank: Column) -> Column:
         return F.min(F.when(F.col("_upto") > rank, F.col("_value")))
 
     spots = [F.lit(float(f)) * (F.col("_total") - 1) for f in fractions]
-    picked = placed.groupBy(*keys).agg(
+    picked = placed.groupBy(BY).agg(
         F.max("_total").alias("_total"),
         *[at(F.floor(s)).alias(f"_lo{i}") for i, s in enumerate(spots)],
         *[at(F.ceil(s)).alias(f"_hi{i}") for i, s in enumerate(spots)])
-    return picked.select(*keys, F.array(*[
+    return picked.select(*[F.col(f"{BY}.{k}").alias(k) for k in keys], F.array(*[
         F.col(f"_lo{i}") + (s - F.floor(s)) * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))
         for i, s in enumerate(spots)]).alias("percentiles"))
