@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackloom.session import checkpoint_folder
-from trackloom.sources import files, tables, text
+from trackloom.sources import files, tables, text, tracks
 
 
 def test_delimited_nested_values(spark, tmp_path):
@@ -88,3 +88,15 @@ def test_checkpoint_folder():
         checkpoint_folder(_Session("yarn"))
     local = _Session("local[2]")
     assert checkpoint_folder(local) == local.folder == checkpoint_folder(local)
+
+
+def test_interval_files(spark, tmp_path):
+    (tmp_path / "a.narrowPeak").write_text("chr1\t9\t20\tp1\t500\t+\t3.5\t1.0\t-1\t4\n")
+    row = tracks.read_narrow_peaks(spark, str(tmp_path / "a.narrowPeak")).first()
+    assert (row["chr"], row["chrstart"], row["chrend"], row["value"], row["name"]) == ("chr1", 10, 20, 3.5, "p1")
+    (tmp_path / "a.gtf").write_text(
+        '#header\nchr1\tX\tgene\t10\t20\t.\t+\t.\tgene_type "protein_coding"; level 2;\n')
+    row = tracks.read_annotation(spark, str(tmp_path / "a.gtf")).first()
+    assert row["feature"] == "gene" and 'gene_type "protein_coding"' in row["attributes"]
+    (tmp_path / "sizes").write_text("chrS\t355\n")
+    assert tuple(tracks.read_chromosome_sizes(spark, str(tmp_path / "sizes")).first()) == ("chrS", 355)

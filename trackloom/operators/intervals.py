@@ -120,3 +120,37 @@ def filter_location(df: DataFrame, name: str, chr: str, start: int, end: int) ->
     The predicate is plain comparisons, so it is pushed into the scan.
     """
     return df.filter(located(name, side(), literal(chr, start, end)))
+
+
+def with_interval(df: DataFrame) -> DataFrame:
+    """Add the interval as one struct column, ``interval``, with every column of the row."""
+    return df.withColumn("interval", F.struct(*df.columns))
+
+
+# The same predicates as SQL expressions over two interval structs.
+_SQL_LOCATION = {
+    "overlaps_with": "a.chrstart <= b.chrend AND a.chrend >= b.chrstart",
+    "contains_interval": "a.chrstart <= b.chrstart AND a.chrend >= b.chrend",
+    "lies_within": "b.chrstart <= a.chrstart AND b.chrend >= a.chrend",
+    "coincides_with": "a.chrstart = b.chrstart AND a.chrend = b.chrend",
+    "adjacent_to": "a.chrend + 1 = b.chrstart OR a.chrstart - 1 = b.chrend",
+    "precedes": "a.chrend < b.chrstart",
+    "follows": "a.chrstart > b.chrend",
+}
+
+
+def register_sql_functions(spark: SparkSession) -> None:
+    """Location predicates, length and distance for use in SQL text.
+
+    They take structs ``(chr, chrstart, chrend)`` and are expanded into the
+    query, so comparisons with constants reach the scan. To join two large
+    tracks use ``overlap.overlap_join``, as SQL would compare all pairs of a
+    chromosome.
+    """
+    kind = "STRUCT<chr: STRING, chrstart: BIGINT, chrend: BIGINT>"
+    for name, test in _SQL_LOCATION.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(a {kind}, b {kind}) "
+                  f"RETURN a.chr = b.chr AND ({test})")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION interval_length(a {kind}) RETURN a.chrend - a.chrstart + 1")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION interval_distance(a {kind}, b {kind}) RETURN "
+              "CASE WHEN a.chr = b.chr THEN greatest(0, b.chrstart - a.chrend, a.chrstart - b.chrend) END")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from trackloom.plans.registry import Query, Tables, query
 from trackloom.session import checkpoint_folder
-from trackloom.sources import files, tables, text
+from trackloom.sources import files, tables, text, tracks
 
 
 def scratch(t: Tables) -> str:
@@ -175,7 +175,18 @@ def _partition_commands(t: Tables):
     return t.spark.sql(f"SHOW PARTITIONS {name}")
 
 
+def _bed(t: Tables):
+    from trackloom.plans.tracks import a_track
+
+    path = _written(t, a_track(t), tracks.write_bed)
+    return tracks.read_bed(t.spark, path)
+
+
 QUERIES: dict[str, Query] = {
+    "storage_bed": query(
+        _bed, "SELECT 'chr' || (l_suppkey % 5 + 1) AS chr, l_orderkey * 10 + l_linenumber AS chrstart, "
+        "l_orderkey * 10 + l_linenumber + CAST(l_quantity AS BIGINT) AS chrend, l_extendedprice / 1000 AS value "
+        "FROM lineitem WHERE l_linestatus = 'O'"),
     "storage_delimited_nested": query(_delimited, _FLAT_SQL),
     "storage_orc": query(_orc, "SELECT l_orderkey, l_partkey, l_extendedprice FROM lineitem WHERE l_quantity > 45"),
     "storage_json": query(_json, "SELECT event_id, event_type, value FROM events"),

@@ -353,3 +353,22 @@ QUERIES["track_pair_closest"] = query(
     f"SELECT {_PAIR_COLUMNS}, d.distance FROM a JOIN d ON a.chr = d.chr AND a.chrstart = d.chrstart "
     f"AND a.chrend = d.chrend JOIN b ON a.chr = b.chr AND {_DISTANCE} = d.distance",
 )
+
+# SQL functions and files ------------------------------------------------------
+
+
+def _sql_functions(t: Tables) -> DataFrame:
+    iv.register_sql_functions(t.spark)
+    spot = "named_struct('chr', 'chr2', 'chrstart', 20010L, 'chrend', 20012L)"
+    whole = "named_struct('chr', chr, 'chrstart', chrstart, 'chrend', chrend)"
+    return t.spark.sql(
+        f"SELECT chr, chrstart, chrend, interval_length({whole}) AS length, "
+        f"interval_distance({whole}, {spot}) AS distance FROM {{a}} "
+        f"WHERE follows({whole}, {spot}) AND interval_length({whole}) > 20", a=a_track(t))
+
+
+QUERIES["track_sql_functions"] = query(
+    _sql_functions,
+    f"{WITH_A} SELECT chr, chrstart, chrend, {A_LEN} AS length, chrstart - 20012 AS distance FROM a "
+    f"WHERE chr = 'chr2' AND chrstart > 20012 AND {A_LEN} > 20",
+)
