@@ -57,9 +57,13 @@ def spread(
     point: Column | None = None,
     cover_role: int = 0,
     point_role: int = 0,
+    point_top: Column | None = None,
 ) -> DataFrame:
     """One row per node: the cover of ``[lo, hi]`` and / or the ancestors of a position.
 
+    Next to a cover, ancestors go up to ``point_top``, the highest level of the
+    covers they are to meet, where that is lower than ``top``.
+
     ``role`` keeps two different containment questions apart in the same join.
     The only generator runs over slot numbers; which node a slot stands for, if
     any, is plain arithmetic on longs, so all of it stays in one code span.
@@ -91,7 +95,11 @@ def spread(
             (up <= down) & (right < last), _node(right, level, cover_role)))
     if point is not None:
         ancestor = _node(_shift_right(point, bits), level, point_role)
-        node = ancestor if node is None else node.otherwise(ancestor)
+        if node is None:
+            node = ancestor
+        else:
+            reached = ancestor if point_top is None else F.when(level <= point_top, ancestor)
+            node = node.otherwise(reached)
     out = leveled.withColumn(NODE, node)
     if cover is not None:
         out = out.filter(F.col(NODE).isNotNull())

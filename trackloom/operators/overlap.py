@@ -41,16 +41,17 @@ def overlap_join(
     that is within the bound is broadcast, which spares shuffling a large a.
     """
     few = broadcast_rows > 0 and b.limit(broadcast_rows + 1).count() <= broadcast_rows
-    top = top_level(a, b)
+    top_a, top_b = top_level(a), top_level(b)
     if reach:
         # Widening adds 2 * reach to a length: log4 grows by at most that many levels.
-        top = top + F.lit((2 * reach).bit_length() // 2 + 1)
+        top_a = top_a + F.lit((2 * reach).bit_length() // 2 + 1)
+    top = F.greatest(top_a, top_b)
     left = _prefixed(a, "a_")
     right = _prefixed(b, "b_")
     lo, hi = F.col("a_" + BEGIN) - reach, F.col("a_" + END) + reach
-    left = spread(left, top, cover=(lo, hi), cover_role=0, point=lo, point_role=1)
+    left = spread(left, top, cover=(lo, hi), cover_role=0, point=lo, point_role=1, point_top=top_b)
     right = spread(right, top, cover=(F.col("b_" + BEGIN) + 1, F.col("b_" + END)), cover_role=1,
-                   point=F.col("b_" + BEGIN), point_role=0)
+                   point=F.col("b_" + BEGIN), point_role=0, point_top=top_a)
     if few:
         return left.join(F.broadcast(right), [NODE, CHR]).drop(NODE)
     return node_join(left, right).drop(NODE)
