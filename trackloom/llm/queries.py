@@ -1,0 +1,23 @@
+"""The registered queries of the training-data operators, and their SQL where it exists."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from trackloom.llm.minhash_join import near_duplicates
+from trackloom.session import configure
+
+
+def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return configure(spark).read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+
+
+def op6_minhash_join(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(_table(spark, folder, "documents"), shingle=3, percent=85)
+
+
+QUERIES = {
+    "op6_minhash_join": op6_minhash_join,
+}
+
+SQL: dict[str, str] = {}
