@@ -1,8 +1,8 @@
 """Near-duplicate documents by an inverted join on MinHash coordinates.
 
-Every distinct shingle set is posted under its first coordinate-value pairs. Two
-signatures that agree on at least ``t`` of ``k`` coordinates agree on one of the first
-``k - t + 1``, so those prefixes bring every candidate pair together. A hot posting
+Every distinct shingle set is posted under its rarest coordinate-value pairs. Two
+signatures that agree on at least ``t`` of ``k`` coordinates share one of the rarest
+``k - t + 1`` of each, so those prefixes bring every candidate pair together. A hot posting
 list (thousands of near copies) is not expanded into pairs: its documents are compared
 with the most central of them first, what is linked is merged, and only documents of
 different components are looked at again, tile by tile.
@@ -10,6 +10,7 @@ different components are looked at again, tile by tile.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,11 +23,13 @@ from trackloom.llm.components import connected_components, saved
 from trackloom.llm.words import SEED, WordHasher, mixed
 
 COORDINATES = 64
-# At a similarity of 0.85 a signature agrees on 54.4 of 64 coordinates, deviation 2.9;
-# fewer than 40 happens to about one pair in a million.
-MATCHES = 40
+# Bins of the byte sketch that candidates of long lists are compared by.
+BIN_BITS = 9
+BINS = 1 << BIN_BITS
 # Rows of one tile of a posting list.
-TILE = 512
+TILE = 256
+# Rows (after repeating them for their tiles) that are compared in one call.
+BUNDLE = 4000
 
 
 def _signer(shingle: int, coordinates: int):
@@ -67,13 +70,20 @@ def _signer(shingle: int, coordinates: int):
                     for k in range(coordinates):
                         value = np.minimum.reduceat((hashes ^ flips[k]) * factors[k], begin)
                         signature[full, k] = value >> np.uint64(32)
+                # Sketch: the least hash of each of BINS ranges, one byte each, 0 where none.
+                sketch = np.zeros((len(counts), BINS), np.uint8)
+                bins = (hashes >> np.uint64(64 - BIN_BITS)).astype(np.int64)
+                least = np.ones(len(doc), bool)
+                least[1:] = (doc[1:] != doc[:-1]) | (bins[1:] != bins[:-1])
+                sketch[doc[least], bins[least]] = 1 + hashes[least] % np.uint64(255)
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.arange(len(counts) + 1, dtype=np.int32) * coordinates),
                     pa.array(signature.ravel().view(np.int32)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(row, end - row), pa.array(n),
-                     pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), lists],
-                    names=["node", "n_shingles", "s1", "s2", "signature"])
+                     pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), lists,
+                     pa.array([r.tobytes() for r in sketch], pa.binary())],
+                    names=["node", "n_shingles", "s1", "s2", "signature", "sketch"])
 
     return sign
 
@@ -107,36 +117,91 @@ def _confirmer(shingle: int, percent: int):
     return confirm
 
 
-def _tile_pairs(matches: int, prefix: int):
-    """Cross-component pairs of one tile of a posting list with enough equal coordinates."""
+def _members(shingle: int):
+    """(node, text) to (node, n_shingles, crc32 of every shingle of its set)."""
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text in batch.column(1):
+                found = {zlib.crc32(b" ".join(s)) for s in _set_of(text.as_py(), shingle)}
+                rows.append(np.fromiter(found, np.uint32, len(found)).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(rows, pa.binary())], names=["node", "members"])
+
+    return members
+
+
+def _tile_pairs(percent: int):
+    """Cross-component pairs that may reach the threshold, of a bundle of tiles.
+
+    Of the bins that either set fills, about the similarity's share hold the same value;
+    a pair at the threshold is 5 deviations above the bound used here. Tiles of long
+    lists bring the whole sets, and only pairs that these link leave the task.
+    """
+    share = percent / 100
 
     def pairs(table: pa.Table) -> pa.Table:
-        left = table.filter(pa.compute.equal(table["side"], 0))
-        right = table.filter(pa.compute.equal(table["side"], 1))
-        out_a, out_b = [], []
-        if left.num_rows and right.num_rows:
-            width = len(left["signature"][0])
-
-            def columns(part):
-                return (part["node"].to_numpy(), part["component"].to_numpy(),
-                        np.asarray(pa.compute.list_flatten(part["signature"])).reshape(-1, width))
-
-            a, ca, sa = columns(left)
-            b, cb, sb = columns(right)
-            coordinate = table["coordinate"][0].as_py()
-            for i in range(len(a)):
-                equal = sb == sa[i]
-                # Each pair belongs to the first coordinate of the prefix that it shares.
-                here = (equal.sum(1) >= matches) & (cb != ca[i]) & (b < a[i])
-                here &= ~equal[:, :min(coordinate, prefix)].any(1)
-                out_a.append(np.full(here.sum(), a[i]))
-                out_b.append(b[here])
-        join = (lambda x: np.concatenate(x) if x else np.zeros(0, np.int64))
-        return pa.table({"a": pa.array(join(out_a), pa.int64()), "b": pa.array(join(out_b), pa.int64())})
+        tile = np.stack([table[c].to_numpy().astype(np.int64) for c in ("key", "i", "j", "side")])
+        order = np.lexsort(tile[::-1])
+        key, i, j, side = tile[:, order]
+        node = table["node"].to_numpy()[order]
+        component = table["component"].to_numpy()[order]
+        size = table["n_shingles"].to_numpy()[order]
+        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, BINS)[order]
+        members = table["members"].to_pylist() if "members" in table.column_names else None
+        new = (np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)
+        begins = np.append(np.flatnonzero(np.concatenate([[True], new])), len(key))
+        found = [np.zeros((2, 0), np.int64)]
+        for begin, end in zip(begins[:-1], begins[1:]):
+            middle = end if i[begin] == j[begin] else begin + int(np.sum(side[begin:end] == 0))
+            if members:
+                sets = [frozenset(np.frombuffer(members[order[r]], np.uint32).tolist()) for r in range(begin, end)]
+            for row in range(begin, middle):
+                low = row + 1 if middle == end else middle
+                rest = low + np.flatnonzero(
+                    (component[low:end] != component[row]) & (100 * size[low:end] >= percent * size[row])
+                    & (100 * size[row] >= percent * size[low:end]))
+                theirs, own = sketch[rest], sketch[row]
+                either = ((theirs | own) > 0).sum(1)
+                same = ((theirs == own) & (own > 0)).sum(1)
+                hits = rest[same >= share * either - 5 * np.sqrt(either * share * (1 - share))]
+                if members and len(hits):
+                    # Equal check sums can add a little, so a margin goes to the full check.
+                    mine = sets[row - begin]
+                    common = np.array([len(mine & sets[h - begin]) + 2 for h in hits])
+                    hits = hits[100 * common >= percent * (size[row] + size[hits] - common)]
+                if len(hits):
+                    mine = np.full(len(hits), node[row])
+                    found.append(np.stack([np.maximum(node[hits], mine), np.minimum(node[hits], mine)]))
+        a, b = np.unique(np.concatenate(found, 1), axis=1)
+        return pa.table({"a": a, "b": b})
 
     return pairs
 
 
+def _tiled(lists: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs of posting lists (key, node, component, n), tile by tile."""
+    slices = F.ceil(F.col("n") / TILE).cast("int")
+    bundles = lists.select(F.sum(slices)).first()[0] or 0
+    cut = lists.join(sketches, "node").withColumn("mine", F.pmod(F.xxhash64("node"), slices).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), slices - 1)))
+    cut = cut.withColumns({
+        "i": F.least("mine", "other"), "j": F.greatest("mine", "other"),
+        "side": (F.col("mine") > F.col("other")).cast("int"),
+        "bundle": F.pmod(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")),
+                         F.lit(max(1, bundles // BUNDLE)))})
+    cut = cut.select("key", "node", "component", "i", "j", "side", "bundle", *sketches.columns[1:])
+    return cut.groupBy("bundle").applyInArrow(_tile_pairs(percent), "a long, b long")
+
+
+def _unmerged(posts: DataFrame) -> DataFrame:
+    """Posts of the lists that hold more than one component, with the lists' sizes."""
+    lists = posts.groupBy("key").agg(
+        F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+    return posts.join(lists.filter("low < high").select("key", "n"), "key")
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, confirm) -> DataFrame:
     """Links among pairs (a, b): texts come by two shuffled joins, only those in a pair."""
     node = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
@@ -174,23 +239,32 @@ def near_duplicates(
         matches = max(1, int(coordinates * share - 5 * spread))
     prefix = coordinates - matches + 1
     source = docs.select(F.col(id_column).cast("long").alias("node"), F.col(text_column).alias("text"))
-    schema = ("node long, n_shingles long, s1 long, s2 long, signature array<int>")
+    schema = ("node long, n_shingles long, s1 long, s2 long, signature array<int>, sketch binary")
     signed = saved(source.mapInArrow(_signer(shingle, coordinates), schema))
 
     # Documents with one shingle set are one class; only its smallest id goes on.
     kinds = signed.filter("n_shingles > 0 AND node IS NOT NULL")
     classes = saved(kinds.groupBy("s1", "s2", "n_shingles").agg(
-        F.min_by("signature", "node").alias("signature"), F.min("node").alias("rep")))
-    nodes = classes.select(F.col("rep").alias("node"), "signature")
-
-    posts = nodes.select("node", F.posexplode(F.slice("signature", 1, prefix)).alias("coordinate", "value"))
-    lists = posts.groupBy("coordinate", "value").agg(F.count("*").alias("n")).filter("n > 1")
-    posts = saved(posts.join(lists, ["coordinate", "value"]))
+        F.min("node").alias("rep"), F.count("*").alias("members")))
+    nodes = saved(signed.join(classes.select(F.col("rep").alias("node"), "s1", "s2"), ["node", "s1", "s2"]).select(
+        "node", "n_shingles", "signature", "sketch").dropDuplicates(["node"]))
+
+    # Prefix: a document's rarest coordinate-value pairs, so a line that many documents
+    # share brings none of them together. Pairs of one document only come first of all.
+    tokens = nodes.select("node", F.explode(F.transform(
+        "signature", lambda value, i: F.xxhash64(i, value))).alias("key"))
+    counts = tokens.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = tokens.join(counts, "key").groupBy("node").agg(
+        F.sort_array(F.collect_list(F.struct("n", "key"))).alias("shared"))
+    spare = F.lit(prefix - coordinates) + F.size("shared")
+    posts = saved(shared.filter(spare > 0).select("node", F.explode(
+        F.slice("shared", F.lit(1), spare)).alias("post")).select("node", "post.key", "post.n"))
     # The most central document has its coordinates in common with the most others.
     weight = posts.groupBy("node").agg(F.sum("n").alias("weight"))
-    ranked = posts.join(weight, "node").withColumn("rank", F.struct("weight", (-F.col("node")).alias("back")))
-    leaders = ranked.groupBy("coordinate", "value").agg(F.max("rank").alias("top"))
-    stars = posts.join(leaders, ["coordinate", "value"]).select(
+    ranked = posts.join(weight, "node").withColumn(
+        "rank", F.struct("weight", (-F.col("node")).alias("back")))
+    leaders = ranked.groupBy("key").agg(F.max("rank").alias("top"))
+    stars = posts.join(leaders, "key").select(
         F.col("node").alias("a"), (-F.col("top.back")).alias("b")).filter("a != b").distinct()
     texts = source.filter("node IS NOT NULL")
     confirm = _confirmer(shingle, percent)
@@ -202,27 +276,14 @@ def near_duplicates(
     merged = connected_components(near)
 
     # What remains: pairs in one list whose documents are not connected yet.
-    open_posts = posts.join(merged, "node", "left").select(
-        "coordinate", "value", "node", F.coalesce("component", "node").alias("component"), "n")
-    mixed_lists = open_posts.groupBy("coordinate", "value").agg(
-        F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    open_posts = open_posts.join(mixed_lists.select("coordinate", "value"), ["coordinate", "value"])
-    slices = F.ceil(F.col("n") / TILE).cast("int")
-    mine = F.pmod(F.xxhash64("node"), slices).cast("int")
-    open_posts = open_posts.join(nodes, "node").withColumn("mine", mine)
-    open_posts = open_posts.withColumn("other", F.explode(F.sequence(F.lit(0), slices - 1)))
-    tiles = open_posts.select(
-        "coordinate", "value", "node", "component", "signature",
-        F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
-        F.explode(F.when(F.col("mine") == F.col("other"), F.array(F.lit(0), F.lit(1)))
-                  .when(F.col("mine") < F.col("other"), F.array(F.lit(0)))
-                  .otherwise(F.array(F.lit(1)))).alias("side"))
-    # Off the diagonal the smaller id may lie on either side, so both orders are tried.
-    swapped = tiles.filter("i != j").withColumn("side", 1 - F.col("side")).select(
-        "coordinate", "value", "node", "component", "signature",
-        F.col("j").alias("i"), F.col("i").alias("j"), "side")
-    rest = tiles.unionByName(swapped).groupBy("coordinate", "value", "i", "j").applyInArrow(
-        _tile_pairs(matches, prefix), "a long, b long")
+    open_lists = saved(_unmerged(posts.drop("n").join(merged, "node", "left").withColumn(
+        "component", F.coalesce("component", "node"))))
+    sketches = nodes.select("node", "n_shingles", "sketch")
+    long_lists = open_lists.filter(F.col("n") > TILE)
+    whole = texts.join(long_lists.select("node").distinct(), "node", "left_semi").mapInArrow(
+        _members(shingle), "node long, members binary")
+    rest = _tiled(open_lists.filter(F.col("n") <= TILE), sketches, percent).unionByName(
+        _tiled(long_lists, sketches.join(whole.dropDuplicates(["node"]), "node"), percent)).distinct()
     tried = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     rest = rest.join(tried, ["a", "b"], "left_anti")
     more = saved(_confirmed(rest, texts, confirm))
