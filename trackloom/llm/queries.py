@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from trackloom.llm.minhash_join import near_duplicates
+from trackloom.llm.pareto import PARETO_SQL, pareto_mix
 from trackloom.session import configure
 
 
@@ -16,8 +17,16 @@ def op6_minhash_join(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_table(spark, folder, "documents"), shingle=3, percent=85)
 
 
+def op7_pareto_mix(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = pareto_mix(_table(spark, folder, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
     "op6_minhash_join": op6_minhash_join,
+    "op7_pareto_mix": op7_pareto_mix,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op7_pareto_mix": PARETO_SQL,
+}
