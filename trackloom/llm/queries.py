@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from trackloom.llm.minhash_join import near_duplicates
 from trackloom.llm.pareto import PARETO_SQL, pareto_mix
+from trackloom.llm.phrases import remove_repeats
 from trackloom.session import configure
 
 
@@ -13,6 +15,12 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def op5_repeated_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    stripped = remove_repeats(_table(spark, folder, "documents"))
+    return stripped.select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op6_minhash_join(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_table(spark, folder, "documents"), shingle=3, percent=85)
 
@@ -23,6 +31,7 @@ def op7_pareto_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_repeated_phrases": op5_repeated_phrases,
     "op6_minhash_join": op6_minhash_join,
     "op7_pareto_mix": op7_pareto_mix,
 }
