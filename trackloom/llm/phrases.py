@@ -207,11 +207,12 @@ def remove_repeats(
                         F.col(text_column).alias("text")).repartition("block")
     phrases = dealt.groupBy("block").applyInArrow(
         _phrases(window), "phrase string, block long, low long, high long")
-    confirmed = phrases.groupBy("phrase").agg(F.min("low").alias("a"), F.max("high").alias("b")).filter("a < b")
-    patterns = phrases.join(confirmed, "phrase", "left_semi").select("block", "phrase")
+    # At most one row of a phrase, and later of a window, for each block.
+    same = Window.partitionBy("phrase")
+    patterns = phrases.withColumns({"a": F.min("low").over(same), "b": F.max("high").over(same)}).filter(
+        "a < b").select("block", "phrase")
     near = dealt.groupBy("block").cogroup(patterns.groupBy("block")).applyInArrow(
         _recurring(window), "h1 long, h2 long, block long, low long, high long")
-    # At most one row of a window for each block.
     same = Window.partitionBy("h1", "h2")
     seen = near.withColumn("least", F.min("low").over(same)).filter("least < high").select(
         "block", "h1", "h2", F.col("least").alias("low"))
