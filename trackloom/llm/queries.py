@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackloom.llm.language import held_out, identify_language
 from trackloom.llm.minhash_join import near_duplicates
 from trackloom.llm.pareto import PARETO_SQL, pareto_mix
 from trackloom.llm.phrases import remove_repeats
+from trackloom.llm.secret_scan import count_kind, find_secrets, joined
 from trackloom.session import configure
 
 
@@ -30,10 +32,27 @@ def op7_pareto_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_language_codes(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    learn = docs.filter("doc_id IS NOT NULL").filter(~held_out("doc_id"))
+    found = identify_language(docs, learn)
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op10_secret_markov(spark: SparkSession, folder: str) -> DataFrame:
+    found = find_secrets(_table(spark, folder, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    return found.select(
+        "doc_id", *[count_kind(F.col("spans"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 QUERIES = {
     "op5_repeated_phrases": op5_repeated_phrases,
     "op6_minhash_join": op6_minhash_join,
     "op7_pareto_mix": op7_pareto_mix,
+    "op9_language_codes": op9_language_codes,
+    "op10_secret_markov": op10_secret_markov,
 }
 
 SQL: dict[str, str] = {
