@@ -26,8 +26,10 @@ COORDINATES = 64
 # Bins of the byte sketch that candidates of long lists are compared by.
 BIN_BITS = 9
 BINS = 1 << BIN_BITS
-# Rows of one tile of a posting list.
-TILE = 256
+# Posts in a list from which pairs are checked on whole sets before they leave the task,
+# and rows of one tile of a list.
+LONG = 64
+TILE = 1024
 # Rows (after repeating them for their tiles) that are compared in one call.
 BUNDLE = 4000
 
@@ -279,10 +281,10 @@ def near_duplicates(
     open_lists = saved(_unmerged(posts.drop("n").join(merged, "node", "left").withColumn(
         "component", F.coalesce("component", "node"))))
     sketches = nodes.select("node", "n_shingles", "sketch")
-    long_lists = open_lists.filter(F.col("n") > TILE)
+    long_lists = open_lists.filter(F.col("n") > LONG)
     whole = texts.join(long_lists.select("node").distinct(), "node", "left_semi").mapInArrow(
         _members(shingle), "node long, members binary")
-    rest = _tiled(open_lists.filter(F.col("n") <= TILE), sketches, percent).unionByName(
+    rest = _tiled(open_lists.filter(F.col("n") <= LONG), sketches, percent).unionByName(
         _tiled(long_lists, sketches.join(whole.dropDuplicates(["node"]), "node"), percent)).distinct()
     tried = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     rest = rest.join(tried, ["a", "b"], "left_anti")
