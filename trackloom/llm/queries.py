@@ -9,6 +9,7 @@ from trackloom.llm.language import held_out, identify_language
 from trackloom.llm.minhash_join import near_duplicates
 from trackloom.llm.pareto import PARETO_SQL, pareto_mix
 from trackloom.llm.phrases import remove_repeats
+from trackloom.llm.pii import find_personal_data
 from trackloom.llm.secret_scan import count_kind, find_secrets, joined
 from trackloom.session import configure
 
@@ -32,6 +33,14 @@ def op7_pareto_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_pii_skip_chain(spark: SparkSession, folder: str) -> DataFrame:
+    found = find_personal_data(_table(spark, folder, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    return found.select(
+        "doc_id", *[count_kind(F.col("spans"), k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")],
+        F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op9_language_codes(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     learn = docs.filter("doc_id IS NOT NULL").filter(~held_out("doc_id"))
@@ -51,6 +60,7 @@ QUERIES = {
     "op5_repeated_phrases": op5_repeated_phrases,
     "op6_minhash_join": op6_minhash_join,
     "op7_pareto_mix": op7_pareto_mix,
+    "op8_pii_skip_chain": op8_pii_skip_chain,
     "op9_language_codes": op9_language_codes,
     "op10_secret_markov": op10_secret_markov,
 }
