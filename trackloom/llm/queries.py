@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trackloom.llm.language import held_out, identify_language
 from trackloom.llm.minhash_join import near_duplicates
+from trackloom.llm.page_text import extract_pages
 from trackloom.llm.pareto import PARETO_SQL, pareto_mix
 from trackloom.llm.phrases import remove_repeats
 from trackloom.llm.pii import find_personal_data
@@ -18,6 +19,10 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def op1_tag_path_text(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_pages(_table(spark, folder, "pages"))
+
+
 def op5_repeated_phrases(spark: SparkSession, folder: str) -> DataFrame:
     stripped = remove_repeats(_table(spark, folder, "documents"))
     return stripped.select(
@@ -57,6 +62,7 @@ def op10_secret_markov(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_tag_path_text": op1_tag_path_text,
     "op5_repeated_phrases": op5_repeated_phrases,
     "op6_minhash_join": op6_minhash_join,
     "op7_pareto_mix": op7_pareto_mix,
