@@ -42,9 +42,10 @@ class _Windows:
         return words.first[doc] + at, doc
 
     def hashes(self, words: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return tuple(
-            r.ranges(r.prefix(h), at, at + self.window).view(np.int64)
-            for r, h in zip(self.rolling, (words.h1, words.h2)))
+        """96 bits of each window: 64 in the first array and 32 in the second."""
+        h1, h2 = (r.ranges(r.prefix(h), at, at + self.window).view(np.int64)
+                  for r, h in zip(self.rolling, (words.h1, words.h2)))
+        return h1, h2 >> 32
 
     def chosen(self, words: Words, at: np.ndarray) -> np.ndarray:
         """The first word of the phrase that each window chooses, the leftmost least hash."""
@@ -136,7 +137,7 @@ def _recurring(window: int):
         new = np.concatenate([[True], (np.diff(h1) != 0) | (np.diff(h2) != 0)])[:len(h1)]
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(h1)) - 1 if len(h1) else first
-        return pa.table({"h1": h1[first], "h2": h2[first], "block": np.full(len(first), number),
+        return pa.table({"h1": h1[first], "h2": h2[first].astype(np.int32), "block": np.full(len(first), number),
                          "low": node[first], "high": node[last]})
 
     return recurring
@@ -212,7 +213,7 @@ def remove_repeats(
     patterns = phrases.withColumns({"a": F.min("low").over(same), "b": F.max("high").over(same)}).filter(
         "a < b").select("block", "phrase")
     near = dealt.groupBy("block").cogroup(patterns.groupBy("block")).applyInArrow(
-        _recurring(window), "h1 long, h2 long, block long, low long, high long")
+        _recurring(window), "h1 long, h2 int, block long, low long, high long")
     same = Window.partitionBy("h1", "h2")
     seen = near.withColumn("least", F.min("low").over(same)).filter("least < high").select(
         "block", "h1", "h2", F.col("least").alias("low"))
