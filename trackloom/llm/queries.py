@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trackloom.llm.language import held_out, identify_language
 from trackloom.llm.minhash_join import near_duplicates
+from trackloom.llm.packing import pack_documents
 from trackloom.llm.page_text import extract_pages
 from trackloom.llm.pareto import PARETO_SQL, pareto_mix
 from trackloom.llm.phrases import remove_repeats
@@ -23,6 +24,15 @@ def op1_tag_path_text(spark: SparkSession, folder: str) -> DataFrame:
     return extract_pages(_table(spark, folder, "pages"))
 
 
+def op4_cost_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces_with_checks(pack_documents(_table(spark, folder, "documents")))
+
+
+def pieces_with_checks(pieces: DataFrame) -> DataFrame:
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"),
+                         "doc_tokens", "sequence_id", "offset")
+
+
 def op5_repeated_phrases(spark: SparkSession, folder: str) -> DataFrame:
     stripped = remove_repeats(_table(spark, folder, "documents"))
     return stripped.select(
@@ -63,6 +73,7 @@ def op10_secret_markov(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_tag_path_text": op1_tag_path_text,
+    "op4_cost_packing": op4_cost_packing,
     "op5_repeated_phrases": op5_repeated_phrases,
     "op6_minhash_join": op6_minhash_join,
     "op7_pareto_mix": op7_pareto_mix,
