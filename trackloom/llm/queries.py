@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackloom.llm.embedding_links import link_vectors
 from trackloom.llm.language import held_out, identify_language
 from trackloom.llm.minhash_join import near_duplicates
 from trackloom.llm.packing import pack_documents
@@ -24,6 +25,10 @@ def op1_tag_path_text(spark: SparkSession, folder: str) -> DataFrame:
     return extract_pages(_table(spark, folder, "pages"))
 
 
+def op2_cross_polytope(spark: SparkSession, folder: str) -> DataFrame:
+    return link_vectors(_table(spark, folder, "embeddings"))
+
+
 def op4_cost_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pieces_with_checks(pack_documents(_table(spark, folder, "documents")))
 
@@ -73,6 +78,7 @@ def op10_secret_markov(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_tag_path_text": op1_tag_path_text,
+    "op2_cross_polytope": op2_cross_polytope,
     "op4_cost_packing": op4_cost_packing,
     "op5_repeated_phrases": op5_repeated_phrases,
     "op6_minhash_join": op6_minhash_join,
