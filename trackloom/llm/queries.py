@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trackloom.llm.embedding_links import link_vectors
 from trackloom.llm.language import held_out, identify_language
 from trackloom.llm.minhash_join import near_duplicates
+from trackloom.llm.order_minhash import edited_fingerprints, fingerprint, likeness
 from trackloom.llm.packing import pack_documents
 from trackloom.llm.page_text import extract_pages
 from trackloom.llm.pareto import PARETO_SQL, pareto_mix
@@ -29,6 +30,15 @@ def op2_cross_polytope(spark: SparkSession, folder: str) -> DataFrame:
     return link_vectors(_table(spark, folder, "embeddings"))
 
 
+def op3_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = edited_fingerprints(_table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"),
+        fingerprint("signature").alias("fingerprint"), fingerprint("edited_signature").alias("edited_fingerprint"),
+        likeness("signature", "edited_signature").alias("near_edited"),
+        likeness("signature", "next_signature").alias("near_next"))
+
+
 def op4_cost_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pieces_with_checks(pack_documents(_table(spark, folder, "documents")))
 
@@ -79,6 +89,7 @@ def op10_secret_markov(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_tag_path_text": op1_tag_path_text,
     "op2_cross_polytope": op2_cross_polytope,
+    "op3_order_minhash": op3_order_minhash,
     "op4_cost_packing": op4_cost_packing,
     "op5_repeated_phrases": op5_repeated_phrases,
     "op6_minhash_join": op6_minhash_join,
