@@ -150,8 +150,8 @@ def labelled_sample(docs: DataFrame, id_column: str, text_column: str, lang_colu
 def _predictor(model: Model | None, ambiguous: float):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, bounds = text_bytes(batch.column(1))
-            lettered = batch.column(2).to_numpy(zero_copy_only=False)
+            data, bounds = text_bytes(batch.column(batch.num_columns - 2))
+            lettered = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
             rows = batch.num_rows
             best, score = np.zeros(rows, int), np.zeros(rows)
             row = 0
@@ -165,8 +165,9 @@ def _predictor(model: Model | None, ambiguous: float):
             names = [model.labels[k] if ok else UNDETERMINED for k, ok in zip(best, known)]
             score = np.where(known, score, 0.0)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(~known | (score < ambiguous))],
-                names=["key", "lang_pred", "score", "ambiguous"])
+                [*batch.columns[:-2], pa.array(names, pa.string()), pa.array(score),
+                 pa.array(~known | (score < ambiguous))],
+                names=[*batch.schema.names[:-2], "lang_pred", "score", "ambiguous"])
 
     return predict
 
@@ -179,10 +180,12 @@ def held_out(id_column: str = "doc_id") -> Column:
 def identify_language(
     docs: DataFrame, training: DataFrame | None = None, id_column: str = "doc_id",
     text_column: str = "text", lang_column: str = "lang", ambiguous: float = 0.5,
-    rows: int = TRAINING_ROWS,
+    rows: int = TRAINING_ROWS, keep: tuple[str, ...] | None = None,
 ) -> DataFrame:
     """One row (id, lang_pred, score, ambiguous) for each row of ``docs``.
 
+    ``keep`` names columns that stand in place of the id.
+
     Binary classifiers of character n-grams predict the bits of a codeword; the language
     whose codeword has the least loss wins. ``score`` is its share of belief among all
     languages, and ``ambiguous`` marks a share below the parameter of that name. The
@@ -195,9 +198,8 @@ def identify_language(
     other columns are ignored.
     """
     model = fit(*labelled_sample(docs if training is None else training, id_column, text_column, lang_column, rows))
-    plain = docs.select(F.col(id_column).alias("key"), F.lower(text_column).alias("text"),
-                        F.coalesce(F.col(text_column).rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
-    kind = dict(docs.select(id_column).dtypes)[id_column]
-    found = plain.mapInArrow(
-        _predictor(model, ambiguous), f"key {kind}, lang_pred string, score double, ambiguous boolean")
-    return found.withColumnRenamed("key", id_column)
+    plain = docs.select(*(keep or (id_column,)), F.lower(text_column).alias("__text"),
+                        F.coalesce(F.col(text_column).rlike(r"\p{L}"), F.lit(False)).alias("__lettered"))
+    fields = ", ".join(f"`{name}` {kind}" for name, kind in plain.dtypes[:-2])
+    return plain.mapInArrow(
+        _predictor(model, ambiguous), f"{fields}, lang_pred string, score double, ambiguous boolean")

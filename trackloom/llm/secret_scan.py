@@ -108,7 +108,7 @@ def _scanner(model: SecretModel):
         ratios: dict[str, bool] = {}
         for batch in batches:
             rows = []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(batch.num_columns - 1).to_pylist():
                 text = text or ""
                 base = base_spans(text)
                 found = [dict(kind=k, start=s, end=e, base=True) for k, s, e in base]
@@ -123,7 +123,7 @@ def _scanner(model: SecretModel):
                         found.append(dict(kind="random", start=m.start(), end=m.end(), base=False))
                 rows.append(sorted(found, key=lambda s: (s["start"], KINDS.index(s["kind"]))))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(rows, kinds)], names=["key", "spans"])
+                [*batch.columns[:-1], pa.array(rows, kinds)], names=[*batch.schema.names[:-1], "spans"])
 
     return scan
 
@@ -135,8 +135,9 @@ def secret_model(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
 def find_secrets(
     docs: DataFrame, model: SecretModel | None = None, id_column: str = "doc_id", text_column: str = "text",
+    keep: tuple[str, ...] | None = None,
 ) -> DataFrame:
-    """One row (id, spans) for each row of ``docs``.
+    """One row (id, spans) for each row of ``docs``; ``keep`` names columns instead of the id.
 
     ``spans`` are structs (kind, start, end, base) in code points, end exclusive, by start
     and then kind. Kinds assign, access and hex are matches of patterns (base is true). To
@@ -147,9 +148,9 @@ def find_secrets(
     empty result; other columns are ignored.
     """
     model = model or secret_model(docs, id_column, text_column)
-    kind = dict(docs.select(id_column).dtypes)[id_column]
-    return docs.select(F.col(id_column).alias("key"), F.col(text_column).alias("text")).mapInArrow(
-        _scanner(model), f"key {kind}, spans {SPAN}").withColumnRenamed("key", id_column)
+    rows = docs.select(*(keep or (id_column,)), F.col(text_column).alias("__text"))
+    fields = ", ".join(f"`{name}` {kind}" for name, kind in rows.dtypes[:-1])
+    return rows.mapInArrow(_scanner(model), f"{fields}, spans {SPAN}")
 
 
 def joined(spans: Column) -> Column:
