@@ -295,6 +295,7 @@ def near_duplicates(
     found = signed.join(classes.select("s1", "s2", "n_shingles", "rep"), ["s1", "s2", "n_shingles"], "left")
     found = found.join(merged, "rep", "left")
     # The smallest id of a component is a class representative, so it is the label.
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep", "node")).otherwise(F.col("node"))
+    linked = (F.col("n_shingles") > 0) & F.col("node").isNotNull()
+    component = F.when(linked, F.coalesce("component", "rep", "node")).otherwise(F.col("node"))
     return found.select(F.col("node").alias(id_column), "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col(id_column) == F.col("component_id"), F.lit(True)))

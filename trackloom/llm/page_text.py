@@ -67,7 +67,7 @@ class Blocks:
         at, end = 0, html.rfind(">") + 1
         while True:
             match = MARKUP.search(html, at, end)
-            self._add(html[at:match.start()] if match else html[at:])
+            self._add(html[at:match.start()] if match else html[at:].split("<!--")[0])
             if not match:
                 break
             at = match.end()

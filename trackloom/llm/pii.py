@@ -118,14 +118,15 @@ class Graph:
             self.start.append(start)
             self.end.append(end)
             self.x.append(_features(token, *near))
-            if previous == k - 1:
+            joined = previous == k - 1
+            if joined:
                 self.chain.append((node - 1, node))
             previous = k
             core = re.sub(r"[\W_]", "", token.lower())
             digits = re.sub("[^0-9]", "", token)
             for form in {core, token.lower().split("@")[0] if "@" in token else "", digits[-7:] if len(digits) >= 7 else ""}:
                 if form:
-                    if form in last and last[form] != node - 1:
+                    if form in last and not (joined and last[form] == node - 1):
                         self.skip.append((last[form], node))
                     last[form] = node
 
