@@ -91,8 +91,8 @@ def fingerprint(signature: str) -> Column:
     return F.lower(F.array_join(F.transform(signature, lambda x: F.lpad(F.hex(x), 16, "0")), ""))
 
 
-def with_next(docs: DataFrame, key: str, columns: list[str], tiles: int) -> DataFrame:
-    """Columns ``next_*`` of the row with the next smaller key, cyclically.
+def with_next(docs: DataFrame, key: str, columns: list[str], tiles: int, derive) -> DataFrame:
+    """``derive(docs)`` with columns ``next_*`` of the row with the next smaller key, cyclically.
 
     Rows are dealt into tiles by quantiles of the key and follow each other inside a
     tile; the last row of a tile is followed by the first of the next tile that has rows.
@@ -102,7 +102,7 @@ def with_next(docs: DataFrame, key: str, columns: list[str], tiles: int) -> Data
     points = [k / (1 << steps) for k in range(1, 1 << steps)]
     bounds = docs.select(F.percentile_approx(key, points, 20 << steps)).first()[0]
     if not bounds:
-        return docs.select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
+        return derive(docs).select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
     array = F.array(*[F.lit(x).cast("long") for x in bounds])
 
     def place(number: Column) -> Column:
@@ -116,7 +116,7 @@ def with_next(docs: DataFrame, key: str, columns: list[str], tiles: int) -> Data
             lambda state: state["low"])
 
     order = [F.col(key).desc(), F.col(columns[0])]
-    tiled = docs.withColumn("tile", place(F.col(key)))
+    tiled = derive(docs).withColumn("tile", place(F.col(key)))
     inside = Window.partitionBy("tile").orderBy(*order)
     lead = {f"next_{c}": F.lead(c).over(inside) for c in columns}
     rows = tiled.withColumns({**lead, "more": F.lead(F.lit(True)).over(inside)})
@@ -126,8 +126,9 @@ def with_next(docs: DataFrame, key: str, columns: list[str], tiles: int) -> Data
     chain = Window.orderBy(F.col("t").desc())
     heads = heads.select("t", F.coalesce(
         F.lead("number").over(chain), F.first("number").over(chain)).alias("number"))
-    firsts = docs.select(F.col(key).alias("number"), F.struct(*columns).alias("first"))
-    firsts = firsts.join(heads, "number").groupBy("t").agg(F.min("first").alias("first"))
+    # There are MOST_TILES heads at most, so they can go to every task.
+    firsts = derive(docs.join(F.broadcast(heads.withColumnRenamed("number", key)), key))
+    firsts = firsts.groupBy("t").agg(F.min(F.struct(*columns)).alias("first"))
     rows = rows.join(firsts, rows["tile"] == firsts["t"], "left")
     after = {f"next_{c}": F.when(F.col("more"), F.col(f"next_{c}")).otherwise(F.col(f"first.{c}")) for c in columns}
     return rows.withColumns(after).drop("tile", "more", "t", "first")
@@ -148,7 +149,8 @@ def edited_fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column:
     rows = docs.select(
         F.col(id_column).alias("id"), F.coalesce(F.col(id_column).cast("long"), F.lit(-(1 << 63))).alias("key"),
         F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    rows = with_next(with_signature(rows, "text", "signature"), "key", ["text", "signature"], tiles)
+    rows = with_next(rows, "key", ["text", "signature"], tiles,
+                     lambda frame: with_signature(frame, "text", "signature"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half),
