@@ -134,3 +134,62 @@ def test_bucketed_join_has_no_shuffle(spark, folder):
     executed = plan._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in text
     assert "hashpartitioning(l_orderkey" not in executed and "hashpartitioning(o_orderkey" not in executed
+
+
+def test_percentiles_of_wide_numbers_and_null_groups(spark):
+    from trackloom.operators.quantiles import percentiles
+
+    rows = [("a", (k * 2654435761 % 1000) << 40) for k in range(1000)] + [("b", None), ("b", None), (None, 5)]
+    got = {r.k: r.percentiles for r in percentiles(
+        spark.createDataFrame(rows, "k string, v long"), ["k"], "v", [0.0, 0.5, 1.0]).collect()}
+    values = sorted(v for k, v in rows if k == "a")
+    assert got["a"] == [values[0], (values[499] + values[500]) / 2, values[-1]]
+    assert got["b"] is None and got[None] == [5.0, 5.0, 5.0]
+    halves = spark.createDataFrame([("a", 0.25), ("a", 0.75)], "k string, v double")
+    assert percentiles(halves, ["k"], "v", [0.5]).first().percentiles == [0.5]
+
+
+def test_bounded_frames_against_brute_force(spark):
+    import random
+
+    from trackloom.operators.ordered import range_folds
+
+    dice = random.Random(2)
+    rows = [(dice.choice("ab"), dice.randrange(-60, 60), dice.randrange(1000)) for _ in range(300)] + [(None, 3, 7)]
+    frame = spark.createDataFrame(rows, "k string, o long, v long").repartition(5)
+    from pyspark.sql import functions as F
+
+    for low, high in ((-5, 5), (0, 0), (-100, 3), (2, 9), (-9, -2), (None, 4), (None, -3)):
+        got = range_folds(frame, ["k"], "o", {
+            "s": ("sum", F.col("v")), "lo": ("min", F.col("v")), "hi": ("max", F.col("v"))}, low, high).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            inside = [v for k, o, v in rows if k == r.k and (low is None or o >= r.o + low) and o <= r.o + high]
+            assert (r.s or 0, r.lo, r.hi) == (sum(inside), min(inside, default=None), max(inside, default=None))
+
+
+def test_copies_of_one_row_are_salted_apart(spark):
+    from pyspark.sql import functions as F
+
+    from trackloom.operators.joins import salted_join
+
+    big = spark.range(4000).select(F.lit(1).alias("k"), F.create_map(F.lit("a"), F.lit(1)).alias("m"))
+    small = spark.createDataFrame([(1, "x")], "k int, v string")
+    assert salted_join(big, small, ["k"], 8).count() == 4000
+
+
+def test_map_columns_are_no_obstacle(spark):
+    from pyspark.sql import functions as F
+
+    from trackloom.functions import scalar
+    from trackloom.operators.ordered import row_numbers
+    from trackloom.operators.sampling import bucket_sample
+
+    frame = spark.range(100).select(
+        "id", (F.col("id") % 3).alias("k"), F.create_map(F.lit("a"), "id").alias("m"),
+        F.array(F.create_map(F.lit("b"), "id")).alias("d"))
+    got = row_numbers(frame, ["k"], ["id"]).collect()
+    assert all(r.row_number == r.id // 3 + 1 and r.m == {"a": r.id} for r in got) and len(got) == 100
+    assert sum(bucket_sample(frame, x, 4).count() for x in range(1, 5)) == 100
+    assert [r[0] for r in frame.limit(2).select(scalar.index("m", F.lit("a"), of_map=True)).collect()] == [0, 1]
+    assert frame.select(scalar.index("m", F.lit("z"), of_map=True)).first()[0] is None

@@ -100,3 +100,24 @@ def test_interval_files(spark, tmp_path):
     assert row["feature"] == "gene" and 'gene_type "protein_coding"' in row["attributes"]
     (tmp_path / "sizes").write_text("chrS\t355\n")
     assert tuple(tracks.read_chromosome_sizes(spark, str(tmp_path / "sizes")).first()) == ("chrS", 355)
+
+
+def test_special_characters_need_an_escape(spark, tmp_path):
+    import pytest
+
+    odd = spark.createDataFrame([("a\tb\n\\c\\\\nd\r�",), ("\\N",), (None,), ("",)], "v string")
+    with pytest.raises(Exception, match="escape"):
+        text.write_delimited(odd, str(tmp_path / "bad"), fields="\t")
+    text.write_delimited(odd, str(tmp_path / "good"), fields="\t", escape="\\")
+    back = text.read_delimited(spark, str(tmp_path / "good"), odd.schema, fields="\t", escape="\\")
+    assert sorted(map(str, back.collect())) == sorted(map(str, odd.collect()))
+
+
+def test_sizes_come_from_the_listing(spark, tmp_path, folder):
+    import os
+
+    from trackloom.sources.files import table_bytes
+
+    path = f"{folder}/orders.parquet"
+    assert table_bytes(spark.read.parquet(path)) == os.path.getsize(path)
+    assert table_bytes(spark.range(3)) == 0

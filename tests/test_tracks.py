@@ -77,12 +77,6 @@ def test_distance_join(tracks, most):
            if x[0] == y[0] and brute.distance(x, y) <= most])
 
 
-def test_broadcast_within_bound_gives_the_same(tracks):
-    a, b, da, db = tracks
-    check(overlap.overlap_join(da, db, broadcast_rows=1000).select(*PAIR),
-          [(*x, *y[1:]) for x in a for y in b if brute.overlap(x, y)])
-
-
 @pytest.mark.parametrize("slack", [0, 1])
 def test_coalesce(tracks, slack):
     a, _, da, _ = tracks

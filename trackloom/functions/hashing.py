@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _MASK = 0xFFFFFFFF
 
@@ -34,6 +35,27 @@ def _string(c: Column) -> Column:
     return _wrap(F.aggregate(codes, F.lit(0).cast("bigint"), fold))
 
 
+def _has_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _has_map(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(_has_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, T.MapType)
+
+
+def hashable(df: DataFrame) -> list[Column]:
+    """All columns in a form that Spark's hashes take: maps as sorted entries or JSON."""
+    out = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.MapType) and not _has_map(f.dataType.valueType):
+            c = F.array_sort(F.map_entries(c))
+        elif _has_map(f.dataType):
+            c = F.to_json(F.struct(c))
+        out.append(c)
+    return out
+
+
 def value_hash(df: DataFrame, name: str) -> Column:
     """32-bit hash of one column, as a bigint; 0 for NULL."""
     kind = df.schema[name].dataType.typeName()

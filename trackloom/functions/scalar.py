@@ -162,9 +162,9 @@ def array_contains(c: Column | str, value: Column) -> Column:
     return F.coalesce(F.array_contains(_col(c), value), F.lit(False))
 
 
-def index(c: Column | str, key: Column) -> Column:
-    """``a[n]`` from 0 or ``m[k]``; NULL when absent."""
-    return F.get(_col(c), key)
+def index(c: Column | str, key: Column, of_map: bool = False) -> Column:
+    """``a[n]`` from 0, or ``m[k]`` with ``of_map``; NULL when absent."""
+    return F.try_element_at(_col(c), key) if of_map else F.get(_col(c), key)
 
 
 def size(c: Column | str) -> Column:

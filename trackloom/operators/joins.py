@@ -65,8 +65,9 @@ def salted_join(
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"a {how} join cannot repeat its right side")
-    # A hash of the row keeps the salt the same when a task is run again.
-    salt = F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int")
+    # Copies of a row get salts of their own. The salt of a row has no influence on the
+    # result, as every row of ``small`` is there under each salt.
+    salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)).cast("int")
     spread = big.withColumn("_salt", salt)
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return spread.join(copies, [*keys, "_salt"], how).drop("_salt")

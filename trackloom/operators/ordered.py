@@ -127,22 +127,57 @@ def range_folds(
 ) -> DataFrame:
     """Folds over ``RANGE BETWEEN low AND high`` around the order value.
 
-    Rows with equal order values share their frame, so they are folded first,
-    map-side. The frames then run over distinct values: in tiles when they
-    begin at the start of the partition, which is ``low=None`` with ``high=0``,
-    else in a window per key, for order columns with few distinct values.
+    Rows with equal order values share their frame, so they are folded first, map-side.
+    The frames run over distinct values in range tiles, whatever the frame. A frame that
+    begins at the start of the partition is a running fold read at its end. A bounded
+    frame is cut by blocks as wide as itself: it is the end of one block and the beginning
+    of the next, so a fold backward and one forward inside the blocks give it.
     """
     keys = list(keys)
     partial = df.groupBy(*keys, order).agg(*[
         FOLDS[fold][0](c).alias(n) for n, (fold, c) in outputs.items()])
     again = {n: (fold, F.col(n)) for n, (fold, _) in outputs.items()}
     if low is None and high == 0:
-        named = {f"_r_{n}": spec for n, spec in again.items()}
-        framed = running_folds(partial, keys, [order], named)
+        framed = running_folds(partial, keys, [order], {f"_r_{n}": spec for n, spec in again.items()})
+        return _attach(df, framed.select(*keys, order, *[F.col(f"_r_{n}").alias(n) for n in outputs]),
+                       [*keys, order], list(outputs))
+    return _attach(df, _bounded(partial, keys, order, again, low, high), [*keys, order], list(outputs))
+
+
+def _bounded(
+    partial: DataFrame, keys: list[str], order: str, outputs: dict[str, tuple[str, Column]],
+    low: int | None, high: int,
+) -> DataFrame:
+    """Frames of distinct values: the folds are read at points between the values, too."""
+    here = F.col(order)
+    ends = [here + high] if low is None else [here + low, here + high]
+    data = partial.select(*keys, here.alias("_at"), *outputs)
+    points = partial.select(*keys, F.explode(F.array(*ends)).alias("_at"), *[
+        F.lit(None).cast(partial.schema[n].dataType).alias(n) for n in outputs])
+    merged = data.unionByName(points).groupBy(*keys, "_at").agg(*[
+        FOLDS[fold][0](F.col(n)).alias(n) for n, (fold, _) in outputs.items()])
+    if low is None:
+        block, width = F.lit(0).cast("bigint"), None
     else:
-        frame = Window.partitionBy(*keys).orderBy(order).rangeBetween(
-            Window.unboundedPreceding if low is None else low, high)
-        framed = partial.withColumns({
-            f"_r_{n}": FOLDS[fold][0](c).over(frame) for n, (fold, c) in again.items()})
-    framed = framed.select(*keys, order, *[F.col(f"_r_{n}").alias(n) for n in outputs])
-    return _attach(df, framed, [*keys, order], list(outputs))
+        whole = partial.schema[order].dataType.typeName() in ("byte", "short", "integer", "long")
+        width = high - low + (1 if whole else 0)
+        block = F.floor(F.col("_at") / max(width, 1))
+    merged = merged.withColumn("_block", block)
+    tiled = with_key(cut_in_tiles(merged, [*keys, "_block"], ["_at"]), [*keys, "_block"])
+    forward = scan(tiled, [BY], ["_at"], {f"_f_{n}": spec for n, spec in outputs.items()}, inclusive=True)
+    forward = forward.select(*keys, F.col("_at").alias("_high"), F.col("_block").alias("_b1"),
+                             *[f"_f_{n}" for n in outputs])
+    out = _attach(partial.select(*keys, order, (here + high).alias("_high")), forward, [*keys, "_high"],
+                  ["_b1", *[f"_f_{n}" for n in outputs]])
+    if low is None:
+        return out.select(*keys, order, *[F.col(f"_f_{n}").alias(n) for n in outputs])
+    backward = scan(tiled, [BY], ["_at"], {f"_g_{n}": spec for n, spec in outputs.items()}, backward=True,
+                    inclusive=True)
+    backward = backward.select(*keys, F.col("_at").alias("_low"), F.col("_block").alias("_b0"),
+                               *[f"_g_{n}" for n in outputs])
+    out = _attach(out.withColumn("_low", here + low), backward, [*keys, "_low"],
+                  ["_b0", *[f"_g_{n}" for n in outputs]])
+    both = F.col("_b0") != F.col("_b1")
+    return out.select(*keys, order, *[
+        F.when(both, FOLDS[fold][1](F.col(f"_g_{n}"), F.col(f"_f_{n}"))).otherwise(F.col(f"_g_{n}")).alias(n)
+        for n, (fold, _) in outputs.items()])

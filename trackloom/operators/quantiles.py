@@ -1,4 +1,4 @@
-"""Exact percentiles of whole numbers without holding a group in memory."""
+"""Exact percentiles without holding a group in memory."""
 
 from __future__ import annotations
 
@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.operators.ordered import BY, with_key
-from trackloom.operators.scans import running
+from trackloom.operators.ordered import BY, running_folds, with_key
 
 
 def percentiles(
@@ -16,24 +15,30 @@ def percentiles(
 ) -> DataFrame:
     """``percentiles`` array per key, linearly interpolated between ranks.
 
-    Values are counted map-side, the counts are summed along the value axis in
-    tiles, and each rank is the smallest value whose running count exceeds it.
+    Values of any numeric type are counted map-side, the counts are summed in range
+    tiles of the distinct values, and each rank is the smallest value whose running count
+    exceeds it. A key whose values are all NULL has a NULL array.
     """
     keys = list(keys)
-    counted = with_key(df, keys).filter(F.col(value).isNotNull()).groupBy(
-        BY, F.col(value).cast("bigint").alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running(counted, "_value", {"_upto": ("sum", F.col("_n"))}, inclusive=True, by=[BY])
-    totals = counted.groupBy(BY).agg(F.sum("_n").alias("_total"))
-    placed = ranked.join(totals, BY)
+    keyed = with_key(df, keys)
+    counted = keyed.filter(F.col(value).isNotNull()).groupBy(
+        BY, F.col(value).alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = running_folds(counted.withColumnRenamed(BY, "_key"), ["_key"], ["_value"],
+                           {"_upto": ("sum", F.col("_n"))})
+    totals = counted.groupBy(F.col(BY).alias("_key")).agg(F.sum("_n").alias("_total"))
+    placed = ranked.join(totals, "_key")
 
     def at(rank: Column) -> Column:
         return F.min(F.when(F.col("_upto") > rank, F.col("_value")))
 
     spots = [F.lit(float(f)) * (F.col("_total") - 1) for f in fractions]
-    picked = placed.groupBy(BY).agg(
+    picked = placed.groupBy("_key").agg(
         F.max("_total").alias("_total"),
         *[at(F.floor(s)).alias(f"_lo{i}") for i, s in enumerate(spots)],
         *[at(F.ceil(s)).alias(f"_hi{i}") for i, s in enumerate(spots)])
-    return picked.select(*[F.col(f"{BY}.{k}").alias(k) for k in keys], F.array(*[
+    found = F.when(F.col("_total").isNotNull(), F.array(*[
         F.col(f"_lo{i}") + (s - F.floor(s)) * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))
-        for i, s in enumerate(spots)]).alias("percentiles"))
+        for i, s in enumerate(spots)]))
+    every = keyed.select(F.col(BY).alias("_key")).distinct()
+    return every.join(picked, "_key", "left").select(
+        *[F.col(f"_key.{k}").alias(k) for k in keys], found.alias("percentiles"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.functions.hashing import bucket_of
+from trackloom.functions.hashing import bucket_of, hashable
+from trackloom.sources.files import table_bytes
 
 
 def bucket_sample(df: DataFrame, x: int, y: int, *on: str) -> DataFrame:
@@ -17,7 +18,7 @@ def bucket_sample(df: DataFrame, x: int, y: int, *on: str) -> DataFrame:
         raise ValueError("the bucket number must lie between 1 and the number of buckets")
     if on:
         return df.filter(bucket_of(df, y, *on) == x - 1)
-    return df.filter(F.pmod(F.xxhash64(*df.columns), F.lit(y)) == x - 1)
+    return df.filter(F.pmod(F.xxhash64(*hashable(df)), F.lit(y)) == x - 1)
 
 
 def percent_sample(df: DataFrame, percent: float, seed: int = 0) -> DataFrame:
@@ -35,6 +36,5 @@ def size_sample(df: DataFrame, size: str, seed: int = 0) -> DataFrame:
     """About ``size`` (such as ``10M``) of a table read from files."""
     units = {"B": 1, "K": 1 << 10, "M": 1 << 20, "G": 1 << 30}
     wanted = int(size[:-1]) * units[size[-1].upper()]
-    files = df.select("_metadata.file_path", "_metadata.file_size").distinct()
-    total = files.agg(F.sum("file_size").alias("bytes")).first()["bytes"] or 0
+    total = table_bytes(df)
     return df.sample(fraction=min(1.0, wanted / max(total, 1)), seed=seed)

@@ -16,6 +16,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackloom.functions.hashing import hashable
 from trackloom.operators.intervals import CHR
 
 TILE_BITS = 16
@@ -39,7 +40,7 @@ def solid(df: DataFrame) -> DataFrame:
 
 def whole_row(df: DataFrame) -> Column:
     """An aggregate over all columns, to keep them in the per-tile branch (see ``solid``)."""
-    return F.max(F.xxhash64(*df.columns))
+    return F.max(F.xxhash64(*hashable(df)))
 
 
 def _combine_sum(inner: Column, carry: Column) -> Column:

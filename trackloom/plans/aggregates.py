@@ -91,10 +91,11 @@ QUERIES: dict[str, Query] = {
         f"{_single('corr(l_quantity, l_extendedprice)')} AS r FROM "
         "{lineitem} GROUP BY l_linestatus"),
     "agg_percentile": query(
-        lambda t: t.lineitem.groupBy("l_returnflag").agg(
-            single(ag.percentile("l_partkey", 0.5)).alias("p50"),
-            single(ag.percentile("l_partkey", 0.9)).alias("p90"),
-            single(ag.percentile("l_linenumber", 0.25)).alias("p25")),
+        lambda t: percentiles(t.lineitem, ["l_returnflag"], "l_partkey", [0.5, 0.9]).join(
+            percentiles(t.lineitem, ["l_returnflag"], "l_linenumber", [0.25]).select(
+                "l_returnflag", F.col("percentiles")[0].alias("p25")), "l_returnflag").select(
+            "l_returnflag", single(F.col("percentiles")[0]).alias("p50"),
+            single(F.col("percentiles")[1]).alias("p90"), single("p25").alias("p25")),
         f"SELECT l_returnflag, {_single('quantile_cont(l_partkey, 0.5)')} AS p50, "
         f"{_single('quantile_cont(l_partkey, 0.9)')} AS p90, "
         f"{_single('quantile_cont(l_linenumber, 0.25)')} AS p25 FROM lineitem GROUP BY l_returnflag"),
@@ -104,15 +105,35 @@ QUERIES: dict[str, Query] = {
         f"SELECT l_returnflag, {_single('quantile_cont(l_partkey, 0.05)')} AS p0, "
         f"{_single('quantile_cont(l_partkey, 0.5)')} AS p1, {_single('quantile_cont(l_partkey, 0.9)')} AS p2 "
         "FROM lineitem GROUP BY l_returnflag"),
+    "agg_percentile_null_groups": query(
+        lambda t: percentiles(
+            t.lineitem.select("l_linenumber", F.when(F.col("l_linenumber") != 3, F.col("l_extendedprice")).alias("v")),
+            ["l_linenumber"], "v", [0.3]).select("l_linenumber", single(F.col("percentiles")[0]).alias("p")),
+        f"SELECT l_linenumber, {_single('quantile_cont(CASE WHEN l_linenumber <> 3 THEN l_extendedprice END, 0.3)')} AS p "
+        "FROM lineitem GROUP BY l_linenumber"),
     # Sketches: the answer is an estimate, so the values have no SQL counterpart.
     "agg_percentile_approx": query(
-        lambda t: t.lineitem.groupBy("l_returnflag").agg(
-            F.percentile_approx("l_extendedprice", [0.1, 0.5, 0.9], 10000).alias("p"))),
+        # The rank of each answer is within a thousandth of the fraction asked for.
+        lambda t: t.lineitem.join(t.lineitem.groupBy("l_returnflag").agg(
+            F.percentile_approx("l_extendedprice", [0.1, 0.5, 0.9], 10000).alias("p")), "l_returnflag").groupBy(
+            "l_returnflag").agg(F.count(F.lit(1)).alias("n"), *[
+                (F.abs(F.avg((F.col("l_extendedprice") <= F.col("p")[i]).cast("int")) - f) <= 0.001
+                 + 1 / F.count(F.lit(1))).alias(f"near{i}") for i, f in enumerate((0.1, 0.5, 0.9))]),
+        "SELECT l_returnflag, count(*) AS n, TRUE AS near0, TRUE AS near1, TRUE AS near2 FROM lineitem GROUP BY l_returnflag"),
     "agg_histogram_numeric": query(
+        # Ten bins at most, in order, that hold every row.
         lambda t: t.lineitem.groupBy("l_returnflag").agg(
-            F.histogram_numeric("l_quantity", F.lit(10)).alias("h"))),
+            F.histogram_numeric("l_quantity", F.lit(10)).alias("h")).select(
+            "l_returnflag", (F.size("h") <= 10).alias("few"),
+            F.aggregate("h", F.lit(0.0), lambda n, b: n + b["y"]).cast("bigint").alias("n"),
+            (F.array_sort("h") == F.col("h")).alias("sorted")),
+        "SELECT l_returnflag, TRUE AS few, count(*) AS n, TRUE AS sorted FROM lineitem GROUP BY l_returnflag"),
     "agg_approx_distinct": query(
-        lambda t: t.lineitem.agg(F.approx_count_distinct("l_partkey", 0.02).alias("n"))),
+        # Three deviations of 2 % around the exact number.
+        lambda t: t.lineitem.agg(
+            (F.abs(F.approx_count_distinct("l_partkey", 0.02) / F.count_distinct("l_partkey") - 1) < 0.06).alias("near"),
+            F.count_distinct("l_partkey").alias("n")),
+        "SELECT TRUE AS near, count(DISTINCT l_partkey) AS n FROM lineitem"),
     "agg_collect_set": query(
         lambda t: t.lineitem.groupBy("l_returnflag").agg(
             F.array_join(ag.collect_set_sorted("l_linenumber"), ",").alias("numbers")),
@@ -152,7 +173,13 @@ QUERIES: dict[str, Query] = {
         lambda t: ag.compute_stats(t.labels.select((F.col("toxic") == 1).alias("b")), "b").select("stats.*"),
         "SELECT 'Boolean' AS columntype, count(*) FILTER (toxic = 1) AS counttrues, "
         "count(*) FILTER (toxic <> 1) AS countfalses, count(*) FILTER (toxic IS NULL) AS countnulls FROM labels"),
-    "agg_compute_stats_estimated": query(lambda t: ag.compute_stats(t.lineitem, "l_partkey")),
+    "agg_compute_stats_estimated": query(
+        lambda t: ag.compute_stats(t.lineitem, "l_partkey").select("stats.*").crossJoin(
+            t.lineitem.agg(F.count_distinct("l_partkey").alias("exact"))).select(
+            "columntype", "min", "max", "countnulls",
+            (F.abs(F.col("numdistinctvalues") / F.col("exact") - 1) < 0.2).alias("near")),
+        "SELECT 'Long' AS columntype, min(l_partkey) AS min, max(l_partkey) AS max, "
+        "count(*) FILTER (l_partkey IS NULL) AS countnulls, TRUE AS near FROM lineitem"),
 }
 
 _WORDS_SQL = (

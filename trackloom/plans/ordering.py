@@ -47,8 +47,10 @@ QUERIES: dict[str, Query] = {
         same_sql("SELECT l_orderkey, l_partkey FROM {lineitem} CLUSTER BY l_partkey").run,
         "SELECT l_orderkey, l_partkey FROM lineitem"),
     "limit_no_shuffle": Query(
-        same_sql("SELECT count(*) AS n FROM (SELECT o_orderkey FROM {orders} LIMIT 25)").run,
-        "SELECT count(*) AS n FROM (SELECT o_orderkey FROM orders LIMIT 25)"),
+        # Which rows come is open, but they are 25 different rows of the table.
+        same_sql("SELECT count(*) AS n, count(DISTINCT l.o_orderkey) AS d, count(o.o_orderkey) AS known FROM "
+                 "(SELECT o_orderkey FROM {orders} LIMIT 25) l LEFT JOIN {orders} o ON l.o_orderkey = o.o_orderkey").run,
+        "SELECT least(count(*), 25) AS n, least(count(*), 25) AS d, least(count(*), 25) AS known FROM orders"),
     "union_all": same_sql(
         "SELECT k, count(*) AS n FROM (SELECT c_nationkey AS k FROM {customer} UNION ALL "
         "SELECT s_nationkey AS k FROM {supplier}) GROUP BY k"),
@@ -64,15 +66,31 @@ QUERIES: dict[str, Query] = {
         "SELECT l_orderkey, l_partkey FROM lineitem WHERE (((l_orderkey ^ (l_orderkey >> 32)) & 4294967295) "
         "& 2147483647) % 16 = 2".replace("l_orderkey ^ (l_orderkey >> 32)", "xor(l_orderkey, l_orderkey >> 32)")),
     "sample_bucket_string": query(
-        lambda t: sampling.bucket_sample(t.customer, 1, 8, "c_name").select("c_custkey")),
+        lambda t: sampling.bucket_sample(t.customer, 1, 8, "c_name").select("c_custkey"),
+        # All names are Latin letters, so a byte is a code point.
+        "SELECT c_custkey FROM customer WHERE (list_reduce(list_prepend(0::BIGINT, list_transform(string_split(c_name, ''), "
+        "lambda x: ord(x)::BIGINT)), lambda h, x: (h * 31 + x) & 4294967295) & 2147483647) % 8 = 0"),
     "hash_fold": query(
         lambda t: t.nation.select(
             "n_nationkey", hashing.fold_hash(t.nation, "n_nationkey", "n_regionkey").alias("h")),
         "SELECT n_nationkey, CAST(n_nationkey * 31 + n_regionkey AS INT) AS h FROM nation"),
     "sample_percent": query(
-        lambda t: sampling.percent_sample(t.lineitem, 10, seed=3).agg(F.count(F.lit(1)).alias("n"))),
+        # Within five deviations of a tenth, and every row is one of the table.
+        lambda t: sampling.percent_sample(t.lineitem, 10, seed=3).agg(
+            F.count(F.lit(1)).alias("n"), F.min("l_orderkey").alias("k")).crossJoin(
+            t.lineitem.agg(F.count(F.lit(1)).alias("rows"), F.min("l_orderkey").alias("least"))).select(
+            "rows", (F.abs(F.col("n") - F.col("rows") / 10) < 1.5 * F.sqrt("rows")).alias("near"),
+            (F.col("k") >= F.col("least")).alias("inside")),
+        "SELECT count(*) AS rows, TRUE AS near, TRUE AS inside FROM lineitem"),
     "sample_rows_per_split": query(
-        lambda t: sampling.row_sample(t.orders, 10).select("o_orderkey")),
+        # Rows of each split: some, ten of each at most, all of them rows of the table.
+        lambda t: sampling.row_sample(t.orders.withColumn("split", F.spark_partition_id()), 10).groupBy("split").agg(
+            F.count(F.lit(1)).alias("n"), F.count_distinct("o_orderkey").alias("d")).agg(
+            (F.max("n") <= 10).alias("few"), (F.min("n") > 0).alias("some"), (F.sum("n") == F.sum("d")).alias("differ")),
+        "SELECT TRUE AS few, TRUE AS some, TRUE AS differ"),
     "sample_size": query(
-        lambda t: sampling.size_sample(t.orders, "100K", seed=1).agg(F.count(F.lit(1)).alias("n"))),
+        # A table below the size comes whole.
+        lambda t: sampling.size_sample(t.orders, "4G", seed=1).agg(
+            F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("s")),
+        "SELECT count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS s FROM orders"),
 }

@@ -71,7 +71,7 @@ QUERIES: dict[str, Query] = {
     "scalar_powers": same_sql(
         f"SELECT event_id, {_S('exp(value / 100)')} AS e, {_S('ln(value + 1)')} AS l, {_S('log2(value + 1)')} AS l2, "
         f"{_S('log10(value + 1)')} AS l10, {_S('power(value, 2)')} AS p, {_S('pow(value, 0.5)')} AS p2 "
-        "FROM {events} WHERE value >= 0"),
+        "FROM {events}"),
     "scalar_guarded_roots": query(
         lambda t: t.events.select(
             "event_id", single(fn.sqrt(F.col("value") - 50)).alias("r"),

@@ -50,6 +50,32 @@ def _delimited(t: Tables):
     return _flat(text.read_delimited(t.spark, path, _NESTED))
 
 
+_DEEP = "k bigint, maps array<map<string,int>>, lists map<string,array<string>>"
+
+
+def _delimited_deep(t: Tables):
+    """An array of maps and a map of arrays, each level with a separator of its own."""
+    source = t.nation.select(
+        F.col("n_nationkey").cast("bigint").alias("k"),
+        F.array(F.create_map(F.lit("x"), "n_nationkey", F.lit("y"), "n_regionkey"), F.create_map(F.lit("z"), F.lit(7))).alias("maps"),
+        F.create_map("n_name", F.array("n_name", F.lit("b")), F.lit("c"), F.array(F.lit("d"))).alias("lists"))
+    path = _written(t, source, lambda d, p: text.write_delimited(d, p))
+    back = text.read_delimited(t.spark, path, _DEEP)
+    return back.select(
+        "k", F.col("maps")[0]["x"].alias("x"), F.col("maps")[0]["y"].alias("y"), F.col("maps")[1]["z"].alias("z"),
+        F.array_join(F.element_at("lists", F.map_keys("lists")[0]), "|").alias("first"), F.col("lists")["c"][0].alias("c"))
+
+
+def _delimited_escaped(t: Tables):
+    """Tabs, line breaks, backslashes and separators inside texts."""
+    odd = F.concat("c_name", F.lit("\t1\n2\\3\r4\\N5\\\\n6,7:8"), "c_mktsegment")
+    source = t.customer.select("c_custkey", odd.alias("odd"), F.array(odd, F.lit(None).cast("string")).alias("list"))
+    path = _written(t, source, lambda d, p: text.write_delimited(
+        d, p, fields="\t", items=",", keys=":", escape="\\"))
+    back = text.read_delimited(t.spark, path, source.schema, fields="\t", items=",", keys=":", escape="\\")
+    return back.select("c_custkey", "odd", F.col("list")[0].alias("first"), F.col("list")[1].alias("second"))
+
+
 def _orc(t: Tables):
     path = _written(t, t.lineitem, lambda d, p: d.write.option("compression", "zlib").option(
         "orc.bloom.filter.columns", "l_orderkey").orc(p))
@@ -188,6 +214,14 @@ QUERIES: dict[str, Query] = {
         "l_orderkey * 10 + l_linenumber + CAST(l_quantity AS BIGINT) AS chrend, l_extendedprice / 1000 AS value "
         "FROM lineitem WHERE l_linestatus = 'O'"),
     "storage_delimited_nested": query(_delimited, _FLAT_SQL),
+    "storage_delimited_deep": query(
+        _delimited_deep,
+        "SELECT CAST(n_nationkey AS BIGINT) AS k, n_nationkey AS x, n_regionkey AS y, 7 AS z, n_name || '|b' AS first, 'd' AS c "
+        "FROM nation"),
+    "storage_delimited_escaped": query(
+        _delimited_escaped,
+        "SELECT c_custkey, o AS odd, o AS first, CAST(NULL AS VARCHAR) AS second FROM (SELECT c_custkey, c_name || chr(9) || '1' "
+        "|| chr(10) || '2\\3' || chr(13) || '4\\N5\\\\n6,7:8' || c_mktsegment AS o FROM customer)"),
     "storage_orc": query(_orc, "SELECT l_orderkey, l_partkey, l_extendedprice FROM lineitem WHERE l_quantity > 45"),
     "storage_json": query(_json, "SELECT event_id, event_type, value FROM events"),
     "storage_csv": query(_csv, "SELECT * FROM customer"),

@@ -247,6 +247,21 @@ _LANDMARKS_SQL = (
     "min(o_orderkey) * 10 + 40 * count(*) + c_nationkey * 100 AS chrend, CAST(count(*) AS DOUBLE) AS value "
     "FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_nationkey"
 )
+# Begin and end of a constant that an interval from chrstart to chrend is related to.
+_BESIDE = {
+    "contains": ("chrstart + 1", "chrend - 1"), "within": ("chrstart - 1", "chrend + 1"),
+    "prefix": ("chrstart", "chrend + 5"), "suffix": ("chrstart - 5", "chrend"),
+    "adjacent": ("chrend + 1", "chrend + 9"), "precedes": ("chrstart + 500", "chrend + 500"),
+    "follows": ("chrstart - 300", "chrend - 300")}
+
+
+def _filtered(t: Tables, name: str, low: str, high: str) -> DataFrame:
+    a = a_track(t)
+    chosen = F.min(F.struct("chr", "chrstart", "chrend")).alias("at")
+    place = a.filter("chrend - chrstart > 4").agg(chosen).select("at.*").selectExpr("chr", low, high).first()
+    return iv.filter_location(a, name, *place)
+
+
 for _name, _text in _LOCATION_SQL.items():
     # precedes / follows return nearly every pair of a chromosome, so they relate
     # the whole track to the landmarks.
@@ -257,9 +272,12 @@ for _name, _text in _LOCATION_SQL.items():
         (f"{WITH_A}, b AS ({_LANDMARKS_SQL})" if _far else WITH_AB)
         + f" SELECT {_PAIR_COLUMNS} FROM a JOIN b ON a.chr = b.chr AND {_text}",
     )
+    # The constant lies beside the first longer interval, so that it has that one at least.
+    _low, _high = _BESIDE.get(_name, ("chrstart", "chrend"))
     QUERIES[f"track_filter_{_name}"] = query(
-        lambda t, name=_name: iv.filter_location(a_track(t), name, "chr2", 20002, 20040),
-        f"{WITH_A}, b AS (SELECT 'chr2' AS chr, 20002 AS chrstart, 20040 AS chrend) "
+        lambda t, name=_name, low=_low, high=_high: _filtered(t, name, low, high),
+        f"{WITH_A}, b AS (SELECT chr, {_low} AS chrstart, {_high} AS chrend FROM a "
+        f"WHERE chrend - chrstart > 4 ORDER BY a.chr, a.chrstart, a.chrend LIMIT 1) "
         f"SELECT a.* FROM a JOIN b ON a.chr = b.chr AND {_text}",
     )
 QUERIES["track_distance_join"] = query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trackloom.operators import ordered
@@ -10,6 +11,8 @@ from trackloom.plans.registry import Query, as_long, query, same_sql, single
 # A total order within a customer, so that every function is determined.
 _W = "PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey"
 _PLACED = "FROM {orders} "
+# A named window is a value that other windows extend.
+_NAMED = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
 
 
 def _single(text: str) -> str:
@@ -58,11 +61,9 @@ QUERIES: dict[str, Query] = {
         "SELECT c_custkey, rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS by_nation, "
         "rank() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS by_segment FROM {customer}"),
     "window_named_inherited": query(
-        lambda t: t.sql(
-            f"SELECT o_custkey, o_orderkey, count(*) OVER (w ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS c, "
-            f"min(o_orderkey) OVER w AS m {_PLACED} WINDOW w AS ({_W})".replace(
-                "(w ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)",
-                f"({_W} ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)")),
+        lambda t: t.orders.select(
+            "o_custkey", "o_orderkey", F.count(F.lit(1)).over(_NAMED.rowsBetween(-1, 0)).alias("c"),
+            F.min("o_orderkey").over(_NAMED).alias("m")),
         f"SELECT o_custkey, o_orderkey, count(*) OVER (w ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS c, "
         f"min(o_orderkey) OVER w AS m FROM orders WINDOW w AS ({_W})"),
     "window_aggregates_of_lag": same_sql(
@@ -104,6 +105,16 @@ QUERIES: dict[str, Query] = {
             {"before": ("user_id", 1), "after": ("user_id", -2)}),
         "SELECT event_type, event_id, user_id, lag(user_id) OVER w AS before, lead(user_id, 2) OVER w AS after "
         "FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id)"),
+    "window_range_bounded_large": query(
+        lambda t: ordered.range_folds(
+            ordered.range_folds(
+                t.lineitem.select("l_returnflag", "l_partkey", "l_suppkey", "l_orderkey"), ["l_returnflag"], "l_partkey",
+                {"near": ("sum", F.lit(1)), "top": ("max", F.col("l_orderkey")), "low": ("min", F.col("l_suppkey"))}, -7, 12),
+            ["l_returnflag"], "l_partkey", {"upto": ("sum", F.lit(1))}, None, 3),
+        "SELECT l_returnflag, l_partkey, l_suppkey, l_orderkey, count(*) OVER w AS near, max(l_orderkey) OVER w AS top, "
+        "min(l_suppkey) OVER w AS low, count(*) OVER (PARTITION BY l_returnflag ORDER BY l_partkey "
+        "RANGE BETWEEN UNBOUNDED PRECEDING AND 3 FOLLOWING) AS upto FROM lineitem WINDOW w AS "
+        "(PARTITION BY l_returnflag ORDER BY l_partkey RANGE BETWEEN 7 PRECEDING AND 12 FOLLOWING)"),
     "window_large_running": query(
         lambda t: ordered.running_folds(
             t.lineitem.select("l_returnflag", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
@@ -136,6 +147,9 @@ _LARGE = {
     "window_default_frame": lambda t: ordered.range_folds(
         _by_brand(t).select("p_brand", "p_partkey", "p_size"), ["p_brand"], "p_size",
         {"s": ("sum", F.col("p_size"))}).select("p_partkey", "s"),
+    "window_over_expression": lambda t: ordered.ranks(
+        t.supplier.select("s_nationkey", "s_suppkey"), ["s_nationkey"], "s_suppkey").select(
+        "s_suppkey", (F.col("rank") + F.col("dense_rank")).alias("r")),
     "window_whole_partition": lambda t: ordered.partition_folds(
         t.supplier.select("s_suppkey", "s_nationkey", "s_acctbal"), ["s_nationkey"],
         {"n": F.count(F.lit(1)), "m": F.max("s_acctbal")}).select("s_suppkey", "n", "m"),

@@ -39,6 +39,15 @@ def with_virtual_columns(df: DataFrame) -> DataFrame:
     )
 
 
+def table_bytes(df: DataFrame) -> int:
+    """Bytes of the files behind a table, from their listing; no file is opened."""
+    files = df.inputFiles()
+    if not files:
+        return 0
+    listed = df.sparkSession.read.format("binaryFile").load(files)
+    return listed.agg(F.sum("length").alias("bytes")).first()["bytes"] or 0
+
+
 def compact(spark: SparkSession, source: str, target: str, format: str = "parquet",
             file_bytes: int = 256 << 20) -> None:
     """Rewrite a folder of small files as files of about ``file_bytes``.
@@ -46,6 +55,5 @@ def compact(spark: SparkSession, source: str, target: str, format: str = "parque
     The new folder is complete before anybody reads it; the old one stays.
     """
     df = spark.read.format(format).load(source)
-    sizes = df.select("_metadata.file_path", "_metadata.file_size").distinct()
-    total = sizes.agg(F.sum("file_size").alias("bytes")).first()["bytes"] or 0
+    total = table_bytes(df)
     df.repartition(max(1, -(-total // file_bytes))).write.format(format).save(target)
