@@ -42,13 +42,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     configure(spark)
     groups = near_duplicates(docs, shingle=5, percent=80)
-    gone = groups.filter(~F.col("kept")).select("doc_id").distinct()
-    rest = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
-    # Only rows whose id occurs again are brought together.
-    again = rest.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 AND doc_id IS NOT NULL").select("doc_id")
-    first = rest.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(
-        F.min(F.struct("text", "lang", "source", "n_chars")).alias("row")).select("doc_id", "row.*")
-    return rest.join(again, "doc_id", "left_anti").unionByName(first).select(*COLUMNS)
+    kept = groups.filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    rows = docs.select(*COLUMNS)
+    # Rows with one id: the first by content. They are combined before they are shuffled,
+    # and the shuffle serves the join with the ids that stay.
+    named = rows.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(
+        F.min(F.struct("text", "lang", "source", "n_chars")).alias("row"))
+    named = named.join(kept, "doc_id", "left_semi").select("doc_id", "row.*")
+    return named.unionByName(rows.filter("doc_id IS NULL")).select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

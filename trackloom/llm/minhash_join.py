@@ -22,9 +22,9 @@ from pyspark.sql import types as T
 from trackloom.llm.components import connected_components, saved
 from trackloom.llm.words import SEED, WordHasher, mixed
 
-COORDINATES = 64
+COORDINATES = 48
 # Bins of the byte sketch that candidates of long lists are compared by.
-BIN_BITS = 9
+BIN_BITS = 8
 BINS = 1 << BIN_BITS
 # Posts in a list from which pairs are checked on whole sets before they leave the task,
 # and rows of one tile of a list.
@@ -246,10 +246,9 @@ def near_duplicates(
 
     # Documents with one shingle set are one class; only its smallest id goes on.
     kinds = signed.filter("n_shingles > 0 AND node IS NOT NULL")
-    classes = saved(kinds.groupBy("s1", "s2", "n_shingles").agg(
-        F.min("node").alias("rep"), F.count("*").alias("members")))
-    nodes = saved(signed.join(classes.select(F.col("rep").alias("node"), "s1", "s2"), ["node", "s1", "s2"]).select(
-        "node", "n_shingles", "signature", "sketch").dropDuplicates(["node"]))
+    classes = saved(kinds.groupBy("s1", "s2", "n_shingles").agg(F.min("node").alias("rep")))
+    reps = classes.select(F.col("rep").alias("node"), "s1", "s2")
+    nodes = kinds.select("node", "s1", "s2", "signature").join(reps, ["node", "s1", "s2"], "left_semi")
 
     # Prefix: a document's rarest coordinate-value pairs, so a line that many documents
     # share brings none of them together. Pairs of one document only come first of all.
@@ -268,10 +267,12 @@ def near_duplicates(
     leaders = ranked.groupBy("key").agg(F.max("rank").alias("top"))
     stars = posts.join(leaders, "key").select(
         F.col("node").alias("a"), (-F.col("top.back")).alias("b")).filter("a != b").distinct()
-    texts = source.filter("node IS NOT NULL")
+    # Of all texts only those of documents in a list are looked at again.
+    texts = saved(source.join(posts.select("node").distinct(), "node", "left_semi"))
     confirm = _confirmer(shingle, percent)
-    signatures = nodes.select(F.col("node").alias("a"), F.col("signature").alias("sig_a"))
-    others = nodes.select(F.col("node").alias("b"), F.col("signature").alias("sig_b"))
+    signatures = kinds.select("node", "signature").dropDuplicates(["node"])
+    others = signatures.select(F.col("node").alias("b"), F.col("signature").alias("sig_b"))
+    signatures = signatures.select(F.col("node").alias("a"), F.col("signature").alias("sig_a"))
     stars = saved(stars.join(signatures, "a").join(others, "b").filter(
         _equal_coordinates() >= matches).select("a", "b"))
     near = saved(_confirmed(stars, texts, confirm))
@@ -280,7 +281,7 @@ def near_duplicates(
     # What remains: pairs in one list whose documents are not connected yet.
     open_lists = saved(_unmerged(posts.drop("n").join(merged, "node", "left").withColumn(
         "component", F.coalesce("component", "node"))))
-    sketches = nodes.select("node", "n_shingles", "sketch")
+    sketches = kinds.select("node", "n_shingles", "sketch").dropDuplicates(["node"])
     long_lists = open_lists.filter(F.col("n") > LONG)
     whole = texts.join(long_lists.select("node").distinct(), "node", "left_semi").mapInArrow(
         _members(shingle), "node long, members binary")
