@@ -11,8 +11,15 @@ from trackloom.plans.registry import Query, as_long, query, same_sql, single
 # A total order within a customer, so that every function is determined.
 _W = "PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey"
 _PLACED = "FROM {orders} "
-# A named window is a value that other windows extend.
-_NAMED = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+
+
+def _named_inherited(t):
+    """A named window is a value that other windows extend."""
+    named = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    return t.orders.select(
+        "o_custkey", "o_orderkey", F.count(F.lit(1)).over(named.rowsBetween(-1, 0)).alias("c"),
+        F.min("o_orderkey").over(named).alias("m"))
+
 
 
 def _single(text: str) -> str:
@@ -61,9 +68,7 @@ QUERIES: dict[str, Query] = {
         "SELECT c_custkey, rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS by_nation, "
         "rank() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS by_segment FROM {customer}"),
     "window_named_inherited": query(
-        lambda t: t.orders.select(
-            "o_custkey", "o_orderkey", F.count(F.lit(1)).over(_NAMED.rowsBetween(-1, 0)).alias("c"),
-            F.min("o_orderkey").over(_NAMED).alias("m")),
+        _named_inherited,
         f"SELECT o_custkey, o_orderkey, count(*) OVER (w ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS c, "
         f"min(o_orderkey) OVER w AS m FROM orders WINDOW w AS ({_W})"),
     "window_aggregates_of_lag": same_sql(
