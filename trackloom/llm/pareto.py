@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trackloom.llm.components import saved
 
-WORD = "[^\\\\x20\\\\x09-\\\\x0D]+"
+WORD = r"[^\x20\x09-\x0D]+"
 # A draw has 52 bits of a digest and a rank has as many; each level of the search for
 # the last rank taken looks at 2 ** LEVEL_BITS ranges of ranks.
 DRAW_BITS = 52
@@ -16,7 +16,7 @@ LEVEL_BITS = 13
 
 def word_count(text: Column) -> Column:
     """Runs of characters other than white space (space, \\t to \\r); null has none."""
-    return F.coalesce(F.regexp_count(text, F.lit(WORD.replace("\\\\", "\\"))), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def draw(*columns: Column) -> Column:
