@@ -26,7 +26,7 @@ def in_file(df: DataFrame, column: Column | str, path: str, name: str = "in_file
 def create_macro(spark: SparkSession, name: str, parameters: str, body: str) -> None:
     """A named expression, expanded into every query that uses it.
 
-    ``create_macro(spark, "sigmoid", "x DOUBLE", "1.0 / (1.0 + exp(-x))")``
+    ``create_macro(spark, "share", "part DOUBLE, whole DOUBLE", "100 * part / whole")``
     """
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURN {body}")
 

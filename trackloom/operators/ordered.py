@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.operators.scans import FOLDS, TILE, scan
+from trackloom.operators.scans import FOLDS, TILE, ordering, scan
 from trackloom.session import checkpoint_folder
 
 
@@ -29,11 +29,11 @@ def with_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def cut_in_tiles(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Rows with a ``_tile`` number that rises with (keys, order)."""
+    """Rows with a ``_tile`` number that rises with (keys, order); ``-name`` is descending."""
     spark = df.sparkSession
     checkpoint_folder(spark)
     tiles = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(tiles, *keys, *order)
+    ranged = df.repartitionByRange(tiles, *keys, *[ordering(c) for c in order])
     return ranged.withColumn(TILE, F.spark_partition_id()).checkpoint()
 
 
@@ -92,18 +92,23 @@ def ntiles(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) ->
 
 
 def shifted(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, tuple[str, int]]
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, tuple]
 ) -> DataFrame:
     """Add ``lag`` (offset > 0) and ``lead`` (offset < 0) columns.
 
-    Rows are numbered once and meet their neighbour in an equi-join on
+    ``values[name] = (column, offset)`` or ``(column, offset, default)``; the default
+    stands where there is no such row, not where its value is NULL. Rows are numbered once and meet their neighbour in an equi-join on
     (keys, number), so the offset may reach across tiles.
     """
     numbered = with_key(row_numbers(df, keys, order, "_rn"), list(keys))
     out = numbered
-    for name, (column, offset) in values.items():
-        other = numbered.select(BY, (F.col("_rn") + offset).alias("_rn"), F.col(column).alias(name))
+    for name, (column, offset, *default) in values.items():
+        other = numbered.select(BY, (F.col("_rn") + offset).alias("_rn"), F.col(column).alias(name),
+                                F.lit(True).alias("_there"))
         out = out.join(other, [BY, "_rn"], "left")
+        if default:
+            out = out.withColumn(name, F.when(F.col("_there"), F.col(name)).otherwise(F.lit(default[0])))
+        out = out.drop("_there")
     return out.select(*df.columns, *values)
 
 

@@ -54,6 +54,12 @@ FOLDS: dict[str, tuple[Callable, Callable]] = {
 }
 
 
+def ordering(name: str, backward: bool = False) -> Column:
+    """Order by a column; a name after ``-`` is descending."""
+    column = F.col(name.removeprefix("-"))
+    return column.desc() if name.startswith("-") != backward else column.asc()
+
+
 def scan(
     tiled: DataFrame,
     by: Sequence[str],
@@ -73,7 +79,7 @@ def scan(
     marked = tiled.withColumns({f"_v_{n}": value for n, (_, value) in outputs.items()})
 
     def directed(c: str) -> Column:
-        return F.col(c).desc() if backward else F.col(c).asc()
+        return ordering(c, backward)
 
     inside = Window.partitionBy(TILE, *by).orderBy(*[directed(c) for c in order]).rowsBetween(
         Window.unboundedPreceding, 0 if inclusive else -1)

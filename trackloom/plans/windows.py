@@ -110,6 +110,18 @@ QUERIES: dict[str, Query] = {
             {"before": ("user_id", 1), "after": ("user_id", -2)}),
         "SELECT event_type, event_id, user_id, lag(user_id) OVER w AS before, lead(user_id, 2) OVER w AS after "
         "FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id)"),
+    "window_large_lag_default": query(
+        lambda t: ordered.shifted(
+            t.events.select("event_type", "event_id", F.nullif("user_id", F.lit(7)).alias("u")), ["event_type"], ["event_id"],
+            {"before": ("u", 2, -1), "after": ("u", -1, 0)}),
+        "SELECT event_type, event_id, u, lag(u, 2, -1) OVER w AS before, lead(u, 1, 0) OVER w AS after FROM "
+        "(SELECT event_type, event_id, nullif(user_id, 7) AS u FROM events) "
+        "WINDOW w AS (PARTITION BY event_type ORDER BY event_id)"),
+    "window_large_descending": query(
+        lambda t: ordered.row_numbers(
+            t.customer.select("c_mktsegment", "c_name", "c_custkey"), ["c_mktsegment"], ["-c_name", "c_custkey"]),
+        "SELECT c_mktsegment, c_name, c_custkey, row_number() OVER (PARTITION BY c_mktsegment "
+        "ORDER BY c_name DESC, c_custkey) AS row_number FROM customer"),
     "window_range_bounded_large": query(
         lambda t: ordered.range_folds(
             ordered.range_folds(

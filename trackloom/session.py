@@ -35,6 +35,8 @@ def build_session(
     master: str | None = None, app: str = "trackloom", **settings: str
 ) -> SparkSession:
     """Create a session. On a cluster leave ``master`` to spark-submit."""
+    # Checkpoints that nothing refers to any more are removed.
+    settings = {"spark.cleaner.referenceTracking.cleanCheckpoints": "true", **settings}
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
