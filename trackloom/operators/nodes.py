@@ -69,6 +69,10 @@ def spread(
     any, is plain arithmetic on longs, so all of it stays in one code span.
     """
     slots = (1 if point is not None else 0) + (6 if cover is not None else 0)
+    if cover is not None and (point is None or point_top is not None):
+        # A cover uses no level above that of its own length, however long others are.
+        own = F.floor((F.length(F.bin(F.greatest(cover[1] - cover[0] + 1, F.lit(1)))) - 1) / 2).cast("int")
+        top = F.least(top, own if point is None else F.greatest(own, point_top))
     numbered = df.withColumn(_SLOT, F.explode(F.sequence(F.lit(0), (top + 1) * slots - 1)))
     level = F.call_function("div", F.col(_SLOT), F.lit(slots)).cast("int")
     which = F.col(_SLOT) % slots

@@ -70,7 +70,12 @@ def location_join(a: DataFrame, b: DataFrame, predicate: str) -> DataFrame:
     if predicate == "overlaps":
         return overlap_join(a, b)
     if predicate in ("contains", "within"):
-        return overlap_join(a, b).filter(test)
+        # The first base of the inner interval lies in the outer one: one question.
+        covers, points = (left, right) if predicate == "contains" else (right, left)
+        lo, hi, at = (a_start, a_end, b_start) if predicate == "contains" else (b_start, b_end, a_start)
+        top = top_level(a if predicate == "contains" else b)
+        pairs = node_join(spread(covers, top, cover=(lo, hi)), spread(points, top, point=at)).drop(NODE)
+        return pairs.filter(test).select(CHR, *[c for c in (*left.columns, *right.columns) if c != CHR])
     if predicate == "coincides":
         return keyed(F.struct(a_start.alias("s"), a_end.alias("e")),
                      F.struct(b_start.alias("s"), b_end.alias("e")))
