@@ -193,3 +193,23 @@ def test_map_columns_are_no_obstacle(spark):
     assert sum(bucket_sample(frame, x, 4).count() for x in range(1, 5)) == 100
     assert [r[0] for r in frame.limit(2).select(scalar.index("m", F.lit("a"), of_map=True)).collect()] == [0, 1]
     assert frame.select(scalar.index("m", F.lit("z"), of_map=True)).first()[0] is None
+
+
+def test_unique_join_with_hot_and_null_keys(spark):
+    from trackloom.operators.joins import UniqueSource, unique_join
+
+    a = [(1, k) for k in range(300)] + [(2, 5), (None, 6), (3, 7)]
+    b = [(1, 10), (4, 11), (None, 12)]
+    c = [(1, 20), (1, 21), (3, 22), (5, 23)]
+    frames = [spark.createDataFrame(rows, "k int, v int") for rows in (a, b, c)]
+    for preserve in ((True, False, True), (True, True, True), (False, True, True)):
+        got = unique_join([UniqueSource(d, ["k"], p) for d, p in zip(frames, preserve)], ("a_", "b_", "c_"))
+        wanted = []
+        for key in {k for rows in (a, b, c) for k, _ in rows if k is not None}:
+            parts = [[r for r in rows if r[0] == key] for rows in (a, b, c)]
+            if all(parts) or any(p and keep for p, keep in zip(parts, preserve)):
+                x, y, z = [p or [(None, None)] for p in parts]
+                wanted += [(*i, *j, *m) for i in x for j in y for m in z]
+        for place, (rows, keep) in enumerate(zip((a, b, c), preserve)):
+            wanted += [(*[None] * 2 * place, *r, *[None] * (4 - 2 * place)) for r in rows if r[0] is None and keep]
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, wanted))

@@ -26,8 +26,10 @@ def unique_join(sources: Sequence[UniqueSource], prefixes: Sequence[str]) -> Dat
     combined across the inputs that have it. NULL keys match nothing, and
     survive only from preserved inputs.
 
-    Keys that cannot survive are filtered out first where only one preserved
-    input exists or none, so those plans are plain inner or left joins.
+    Keys that cannot survive are filtered out first. With one preserved input
+    or none the plans are inner or left joins; with more, inputs get a row of
+    NULLs for kept keys they lack and are joined by inner joins, of which
+    adaptive execution can split a hot key on either side.
     """
     width = len(sources[0].keys)
     keys = [f"_key{i}" for i in range(width)]
@@ -45,14 +47,31 @@ def unique_join(sources: Sequence[UniqueSource], prefixes: Sequence[str]) -> Dat
         rest = [d for i, d in enumerate(staged) if i != first]
         joined = reduce(lambda a, b: a.join(b, keys, "left"), rest, staged[first])
     else:
-        joined = reduce(lambda a, b: a.join(b, keys, "full"), staged)
-        here = [F.coalesce(F.col(p + "_here"), F.lit(False)) for p in prefixes]
-        anyone = reduce(lambda a, b: a | b, [here[i] for i in preserved])
-        everyone = reduce(lambda a, b: a & b, here)
-        joined = joined.filter(anyone | everyone)
+        joined = _aligned(staged, prefixes, keys, preserved)
     return joined.select(*[p + c for s, p in zip(sources, prefixes) for c in s.df.columns])
 
 
+def _aligned(staged: list[DataFrame], prefixes: Sequence[str], keys: list[str], preserved: list[int]) -> DataFrame:
+    no_null = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    flags = [F.lit(i).alias("_source") for i in range(len(staged))]
+    seen = reduce(DataFrame.unionByName, [
+        d.filter(no_null).select(*keys, flag).distinct() for d, flag in zip(staged, flags)])
+    there = seen.groupBy(*keys).agg(*[
+        F.max((F.col("_source") == i).cast("int")).alias(f"_has{i}") for i in range(len(staged))])
+    anyone = reduce(lambda a, b: a | b, [F.col(f"_has{i}") == 1 for i in preserved])
+    everyone = reduce(lambda a, b: a & b, [F.col(f"_has{i}") == 1 for i in range(len(staged))])
+    kept = there.filter(anyone | everyone)
+    padded = []
+    for i, d in enumerate(staged):
+        lacking = kept.filter(F.col(f"_has{i}") == 0).select(*keys)
+        padded.append(d.join(kept.select(*keys), keys, "left_semi").unionByName(lacking, allowMissingColumns=True))
+    joined = reduce(lambda a, b: a.join(b, keys), padded)
+    # A NULL key matches nothing, so those rows need no join.
+    for i in preserved:
+        joined = joined.unionByName(staged[i].filter(~no_null), allowMissingColumns=True)
+    return joined
+
+
 def salted_join(
     big: DataFrame, small: DataFrame, keys: Sequence[str], salts: int, how: str = "inner"
 ) -> DataFrame:
