@@ -134,6 +134,23 @@ def date_add(c: Column | str, days: Column | int) -> Column:
     return F.date_format(F.date_add(_lenient_date(_col(c)), days), "yyyy-MM-dd")
 
 
+def year(c: Column | str) -> Column:
+    """Parts of dates are read from text with overflow, as the dates above are."""
+    return F.year(_lenient_date(_col(c)))
+
+
+def month(c: Column | str) -> Column:
+    return F.month(_lenient_date(_col(c)))
+
+
+def day(c: Column | str) -> Column:
+    return F.dayofmonth(_lenient_date(_col(c)))
+
+
+def weekofyear(c: Column | str) -> Column:
+    return F.weekofyear(_lenient_date(_col(c)))
+
+
 def date_sub(c: Column | str, days: Column | int) -> Column:
     return F.date_format(F.date_sub(_lenient_date(_col(c)), days), "yyyy-MM-dd")
 

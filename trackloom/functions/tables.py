@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -35,6 +36,50 @@ def drop_macro(spark: SparkSession, name: str) -> None:
     spark.sql(f"DROP TEMPORARY FUNCTION IF EXISTS {name}")
 
 
+# States that a task holds before it passes them on to be merged.
+HELD_STATES = 100_000
+
+
+def user_aggregate(df: DataFrame, keys: list[str], value: str, initial, iterate, merge, terminate, result: str) -> DataFrame:
+    """A user's aggregate in two stages, as one row per key with the keys and ``result``.
+
+    ``initial()`` gives a state, ``iterate(state, value)`` and ``merge(state, state)`` the
+    next one, ``terminate(state)`` the value of the column that ``result`` declares, such
+    as ``"mean double"``. Every task folds its own rows to one state per key, so a hot key
+    leaves it as one row; only states are shuffled. States must pickle.
+    """
+    name = result.split()[0]
+    fields = ", ".join(f"`{n}` {kind}" for n, kind in df.select(*keys).dtypes)
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        states: dict = {}
+
+        def passed() -> pd.DataFrame:
+            rows = [(*key, pickle.dumps(state)) for key, state in states.items()]
+            return pd.DataFrame(rows, columns=[*keys, "_state"], dtype=object)
+
+        for batch in batches:
+            plain = batch.astype(object).where(batch.notna(), None)
+            for *key, v in zip(*(plain[c] for c in (*keys, value))):
+                key = tuple(key)
+                states[key] = iterate(states[key] if key in states else initial(), v)
+            if len(states) > HELD_STATES:
+                yield passed()
+                states.clear()
+        if states:
+            yield passed()
+
+    def merged(group: pd.DataFrame) -> pd.DataFrame:
+        state = None
+        for k, other in enumerate(group["_state"]):
+            other = pickle.loads(other)
+            state = merge(state, other) if k else other
+        return group[keys].head(1).assign(**{name: [terminate(state)]})
+
+    states = df.select(*keys, value).mapInPandas(partial, f"{fields}, _state binary")
+    return states.groupBy(*keys).applyInPandas(merged, f"{fields}, {result}")
+
+
 def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
     """Run a function over pandas batches of rows, the vectorised script."""
 

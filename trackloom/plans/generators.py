@@ -19,6 +19,18 @@ def _macro(t: Tables):
         "l_returnflag", single("net").alias("net"))
 
 
+def _second_largest(t: Tables):
+    # Inside a function, so that it travels to the tasks by value.
+    def two_largest(*values):
+        """The two largest distinct values, None where there is none."""
+        top = sorted({v for v in values if v is not None}, reverse=True)[:2]
+        return tuple(top + [None] * (2 - len(top)))
+
+    return tables.user_aggregate(
+        t.lineitem, ["l_returnflag", "l_linestatus"], "l_partkey", lambda: (None, None),
+        lambda s, v: two_largest(*s, v), lambda s, o: two_largest(*s, *o), lambda s: s[1], "second bigint")
+
+
 QUERIES: dict[str, Query] = {
     "generate_explode": both(
         "SELECT vec_id, CAST(x AS DOUBLE) AS x FROM {embeddings} LATERAL VIEW explode(embedding) e AS x",
@@ -60,6 +72,13 @@ QUERIES: dict[str, Query] = {
     "function_transform_script": both(
         "SELECT TRANSFORM(n_nationkey, n_name) USING 'cat' AS (k STRING, name STRING) FROM {nation}",
         "SELECT CAST(n_nationkey AS VARCHAR) AS k, n_name AS name FROM nation"),
+    "function_user_aggregate": query(
+        _second_largest,
+        "SELECT l_returnflag, l_linestatus, (list_sort(list(DISTINCT l_partkey), 'DESC'))[2] AS second FROM lineitem "
+        "GROUP BY l_returnflag, l_linestatus"),
+    "function_pandas_scalar": query(
+        lambda t: t.events.select("event_id", F.pandas_udf(lambda v: v.clip(upper=50.0), "double")("value").alias("v")),
+        "SELECT event_id, least(value, 50.0) AS v FROM events"),
     "function_map_batches": query(
         lambda t: tables.map_batches(
             t.events.select("event_id", "value"),

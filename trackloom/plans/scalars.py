@@ -172,6 +172,14 @@ QUERIES: dict[str, Query] = {
         "SELECT event_id, CAST(year(ts) AS BIGINT) AS y, CAST(month(ts) AS BIGINT) AS m, CAST(day(ts) AS BIGINT) AS d, "
         "CAST(dayofmonth(ts) AS BIGINT) AS dm, CAST(hour(ts) AS BIGINT) AS h, CAST(minute(ts) AS BIGINT) AS mi, "
         "CAST(second(ts) AS BIGINT) AS s, CAST(weekofyear(ts) AS BIGINT) AS w FROM {events}"),
+    "scalar_lenient_date_parts": query(
+        lambda t: t.orders.select("o_orderkey", F.format_string(
+            "2008-%d-%d", F.col("o_orderkey") % 15 + 1, F.col("o_orderkey") % 40 + 1).alias("d")).select(
+            "o_orderkey", fn.year("d").alias("y"), fn.month("d").alias("m"), fn.day("d").alias("day"),
+            fn.weekofyear("d").alias("w")),
+        "SELECT o_orderkey, CAST(year(d) AS INT) AS y, CAST(month(d) AS INT) AS m, CAST(day(d) AS INT) AS day, "
+        "CAST(weekofyear(d) AS INT) AS w FROM (SELECT o_orderkey, CAST(DATE '2008-01-01' + to_months(CAST(o_orderkey % 15 AS INT)) "
+        "AS DATE) + CAST(o_orderkey % 40 AS INT) AS d FROM orders)"),
     "scalar_date_arithmetic": query(
         lambda t: t.orders.select(
             "o_orderkey", fn.to_date("o_orderdate").alias("d"), fn.date_add("o_orderdate", 40).alias("a"),
