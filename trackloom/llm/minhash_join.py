@@ -139,7 +139,8 @@ def _tile_pairs(percent: int):
 
     Of the bins that either set fills, about the similarity's share hold the same value;
     a pair at the threshold is 5 deviations above the bound used here. Tiles of long
-    lists bring the whole sets, and only pairs that these link leave the task.
+    lists bring the whole sets, and only pairs that these link leave the task. They also
+    bring the keys of a document's lists: a pair is checked in the first list it shares.
     """
     share = percent / 100
 
@@ -152,6 +153,7 @@ def _tile_pairs(percent: int):
         size = table["n_shingles"].to_numpy()[order]
         sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, BINS)[order]
         members = table["members"].to_pylist() if "members" in table.column_names else None
+        lists = table["keys"].to_pylist() if members else None
         new = (np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)
         begins = np.append(np.flatnonzero(np.concatenate([[True], new])), len(key))
         found = [np.zeros((2, 0), np.int64)]
@@ -159,6 +161,7 @@ def _tile_pairs(percent: int):
             middle = end if i[begin] == j[begin] else begin + int(np.sum(side[begin:end] == 0))
             if members:
                 sets = [frozenset(np.frombuffer(members[order[r]], np.uint32).tolist()) for r in range(begin, end)]
+                shared = [frozenset(lists[order[r]]) for r in range(begin, end)]
             for row in range(begin, middle):
                 low = row + 1 if middle == end else middle
                 rest = low + np.flatnonzero(
@@ -168,6 +171,9 @@ def _tile_pairs(percent: int):
                 either = ((theirs | own) > 0).sum(1)
                 same = ((theirs == own) & (own > 0)).sum(1)
                 hits = rest[same >= share * either - 5 * np.sqrt(either * share * (1 - share))]
+                if members and len(hits):
+                    own, here = shared[row - begin], key[begin]
+                    hits = np.array([h for h in hits if min(own & shared[h - begin]) == here], np.int64)
                 if members and len(hits):
                     # Equal check sums can add a little, so a margin goes to the full check.
                     mine = sets[row - begin]
@@ -286,7 +292,8 @@ def near_duplicates(
     whole = texts.join(long_lists.select("node").distinct(), "node", "left_semi").mapInArrow(
         _members(shingle), "node long, members binary")
     rest = _tiled(open_lists.filter(F.col("n") <= LONG), sketches, percent).unionByName(
-        _tiled(long_lists, sketches.join(whole.dropDuplicates(["node"]), "node"), percent)).distinct()
+        _tiled(long_lists, sketches.join(whole.dropDuplicates(["node"]), "node").join(
+            posts.groupBy("node").agg(F.collect_list("key").alias("keys")), "node"), percent)).distinct()
     tried = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     rest = rest.join(tried, ["a", "b"], "left_anti")
     more = saved(_confirmed(rest, texts, confirm))
