@@ -57,13 +57,17 @@ def _grams(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, n
 
 
 def _shares(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The share of each bucket in the n-grams of each text."""
+    """The share of each bucket in the n-grams of each text, some texts at a time."""
     texts = len(bounds) - 1
-    out = np.zeros(texts * BUCKETS, np.float32)
-    for bucket, owner in _grams(data, bounds):
-        out += np.bincount(owner * BUCKETS + bucket, minlength=len(out)).astype(np.float32)
-    out = out.reshape(texts, BUCKETS)
-    return out / np.maximum(out.sum(1, keepdims=True), 1)
+    out = np.zeros((texts, BUCKETS), np.float32)
+    for low in range(0, texts, 100):
+        part = bounds[low:low + 101]
+        rows = out[low:low + 100]
+        for bucket, owner in _grams(data[part[0]:part[-1]], part - part[0]):
+            counts = np.bincount(owner * BUCKETS + bucket, minlength=rows.size)
+            rows += counts.reshape(rows.shape).astype(np.float32)
+        rows /= np.maximum(rows.sum(1, keepdims=True), 1)
+    return out
 
 
 class Model:
@@ -100,7 +104,7 @@ def fit(texts: list[str], langs: list[str], rounds: int = 60) -> Model | None:
         return None
     code = codewords(len(labels))
     x = _shares(*text_bytes(pa.array(texts, pa.string())))
-    scale = np.float32(1 / max(np.sqrt((x * x).sum(1).mean()), 1e-9))
+    scale = np.float32(1 / max(np.sqrt(np.einsum("ij,ij->i", x, x).mean()), 1e-9))
     kind = np.array([labels.index(lang) for lang in langs])
     share = np.bincount(kind, minlength=len(labels))
     each = (len(kind) / (len(labels) * share))[kind].astype(np.float32)
