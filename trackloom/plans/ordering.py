@@ -13,8 +13,8 @@ QUERIES: dict[str, Query] = {
         "SELECT doc_id, k FROM (SELECT doc_id, nullif(quality, 0) AS k, toxic FROM {labels}) "
         "WHERE NOT (k = 1 AND toxic = 1)"),
     "filter_between_in_like": same_sql(
-        "SELECT p_partkey, p_name FROM {part} WHERE p_size BETWEEN 10 AND 20 AND p_type IN ('SMALL', 'PROMO') "
-        "AND p_name LIKE 'small%'"),
+        "SELECT p_partkey, p_name FROM {part} WHERE p_size BETWEEN 5 AND 45 AND p_type IN ('SMALL', 'PROMO', 'STANDARD') "
+        "AND p_name LIKE '%a%'"),
     "filter_in_with_null": same_sql(
         "SELECT n_nationkey, n_regionkey IN (1, 2, NULL) AS i FROM {nation}"),
     "filter_pushdown": same_sql(
@@ -27,8 +27,8 @@ QUERIES: dict[str, Query] = {
         "SELECT c_name, c_acctbal FROM customer"),
     "project_star": same_sql("SELECT * FROM {nation}"),
     "subquery_in_from": same_sql(
-        "SELECT s.s_suppkey FROM (SELECT s_suppkey, s_acctbal FROM {supplier} WHERE s_acctbal < 1000) s "
-        "WHERE s.s_suppkey > 10"),
+        "SELECT s.s_suppkey FROM (SELECT s_suppkey, s_acctbal FROM {supplier} WHERE s_acctbal < 9000) s "
+        "WHERE s.s_suppkey > 2"),
     "sort_total_order_top": same_sql(
         "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC, o_orderkey LIMIT 100"),
     "sort_nulls_first": Query(

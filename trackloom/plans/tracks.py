@@ -377,7 +377,7 @@ QUERIES["track_pair_closest"] = query(
 
 def _sql_functions(t: Tables) -> DataFrame:
     iv.register_sql_functions(t.spark)
-    spot = "named_struct('chr', 'chr2', 'chrstart', 20010L, 'chrend', 20012L)"
+    spot = "named_struct('chr', 'chr2', 'chrstart', 2010L, 'chrend', 2012L)"
     whole = "named_struct('chr', chr, 'chrstart', chrstart, 'chrend', chrend)"
     return t.spark.sql(
         f"SELECT chr, chrstart, chrend, interval_length({whole}) AS length, "
@@ -387,6 +387,6 @@ def _sql_functions(t: Tables) -> DataFrame:
 
 QUERIES["track_sql_functions"] = query(
     _sql_functions,
-    f"{WITH_A} SELECT chr, chrstart, chrend, {A_LEN} AS length, chrstart - 20012 AS distance FROM a "
-    f"WHERE chr = 'chr2' AND chrstart > 20012 AND {A_LEN} > 20",
+    f"{WITH_A} SELECT chr, chrstart, chrend, {A_LEN} AS length, chrstart - 2012 AS distance FROM a "
+    f"WHERE chr = 'chr2' AND chrstart > 2012 AND {A_LEN} > 20",
 )
