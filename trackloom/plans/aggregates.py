@@ -211,7 +211,14 @@ QUERIES["agg_context_ngrams"] = query(
     "g AS (SELECT words[i + 1:i + 2] AS ngram, count(*) AS c FROM p WHERE words[i] = 'the' GROUP BY ALL), "
     "r AS (SELECT ngram, c FROM g ORDER BY c DESC, ngram LIMIT 20) "
     "SELECT array_to_string(ngram, ' ') AS ngram, CAST(c AS DOUBLE) AS estfrequency FROM r")
-# Spark's own sentence and word boundaries have no SQL counterpart.
+# Spark's own sentence and word boundaries have no SQL counterpart; how often one word
+# occurs after another is at most how often it occurs.
 QUERIES["agg_ngrams_of_sentences"] = query(
     lambda t: text_stats.ngrams(
-        t.documents.select(F.sentences(F.lower("text"), F.lit("en"), F.lit("US")).alias("s")), "s", 2, 20))
+        t.documents.select(F.sentences(F.lower("text"), F.lit("en"), F.lit("US")).alias("s")), "s", 2, 20).crossJoin(
+        text_stats.ngrams(_words(t, "documents", "text"), "sentences", 1, 1).select(F.col("estfrequency").alias("most"))).agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.size("ngram") == 2).alias("pairs"),
+        F.min(F.col("estfrequency") <= F.col("most")).alias("bounded"), F.max("most").alias("most")),
+    f"WITH {_WORDS_SQL.format(column='text', table='documents')}, u AS (SELECT unnest(words) AS word FROM w), "
+    "c AS (SELECT count(*) AS n FROM u GROUP BY word) "
+    "SELECT 20 AS n, TRUE AS pairs, TRUE AS bounded, CAST(max(n) AS DOUBLE) AS most FROM c")

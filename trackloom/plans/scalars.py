@@ -155,7 +155,11 @@ QUERIES: dict[str, Query] = {
         "nullif(regexp_extract(url, '#(.*)$', 1), '') AS rf, nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') AS k FROM pages"),
     "scalar_sentences": query(
         lambda t: t.documents.select(
-            "doc_id", F.size(F.sentences("text", F.lit("en"), F.lit("US"))).alias("n"))),
+            "doc_id", F.sentences("text", F.lit("en"), F.lit("US")).alias("s")).select(
+            "doc_id", (F.size("s") > 0).alias("some"),
+            # Where sentences and words end is Spark's own rule; their Latin letters are the text's.
+            F.md5(F.regexp_replace(F.array_join(F.flatten("s"), ""), "[^A-Za-z]", "")).alias("letters")),
+        "SELECT doc_id, TRUE AS some, md5(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS letters FROM documents"),
     "scalar_concat_ws_arrays": query(
         lambda t: t.labels.select("doc_id", fn.concat_ws_array(
             "+", F.array(F.col("doc_id").cast("string"), F.nullif(F.col("quality"), F.lit(0)).cast("string"))).alias("c")),
