@@ -56,3 +56,34 @@ def test_table(spark, folder):
     assert sorted(extract_pages(frame).collect(), key=str) == sorted(
         [(1, None, "", 0), (1, None, "", 0), (None, "u", ONE, len(ONE))], key=str)
     assert extract_pages(frame.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("wrap", ["<div id='page' class='site no-sidebar'>", "<div class='layout with-sidebar'>",
+                                  "<div class='search layout'>", "<section id='discussion'>"])
+def test_a_name_does_not_drop_the_page(wrap):
+    side = "<div class='sidebar'><p>Aside, here.</p></div>"
+    assert main_text(f"<body>{wrap}{side}<div><h1>A title</h1><p>{ONE}</p><p>{TWO}</p></div></body>") == f"A title\n{ONE}\n{TWO}"
+
+
+@pytest.mark.parametrize("part", ["<h2 id='search-algorithms'>Search</h2>", "<h2><span id='share'>How to share</span></h2>",
+                                  f"<section id='discussion'><h2>Talk</h2><p>{ONE}</p></section>",
+                                  f"<section id='related-work'><p>{ONE}</p></section>", "<p>a <b class='alert'>b</b> c</p>"])
+def test_names_inside_an_article_are_hints(part):
+    import re
+
+    text = "\n".join(re.sub(r"</?(?:b|span)\b[^>]*>|</?section[^>]*>", "", part).replace("><", ">\n<").split("\n"))
+    text = re.sub("<[^>]+>", "", text)
+    share = "<div class='share'><a href='#'>Share this</a></div><div class='ad'>Buy this</div>"
+    long = f"<p>{ONE} {TWO} {ONE} {TWO}</p>"
+    page = f"<article><h1>A title</h1>{long}{long}{part}{long}{share}{long}{long}</article><div id='comments'><p>{ONE}</p><p>{TWO}</p></div>"
+    line = f"{ONE} {TWO} {ONE} {TWO}"
+    assert main_text(page) == f"A title\n{line}\n{line}\n{text}\n{line}\n{line}\n{line}"
+
+
+def test_many_names_take_linear_time():
+    assert main_text("<div class='ad'>x, y." * 5000)
+    assert main_text(f"<article><p>{ONE * 3}</p></article>" + "<div class='ad'>x, y.</div>" * 20_000) == ONE * 3
+
+
+def test_an_advert_longer_than_the_article_goes():
+    assert main_text(f"<div class='ad'>{ONE}</div><article><h1>Short.</h1><p>Short.</p></article>") == "Short.\nShort."

@@ -2,8 +2,9 @@
 
 Every block of text has a root-to-leaf tag path. Text length and punctuation are
 aggregated per path, the two ratios are smoothed along the page and fused, and paths
-above a threshold are content. What a page marks as furniture (menus, forms, adverts and
-the like) takes no part.
+above a threshold are content. What a page marks as furniture (menus, forms, hidden parts
+and the like) takes no part. A class or id that names furniture is a hint only: the ratios
+of the whole page decide whether it is followed.
 """
 
 from __future__ import annotations
@@ -29,13 +30,14 @@ RAW = frozenset("script style textarea title noscript template iframe svg math o
 VOID = frozenset("br hr img input meta link area base col embed source track wbr param".split())
 FURNITURE = frozenset("head nav footer aside form fieldset button label dialog menu option".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu form".split())
-# Words of class names and ids that name furniture.
+# Words of class names and ids that name furniture, and names that only speak of it.
 HINT = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|banners?|sponsor(?:s|ed)?|promos?|promotions?|"
     r"cookies?|consent|gdpr|notices?|alerts?|popups?|modal|overlay|newsletter|subscribe|subscription|sidebars?|aside|"
     r"widgets?|related|recommend(?:ed|ations)|shar(?:e|ing)|social|menus?|nav|navbar|navigation|breadcrumbs?|toolbar|"
     r"pagination|pager|footer|comments?|commentlist|replies|reply|respond|discussion|disqus|login|signup|search|"
     r"skip|disclaimer|copyright)(?:$|[\s_-])", re.I)
+LAYOUT = re.compile(r"(?<![^\s_-])(?:no|non|not|with|without|has|have)[_-]\S*", re.I)
 TOP = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar)(?:$|[\s_-])", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 # A start tag ends open elements of these kinds, down to the nearest of the second set.
@@ -45,6 +47,7 @@ ENDS = {
     "th": ({"td", "th"}, {"tr", "table"})}
 PUNCTUATION = re.compile(r"[.,;:!?…、。，！？؟،]")
 HEADING = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+PHRASE = HEADING | frozenset("p li dt dd td th caption figcaption blockquote pre".split())
 WHOLE = frozenset(("html", "body", "article", "main"))
 # Standard deviation of the smoothing along the page in blocks; share of the highest path
 # score from which a path is content; share of link text from which it never is.
@@ -56,9 +59,12 @@ class Blocks:
 
     def __init__(self, html: str):
         self.parent, self.label, self.ids = [-1], [""], {}
-        self.path, self.text, self.linked = [], [], []
-        # Name, path, whether it is furniture, whether it lies in an article.
-        self.stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
+        self.path, self.text, self.linked, self.rank, self.hint = [], [], [], [], []
+        # Elements named like furniture: the one around each, and its rank.
+        self.hints: list[tuple[int, int]] = []
+        # Name, path, whether it is furniture, its rank (2 in an article, 1 in main, else 0),
+        # the innermost element named like furniture.
+        self.stack: list[tuple[str, int, bool, int, int]] = [("", 0, False, 0, -1)]
         self.parts: list[str] = []
         self.links = self.in_link = 0
         self._read(html)
@@ -98,6 +104,8 @@ class Blocks:
             self.path.append(self.stack[-1][1])
             self.text.append(text)
             self.linked.append(min(self.links, len(text)))
+            self.rank.append(self.stack[-1][3])
+            self.hint.append(self.stack[-1][4])
         self.parts, self.links = [], 0
 
     def _open(self, name: str, rest: str) -> None:
@@ -109,7 +117,8 @@ class Blocks:
             self.in_link += 1
         found = {m[1]: m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(rest)} if rest else {}
         out = self._furniture(name, found)
-        if name not in BLOCKS and not out:
+        named = not out and self._named(name, found)
+        if name not in BLOCKS and not out and not named:
             return
         self._flush()
         if name in BLOCKS:
@@ -119,8 +128,12 @@ class Blocks:
         if name == "hr" or rest.endswith("/"):
             return
         label = name + "." + ".".join(found.get("class", "").split())
-        _, path, furniture, inside = self.stack[-1]
-        self.stack.append((name, self._child(path, label), out or furniture, inside or name in ("article", "main")))
+        _, path, furniture, rank, hint = self.stack[-1]
+        if named:
+            self.hints.append((hint, rank))
+            hint = len(self.hints) - 1
+        rank = max(rank, {"article": 2, "main": 1}.get(name, 0))
+        self.stack.append((name, self._child(path, label), out or furniture, rank, hint))
 
     def _child(self, parent: int, label: str) -> int:
         key = (parent, label)
@@ -140,10 +153,17 @@ class Blocks:
             return False
         if "hidden" in found or found.get("aria-hidden") == "true" or HIDDEN.search(found.get("style", "")):
             return True
-        if name in WHOLE:
+        return name not in WHOLE and found.get("role") in ROLES
+
+    def _named(self, name: str, found: dict[str, str]) -> bool:
+        """Whether class or id name furniture; not asked of headings and of phrases in an article."""
+        above, _, _, inside, _ = self.stack[-1]
+        if not found or name in WHOLE or name in HEADING or above in HEADING:
+            return False
+        if inside and name not in BLOCKS and above in PHRASE:
             return False
-        named = f"{found.get('class', '')} {found.get('id', '')}"
-        return bool(found.get("role") in ROLES or HINT.search(named) or (not inside and TOP.search(named)))
+        names = LAYOUT.sub(" ", f"{found.get('class', '')} {found.get('id', '')}")
+        return bool(HINT.search(names) or (not inside and TOP.search(names)))
 
     def _pop(self, kinds: set[str], limit: set[str]) -> None:
         for depth in range(len(self.stack) - 1, 0, -1):
@@ -171,25 +191,69 @@ def _smoothed(values: np.ndarray) -> np.ndarray:
     return (np.convolve(values, kernel, "same") / weight)[:len(values)] if len(values) >= 5 else values
 
 
+class Ratios:
+    """Score and share of link text of every path, and the paths that are content."""
+
+    def __init__(self, page: Blocks):
+        self.path = path = np.array(page.path)
+        self.length = np.array([len(t) for t in page.text], float)
+        self.linked = np.array(page.linked, float)
+        marks = np.array([len(PUNCTUATION.findall(t)) for t in page.text], float)
+        n = len(page.label)
+        count = np.maximum(np.bincount(path, minlength=n), 1)
+        by_text = np.bincount(path, self.length, n) / count
+        by_marks = np.bincount(path, marks, n) / count
+        self.links = links = np.bincount(path, self.linked, n) / np.maximum(np.bincount(path, self.length, n), 1)
+        # Smooth both ratios along the page, fuse them, and take their mean per path.
+        fused = _smoothed(by_text[path]) * (1 + _smoothed(by_marks[path])) * (1 - links[path])
+        own = by_text[path] * (1 + by_marks[path]) * (1 - links[path])
+        self.score = np.bincount(path, np.sqrt(fused * own), n) / count
+        self.good = (self.score >= THRESHOLD * self.score.max()) & (links < LINKED)
+
+
+def _without_furniture(page: Blocks) -> Blocks:
+    """The page without those elements named like furniture whose name the ratios do not refute.
+
+    Inside an article or main, the name counts where the text is mostly links or no path in
+    the element is content. Elsewhere it counts unless the element holds most of the score
+    of the page. Beside text of a higher rank (article, main, neither) it always counts.
+    """
+    ratios = Ratios(page)
+    score, good = ratios.score[ratios.path], ratios.good[ratios.path]
+    text = ratios.links[ratios.path] < LINKED
+    # Per element, the last row for none: length, linked length, score, blocks of content,
+    # and blocks that are no links by rank. First of the blocks right in it, then of all within.
+    rank = np.array(page.rank)
+    right = np.zeros((len(page.hints) + 1, 7))
+    np.add.at(right, page.hint, np.column_stack(
+        [ratios.length, ratios.linked, score, good, *[text & (rank == k) for k in range(3)]]).astype(float))
+    within, beside = right.copy(), np.zeros((len(right), 3))
+    for number in range(len(page.hints) - 1, -1, -1):
+        within[page.hints[number][0]] += within[number]
+    dropped: set[int] = set()
+    for number, (above, level) in enumerate(page.hints):
+        beside[number] = beside[above] + right[above, 4:]
+        length, linked, held, content = within[number, :4]
+        refuted = content > 0 and linked < LINKED * length if level else held > 0.5 * score.sum()
+        if above in dropped or beside[number, level + 1:].any() or not refuted:
+            dropped.add(number)
+    left = [k for k, h in enumerate(page.hint) if h not in dropped]
+    for name in ("path", "text", "linked", "rank", "hint"):
+        values = getattr(page, name)
+        setattr(page, name, [values[k] for k in left])
+    return page
+
+
 def main_text(html: str | None) -> str:
     """The content blocks of one page, joined by line breaks."""
     page = Blocks(html or "")
+    if page.text and page.hints:
+        page = _without_furniture(page)
     if not page.text:
         return ""
-    path = np.array(page.path)
-    length = np.array([len(t) for t in page.text], float)
-    marks = np.array([len(PUNCTUATION.findall(t)) for t in page.text], float)
-    linked = np.array(page.linked, float)
+    ratios = Ratios(page)
+    path, length, links, good = ratios.path, ratios.length, ratios.links, ratios.good
     n = len(page.label)
-    count = np.maximum(np.bincount(path, minlength=n), 1)
-    by_text = np.bincount(path, length, n) / count
-    by_marks = np.bincount(path, marks, n) / count
-    links = np.bincount(path, linked, n) / np.maximum(np.bincount(path, length, n), 1)
-    # Smooth both ratios along the page, fuse them, and take their mean per path.
-    fused = _smoothed(by_text[path]) * (1 + _smoothed(by_marks[path])) * (1 - links[path])
-    own = by_text[path] * (1 + by_marks[path]) * (1 - links[path])
-    score = np.bincount(path, np.sqrt(fused * own), n) / count
-    good = (score >= THRESHOLD * score.max()) & (links < LINKED)
     if not good[path].any():
         return "\n".join(page.text)
     # The heaviest path's element holds the article: short blocks in it belong to it too.
