@@ -87,3 +87,28 @@ def test_many_names_take_linear_time():
 
 def test_an_advert_longer_than_the_article_goes():
     assert main_text(f"<div class='ad'>{ONE}</div><article><h1>Short.</h1><p>Short.</p></article>") == "Short.\nShort."
+
+
+LONG = " ".join([ONE] * 5)
+
+
+@pytest.mark.parametrize("page", [
+    "<article><header><h1>Title</h1></header><div class='body'>{five}</div></article>",
+    "<body><div class='x'><div class='head'><h1>Title</h1></div><div class='body'>{two}</div><div class='more'>{three}</div></div></body>",
+    "<main><div class='t'><h1>Title</h1></div><article>{five}</article></main>",
+    "<body><h1>Title</h1>{five}</body>"])
+def test_short_blocks_beside_the_heaviest_element_stay(page):
+    p = f"<p>{LONG}</p>"
+    page = page.format(five=p * 5, two=p * 2, three=p * 3)
+    assert main_text(page) == "\n".join(["Title"] + [LONG] * 5)
+
+
+def test_short_lists_tables_and_headings_stay():
+    p = f"<p>{LONG}</p>"
+    parts = "<ul><li>one<li>two</ul><table><tr><td>three<td>four</table>"
+    want = "\n".join([LONG, LONG, "one", "two", "three", "four", LONG])
+    assert main_text(f"<body><nav>x</nav>{p}{p}{parts}{p}<ul class='links'><li><a href='/'>Link</a></ul></body>") == want
+    assert main_text(f"<article><div class='text'>{p}{p}</div><div class='facts'>{parts}</div><div class='text'>{p}</div></article>") == want
+    sections = f"<section class='a'><h2>A</h2>{p}</section><section class='b'><h2>B</h2>{p}</section>"
+    assert main_text(f"<body><div>{sections}</div></body>") == f"A\n{LONG}\nB\n{LONG}"
+    assert main_text(f"{LONG}<div class='facts'>{parts}</div>") == "\n".join([LONG, "one", "two", "three", "four"])

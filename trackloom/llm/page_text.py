@@ -244,6 +244,26 @@ def _without_furniture(page: Blocks) -> Blocks:
     return page
 
 
+def _home(page: Blocks, nodes: list[int]) -> int:
+    """The path of the element that holds the content, given the good paths."""
+    # A path has a higher number than those around it.
+    home = nodes[0]
+    for node in nodes[1:]:
+        while home != node:
+            if home > node:
+                home = page.parent[home]
+            else:
+                node = page.parent[node]
+    if len(nodes) == 1:
+        home = max(page.parent[home], 0)
+    node = home
+    while node > 0:
+        if page.label[node].split(".")[0] in ("article", "main"):
+            home = node
+        node = page.parent[node]
+    return home
+
+
 def main_text(html: str | None) -> str:
     """The content blocks of one page, joined by line breaks."""
     page = Blocks(html or "")
@@ -256,23 +276,16 @@ def main_text(html: str | None) -> str:
     n = len(page.label)
     if not good[path].any():
         return "\n".join(page.text)
-    # The heaviest path's element holds the article: short blocks in it belong to it too.
-    weight = np.where(good, np.bincount(path, length, n), -1)
-    home = page.parent[int(weight.argmax())]
-    whole = page.label[home].split(".")[0] in ("", "html", "body")
+    # The lowest element around all good paths, or the article or main around it, holds the
+    # content: short blocks in it belong to it too.
+    home = _home(page, sorted(set(path[good[path]].tolist())))
+    inside = np.zeros(n, bool)
+    inside[home] = True
+    for node in range(home + 1, n):
+        inside[node] = inside[page.parent[node]]
 
     def belongs(node: int) -> bool:
-        if good[node]:
-            return True
-        if links[node] >= LINKED:
-            return False
-        if whole:
-            return page.parent[node] == home and page.label[node].split(".")[0] in HEADING
-        while node > 0:
-            if node == home:
-                return True
-            node = page.parent[node]
-        return False
+        return bool(good[node] or (inside[node] and links[node] < LINKED))
 
     kept = {node for node in set(page.path) if belongs(node)}
     return "\n".join(t for node, t in zip(page.path, page.text) if node in kept)
