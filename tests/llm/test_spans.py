@@ -86,6 +86,25 @@ def test_messages_on_a_tree_are_exact():
         pii.ROUNDS = rounds
 
 
+def test_one_clear_mention_reaches_all_others():
+    import numpy as np
+
+    unary = np.zeros((pii.FEATURES, 5))
+    unary[1, 1] = 4.0  # an @ speaks for an email
+    model = pii.SkipChain(unary, np.zeros((5, 5)), np.eye(5) * 6)
+    for text in ("bob77@x" + " and then bob77" * 40, "bob77 and then " * 40 + "bob77@x"):
+        assert (model.marginals(pii.Graph(["5 other", text]))[1:, 1] > 0.5).all()
+    # Evidence passes along neighbours as far as the potentials carry it.
+    far = pii.SkipChain(unary, np.eye(5) * 12, np.zeros((5, 5))).marginals(
+        pii.Graph(["bob77@x " + " ".join(f"{k}z" for k in range(30))]))
+    assert (far[:, 1] > 0.5).all()
+
+
+def test_edges_grow_with_the_text_only():
+    graph = pii.Graph(["a1 b " * 3000])
+    assert len(graph.text) == len(graph.skip) == 3000 and graph.hubs == 1
+
+
 def plain_secrets(text):
     found = [("assign", m.start(), m.end()) for m in re.finditer(
         r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",

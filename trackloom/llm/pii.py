@@ -1,9 +1,10 @@
 """Personal data: patterns, and a skip-chain conditional random field that adds to them.
 
 Tokens that hold a digit or ``@`` are the nodes of a graph; all others are outside of any
-entity. Neighbouring nodes share a potential (the chain), and so do distant nodes of one
-document that are equal or alike (the skip edges), so that one clear mention decides the
-others. Marginals come from loopy message passing over the whole graph of a batch.
+entity. Neighbouring nodes share a potential (the chain). All nodes of one document that are
+equal or alike in some form share a hub, to which each has a skip edge, so that a clear
+mention is two edges away from every other one. Marginals come from loopy message passing
+over the whole graph of a batch, until the messages no longer change.
 """
 
 from __future__ import annotations
@@ -28,9 +29,12 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
-# Bounds of the training sample, message rounds, and the belief that adds a span.
+# Bounds of the training sample, and the belief that adds a span.
 TRAINING_ROWS, TRAINING_CHARS, DRAWN = 2000, 4000, 60
-ROUNDS, BELIEF = 8, 0.9
+BELIEF = 0.9
+# Messages of a document stop when none changes by more than this. A graph with loops need
+# not come to rest: the rounds after which it is left as it is.
+SETTLED, ROUNDS = 1e-7, 2000
 SPAN = "array<struct<kind:string,start:long,end:long,base:boolean>>"
 EDGE = ".,;:!?\"'<>[]{}"
 
@@ -95,19 +99,19 @@ FEATURES = len(_features("1", "", ""))
 
 
 class Graph:
-    """Nodes and edges of some documents."""
+    """Nodes and edges of some documents; a skip edge joins a node and a hub."""
 
     def __init__(self, texts: list[str]):
         self.text, self.start, self.end, self.x = [], [], [], []
-        self.chain, self.skip = [], []
+        self.chain, self.skip, self.hubs = [], [], 0
         for number, text in enumerate(texts):
             self._add(number, text)
         self.x = np.array(self.x, float).reshape(-1, FEATURES)
 
     def _add(self, number: int, text: str) -> None:
         tokens = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)]
-        last: dict[str, int] = {}
-        previous = -2
+        alike: dict[str, list[int]] = {}
+        previous, chained = -2, len(self.chain)
         for k, (start, end) in enumerate(tokens):
             token = text[start:end]
             if "@" not in token and not re.search("[0-9]", token):
@@ -118,45 +122,72 @@ class Graph:
             self.start.append(start)
             self.end.append(end)
             self.x.append(_features(token, *near))
-            joined = previous == k - 1
-            if joined:
+            if previous == k - 1:
                 self.chain.append((node - 1, node))
             previous = k
             core = re.sub(r"[\W_]", "", token.lower())
             digits = re.sub("[^0-9]", "", token)
             for form in {core, token.lower().split("@")[0] if "@" in token else "", digits[-7:] if len(digits) >= 7 else ""}:
                 if form:
-                    if form in last and not (joined and last[form] == node - 1):
-                        self.skip.append((last[form], node))
-                    last[form] = node
+                    alike.setdefault(form, []).append(node)
+        # Forms of the same nodes share a hub; two neighbours have their chain edge.
+        joined = set(self.chain[chained:])
+        for nodes in dict.fromkeys(map(tuple, alike.values())):
+            if len(nodes) > 2 or (len(nodes) == 2 and nodes not in joined):
+                self.skip += [(node, self.hubs) for node in nodes]
+                self.hubs += 1
+
+
+def _sums(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    return np.stack([np.bincount(index, column, n) for column in values.T], 1)
 
 
 class SkipChain:
-    """Weights of features (unary), of neighbours (chain) and of alike tokens (skip)."""
+    """Weights of features (unary), of neighbours (chain) and of a token and its hub (skip)."""
 
     def __init__(self, unary: np.ndarray, chain: np.ndarray, skip: np.ndarray):
         self.unary, self.chain, self.skip = unary, chain, skip
 
     def marginals(self, graph: Graph) -> np.ndarray:
-        """Beliefs of every label at every node after ROUNDS rounds of sum-product messages."""
-        local = graph.x @ self.unary
-        pairs = np.array(graph.chain + graph.skip, int).reshape(-1, 2)
-        table = np.concatenate([np.repeat(self.chain[None], len(graph.chain), 0),
-                                np.repeat(self.skip[None], len(graph.skip), 0)])
+        """Beliefs of every label at every token after the sum-product messages have settled."""
+        n = len(graph.text)
+        local = np.zeros((n + graph.hubs, len(LABELS)))
+        local[:n] = graph.x @ self.unary
+        pairs = np.array(graph.chain + [(node, n + hub) for node, hub in graph.skip], int).reshape(-1, 2)
         # Both directions of every edge; message e goes from source[e] to target[e].
         source = np.concatenate([pairs[:, 0], pairs[:, 1]])
         target = np.concatenate([pairs[:, 1], pairs[:, 0]])
-        table = np.concatenate([table, table.transpose(0, 2, 1)])
         back = np.roll(np.arange(len(source)), len(pairs))
-        sent = np.zeros((len(source), len(LABELS)))
+        kind = np.repeat([0, 1, 2, 3], [len(graph.chain), len(graph.skip)] * 2)
+        tables = [self.chain, self.skip, self.chain.T, self.skip.T]
+        tables = np.array([np.exp(t - t.max()) for t in tables])
+        document = np.array(graph.text, int)[np.concatenate([pairs[:, 0]] * 2)]
+        sent = np.full((len(source), len(LABELS)), -np.log(len(LABELS)))
+        # Edges of documents that have not settled, with their ends numbered anew.
+        live, here = np.arange(len(source)), None
         for _ in range(ROUNDS):
-            belief = local.copy()
-            np.add.at(belief, target, sent)
-            fresh = np.logaddexp.reduce((belief[source] - sent[back])[:, :, None] + table, axis=1)
-            fresh -= np.logaddexp.reduce(fresh, axis=1, keepdims=True)
-            sent = 0.5 * sent + 0.5 * fresh
-        belief = local.copy()
-        np.add.at(belief, target, sent)
+            if here is None:
+                if not len(live):
+                    break
+                nodes, ends = np.unique(np.concatenate([source[live], target[live]]), return_inverse=True)
+                here, there = ends[:len(live)], ends[len(live):]
+                opposite = np.searchsorted(live, back[live])
+                bounds = np.searchsorted(kind[live], range(5))
+                now, start = sent[live], local[nodes]
+            given = (start + _sums(there, now, len(nodes)))[here] - now[opposite]
+            given = np.exp(given - given.max(1, keepdims=True))
+            fresh = np.concatenate([given[a:b] @ t for t, a, b in zip(tables, bounds, bounds[1:])])
+            fresh = 0.5 * now + 0.5 * np.log(fresh / fresh.sum(1, keepdims=True))
+            change = np.abs(fresh - now).max(1)
+            now = fresh
+            moving = np.unique(document[live[change > SETTLED]])
+            stay = np.isin(document[live], moving)
+            if stay.sum() <= 0.7 * len(live):
+                sent[live] = now
+                live, here = live[stay], None
+        else:
+            sent[live] = now
+        belief = (local + _sums(target, sent, len(local)))[:n]
         return np.exp(belief - np.logaddexp.reduce(belief, axis=1, keepdims=True))
 
     def spans(self, texts: list[str]) -> list[list[tuple[str, int, int, bool]]]:
@@ -213,7 +244,8 @@ def _drawn() -> list[str]:
 def fit(texts: list[str], rounds: int = 300) -> SkipChain:
     """Fit by pseudo-likelihood: each label given its features and its neighbours' labels.
 
-    The labels are those of the base patterns.
+    The labels are those of the base patterns. A hub counts, for each of its nodes, as the
+    mean label of its other nodes.
     """
     graph = Graph(texts + _drawn())
     base = [base_spans(text) for text in texts + _drawn()]
@@ -230,15 +262,18 @@ def fit(texts: list[str], rounds: int = 300) -> SkipChain:
             np.add.at(out, pair[:, 1 - way], hot[pair[:, way]])
         return out
 
-    inputs = [graph.x, seen(graph.chain, 0), seen(graph.chain, 1), seen(graph.skip, 0), seen(graph.skip, 1)]
+    node, hub = np.array(graph.skip, int).reshape(-1, 2).T
+    others = _sums(hub, hot[node], graph.hubs)[hub] - hot[node]
+    others /= np.maximum(others.sum(1, keepdims=True), 1)
+    inputs = [graph.x, seen(graph.chain, 0), seen(graph.chain, 1), _sums(node, others, n)]
     unary, chain, skip = np.zeros((FEATURES, size)), np.zeros((size, size)), np.zeros((size, size))
     rate = 2.0
     for _ in range(rounds):
-        score = inputs[0] @ unary + inputs[1] @ chain + inputs[2] @ chain.T + inputs[3] @ skip + inputs[4] @ skip.T
+        score = inputs[0] @ unary + inputs[1] @ chain + inputs[2] @ chain.T + inputs[3] @ skip.T
         off = hot - np.exp(score - np.logaddexp.reduce(score, axis=1, keepdims=True))
         unary += rate * (inputs[0].T @ off / n - 1e-4 * unary)
         chain += rate * ((inputs[1].T @ off + off.T @ inputs[2]) / n - 1e-4 * chain)
-        skip += rate * ((inputs[3].T @ off + off.T @ inputs[4]) / n - 1e-4 * skip)
+        skip += rate * (off.T @ inputs[3] / n - 1e-4 * skip)
     return SkipChain(unary, chain, skip)
 
 
