@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from trackloom.llm import phrases
 from trackloom.llm.phrases import remove_repeats
@@ -48,6 +49,23 @@ def test_against_brute_force(spark, monkeypatch, block):
     check(frame, 12)
 
 
+@pytest.mark.parametrize("shared", ["NULL", "7L"])
+def test_rows_of_one_id_are_dealt_to_many_blocks(spark, monkeypatch, shared):
+    monkeypatch.setattr(phrases, "BLOCK_BYTES", 1 << 12)
+    text = "concat_ws(' ', transform(sequence(0, 99), k -> hash(id % 300, k, id = 299)))"
+    frame = spark.range(400).selectExpr(f"CASE WHEN id < 300 THEN {shared} ELSE id END AS doc_id", f"{text} AS text")
+    check(frame.cache(), 50)
+    out = remove_repeats(frame)
+    parts = out.filter(f"doc_id <=> {shared}").select(F.spark_partition_id()).distinct()
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(coalesce)
+    spark.conf.set(coalesce, "false")
+    try:
+        assert parts.count() > 1
+    finally:
+        spark.conf.set(coalesce, before)
+
+
 def test_cases(spark):
     check(rows.documents(spark), 50)
     assert remove_repeats(rows.empty(spark)).collect() == []

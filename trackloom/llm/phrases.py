@@ -203,8 +203,9 @@ def remove_repeats(
     total = docs.select(F.sum(F.octet_length(text_column))).first()[0] or 0
     blocks = max(1, total // BLOCK_BYTES)
     node = F.col(id_column).cast("long")
-    # All three passes read this one shuffle.
-    dealt = docs.select(F.pmod(F.xxhash64(node), F.lit(blocks)).alias("block"), node.alias("node"),
+    # All three passes read this one shuffle. The text is part of the key, so rows of one id,
+    # or of none, spread as well.
+    dealt = docs.select(F.pmod(F.xxhash64(node, F.col(text_column)), F.lit(blocks)).alias("block"), node.alias("node"),
                         F.col(text_column).alias("text")).repartition("block")
     phrases = dealt.groupBy("block").applyInArrow(
         _phrases(window), "phrase string, block long, low long, high long")
