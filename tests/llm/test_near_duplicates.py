@@ -1,7 +1,7 @@
 import random
 
 from trackloom.llm.components import connected_components
-from trackloom.llm.minhash_join import LONG, near_duplicates
+from trackloom.llm.minhash_join import LONG, _tile_pairs, near_duplicates
 from tests.llm import rows
 
 
@@ -70,3 +70,16 @@ def test_components(spark):
     got = {r.node: r.component for r in connected_components(frame).collect()}
     assert got == {n: label[n] for a, b in links if a != b for n in (a, b)}
     assert connected_components(frame.limit(0)).collect() == []
+
+
+def test_lost_check_sums_do_not_lose_a_pair():
+    import numpy as np
+    import pyarrow as pa
+
+    # 1000 shingles each, 890 common: above 80 %. Ten of the common ones lost their check sums.
+    sets = [np.arange(990), np.concatenate([np.arange(880), np.arange(2000, 2110)])]
+    table = pa.table({
+        "key": [1, 1], "i": [0, 0], "j": [0, 0], "side": [0, 0], "node": [5, 6], "component": [5, 6],
+        "n_shingles": [1000, 1000], "sketch": [b"\1" * 256] * 2,
+        "members": [s.astype(np.uint32).tobytes() for s in sets], "keys": [[1], [1]]})
+    assert _tile_pairs(80)(table).to_pylist() == [{"a": 6, "b": 5}]

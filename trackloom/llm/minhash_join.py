@@ -175,9 +175,11 @@ def _tile_pairs(percent: int):
                     own, here = shared[row - begin], key[begin]
                     hits = np.array([h for h in hits if min(own & shared[h - begin]) == here], np.int64)
                 if members and len(hits):
-                    # Equal check sums can add a little, so a margin goes to the full check.
+                    # Shingles of one check sum count once, so as many as were lost may be common
+                    # too; equal check sums can add a little. A margin goes to the full check.
                     mine = sets[row - begin]
-                    common = np.array([len(mine & sets[h - begin]) + 2 for h in hits])
+                    margin = 2 + max(0, int(size[row]) - len(mine))
+                    common = np.array([len(mine & sets[h - begin]) + margin for h in hits])
                     hits = hits[100 * common >= percent * (size[row] + size[hits] - common)]
                 if len(hits):
                     mine = np.full(len(hits), node[row])
