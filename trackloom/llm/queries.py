@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackloom.llm.conversation_repair import damaged, repair_conversations
 from trackloom.llm.embedding_links import link_vectors
 from trackloom.llm.language import held_out, identify_language
 from trackloom.llm.minhash_join import near_duplicates
+from trackloom.llm.oracles import REPAIR_SQL
 from trackloom.llm.order_minhash import edited_fingerprints, fingerprint, likeness
 from trackloom.llm.packing import pack_documents
 from trackloom.llm.page_text import extract_pages
@@ -86,6 +88,12 @@ def op10_secret_markov(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op11_lightest_repair(spark: SparkSession, folder: str) -> DataFrame:
+    repaired = repair_conversations(damaged(_table(spark, folder, "conversations")))
+    return repaired.withColumnRenamed("conv", "conv_id").select(
+        "conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
 QUERIES = {
     "op1_tag_path_text": op1_tag_path_text,
     "op2_cross_polytope": op2_cross_polytope,
@@ -97,8 +105,10 @@ QUERIES = {
     "op8_pii_skip_chain": op8_pii_skip_chain,
     "op9_language_codes": op9_language_codes,
     "op10_secret_markov": op10_secret_markov,
+    "op11_lightest_repair": op11_lightest_repair,
 }
 
 SQL: dict[str, str] = {
     "op7_pareto_mix": PARETO_SQL,
+    "op11_lightest_repair": REPAIR_SQL,
 }
