@@ -9,14 +9,16 @@ from trackloom.llm.conversation_repair import damaged, repair_conversations
 from trackloom.llm.embedding_links import link_vectors
 from trackloom.llm.language import held_out, identify_language
 from trackloom.llm.minhash_join import near_duplicates
-from trackloom.llm.oracles import REPAIR_SQL
+from trackloom.llm.oracles import QUALITY_SQL, REPAIR_SQL, VARIANT_SQL
 from trackloom.llm.order_minhash import edited_fingerprints, fingerprint, likeness
 from trackloom.llm.packing import pack_documents
 from trackloom.llm.page_text import extract_pages
 from trackloom.llm.pareto import PARETO_SQL, pareto_mix
 from trackloom.llm.phrases import remove_repeats
 from trackloom.llm.pii import find_personal_data
+from trackloom.llm.quality_ratio import filter_quality
 from trackloom.llm.secret_scan import count_kind, find_secrets, joined
+from trackloom.llm.spelling import spelling_variants
 from trackloom.session import configure
 
 
@@ -94,6 +96,16 @@ def op11_lightest_repair(spark: SparkSession, folder: str) -> DataFrame:
         "conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
 
 
+def op12_ngram_ratio(spark: SparkSession, folder: str) -> DataFrame:
+    judged = filter_quality(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                         "base_failed", "kept")
+
+
+def op13_bit_sliced_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_variants(_table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_tag_path_text": op1_tag_path_text,
     "op2_cross_polytope": op2_cross_polytope,
@@ -106,9 +118,13 @@ QUERIES = {
     "op9_language_codes": op9_language_codes,
     "op10_secret_markov": op10_secret_markov,
     "op11_lightest_repair": op11_lightest_repair,
+    "op12_ngram_ratio": op12_ngram_ratio,
+    "op13_bit_sliced_variants": op13_bit_sliced_variants,
 }
 
 SQL: dict[str, str] = {
     "op7_pareto_mix": PARETO_SQL,
     "op11_lightest_repair": REPAIR_SQL,
+    "op12_ngram_ratio": QUALITY_SQL,
+    "op13_bit_sliced_variants": VARIANT_SQL,
 }
