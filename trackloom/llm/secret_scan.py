@@ -87,7 +87,7 @@ def fit(texts: list[str]) -> SecretModel:
         for m in re.finditer(r"[A-Za-z]{3,}[A-Za-z0-9+/_=-]*", text):
             if not any(start < m.end() and m.start() < end for _, start, end in spans):
                 ordinary.append(m[0])
-    words = ordinary[:4000]
+    words = list(ordinary)
     for k in range(0, len(words) - 2, 2):
         number = str(generator.integers(0, 1000))
         ordinary += ["_".join(words[k:k + 3]), words[k] + words[k + 1].capitalize() + number,
@@ -108,8 +108,8 @@ def _scanner(model: SecretModel):
         ratios: dict[str, bool] = {}
         for batch in batches:
             rows = []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
-                text = text or ""
+            for scalar in batch.column(batch.num_columns - 1):
+                text = scalar.as_py() or ""
                 base = base_spans(text)
                 found = [dict(kind=k, start=s, end=e, base=True) for k, s, e in base]
                 for m in CANDIDATE.finditer(text):
