@@ -1,5 +1,7 @@
 """The interval operators against their definitions on random and hand-made tracks."""
 
+import itertools
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,3 +172,23 @@ def test_long_intervals_stay_few_rows(spark):
     one = spark.createDataFrame([("chr1", 2, 249250621, 1.0)], SCHEMA)
     nodes = spread(one, top_level(one), cover=(F.col("chrstart"), F.col("chrend")))
     assert nodes.count() < 100
+
+
+@pytest.mark.parametrize("vd, vm", [("sum", "total"), ("avg", "total"), ("diff", "each"), ("quotient", "each"), ("right", "total")])
+def test_intersect_of_four_tracks(spark, vd, vm):
+    """Every tuple once, also where several intervals of a tuple start together."""
+    given = [CASES_A + brute.random_track(3, 14, 60, 40, ["c1"]), CASES_B + brute.random_track(4, 14, 60, 40, ["c1"]),
+             CASES_A[:6] + brute.random_track(5, 14, 60, 40, ["c1"]), brute.random_track(6, 14, 60, 40, ["c1", "chrS"])]
+    expected = []
+    for found in itertools.product(*given):
+        low, high = max(x[1] for x in found), min(x[2] for x in found)
+        if len({x[0] for x in found}) == 1 and low <= high:
+            own = [brute.part(x, high - low + 1, vm) for x in found]
+            value = sum(own) / 4 if vd == "avg" else own[0]
+            for v in own[1:] if vd != "avg" else ():
+                value = None if value is None else brute.PAIRS[vd](value, v)
+            expected.append((found[0][0], low, high, value, *(x[1] for x in found)))
+    frames = [spark.createDataFrame([(*r, r[1]) for r in rows], SCHEMA + ", own bigint") for rows in given]
+    got = overlap.intersect_many(frames, vd, vm, metadata=True)
+    check(got.select(*iv.KEY, "value", *[f"t{k}_own" for k in range(1, 5)]), expected)
+    assert len(expected) > 100

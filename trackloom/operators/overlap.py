@@ -136,15 +136,61 @@ def intersect_join(
     return pairs.select(*out)
 
 
-def intersect_many(tracks: list[DataFrame], vd: str | None = None) -> DataFrame:
-    """Intersection of two or more tracks; every track contributes its own value.
-
-    Derivations of two operands only (diff, quotient) are folded left to right.
+def intersect_many(
+    tracks: list[DataFrame],
+    vd: str | None = None,
+    vm: str = values.EACH,
+    metadata: bool = False,
+) -> DataFrame:
+    """The common part of every tuple of one interval of each track that all overlap.
+
+    A tuple is found at the start of the interval that starts last (of several, the one
+    of the first track): that position lies in all others. Positions that some track
+    leaves uncovered go first, by joins with the disjoint stretches of a track, at most
+    one to a position; what is left has a partner in every track, so no step holds more
+    rows than the result. Under ``total`` each value is scaled by its own interval.
+    Derivations of two operands (diff, quotient) are folded left to right, ``left`` and
+    ``right`` are the first and the last track's. ``metadata`` keeps the remaining columns
+    of the n-th track under ``tn_``.
     """
-    if vd == "avg":
-        total = reduce(lambda a, b: intersect_join(a, b, "sum"), tracks)
-        return total.withColumn(VALUE, F.col(VALUE) / len(tracks))
-    return reduce(lambda a, b: intersect_join(a, b, vd), tracks)
+    values.check(vd, vm, values.PAIRWISE)
+    if len(tracks) < 2:
+        raise ValueError("an intersection has two tracks or more")
+    if not metadata:
+        tracks = [t.select(*KEY, *([VALUE] if vd else [])) for t in tracks]
+    names = [f"t{n}_" for n in range(1, len(tracks) + 1)]
+    sides = [_prefixed(t, name) for t, name in zip(tracks, names)]
+    tops = [top_level(t) for t in tracks]
+    covers = [spread(side, top, cover=(F.col(n + BEGIN), F.col(n + END))) for side, top, n in zip(sides, tops, names)]
+    stretches = [coalesce_track(t.select(*KEY), merge_adjacent=True) for t in tracks]
+    at = F.col("_at")
+
+    def starting(last: int) -> DataFrame:
+        found = sides[last].withColumn("_at", F.col(names[last] + BEGIN))
+        others = [k for k in range(len(tracks)) if k != last]
+        for k in others[1:]:
+            top = top_level(stretches[k])
+            covered = spread(stretches[k], top, cover=(F.col(BEGIN), F.col(END))).select(NODE, CHR)
+            found = node_join(spread(found, top, point=at), covered).drop(NODE)
+        for k in others:
+            found = node_join(spread(found, tops[k], point=at), covers[k]).drop(NODE)
+            if k < last:
+                found = found.filter(F.col(names[k] + BEGIN) < at)
+        return found
+
+    met = reduce(DataFrame.unionByName, map(starting, range(len(tracks))))
+    begin, end = at, F.least(*[F.col(n + END) for n in names])
+    out = [F.col(CHR), begin.alias(BEGIN), end.alias(END)]
+    if vd is not None:
+        own = [F.col(n + VALUE) for n in names]
+        if vm == values.TOTAL:
+            own = [v * (end - begin + 1) / length(shared(n)) for v, n in zip(own, names)]
+        value = reduce(values.PAIRWISE["sum" if vd == "avg" else vd], own)
+        out.append((value / len(tracks) if vd == "avg" else value).alias(VALUE))
+    if metadata:
+        out += [F.col(c) for name, side in zip(names, sides) for c in side.columns
+                if c not in (CHR, name + BEGIN, name + END)]
+    return met.select(*out)
 
 
 def uncovered(b: DataFrame, around: DataFrame) -> DataFrame:

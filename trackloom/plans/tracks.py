@@ -190,6 +190,30 @@ QUERIES["track_intersect_three"] = query(
     "AND ab.chrstart <= c.chrend AND ab.chrend >= c.chrstart",
 )
 
+# Rows of both tracks as structs beside what they have in common.
+_AB = ("ab AS MATERIALIZED (SELECT a.chr, greatest(a.chrstart, b.chrstart) AS s, least(a.chrend, b.chrend) AS e, "
+       f"a, b FROM a JOIN b ON {OVERLAP})")
+_WITH_ABC = f"{WITH_AB}, c AS ({_SQL_C}), {_AB}"
+_THREE = "FROM ab JOIN c ON ab.chr = c.chr AND ab.s <= c.chrend AND ab.e >= c.chrstart"
+_THREE_PLACE = "ab.chr, greatest(ab.s, c.chrstart) AS chrstart, least(ab.e, c.chrend) AS chrend"
+_THREE_LENGTH = "(least(ab.e, c.chrend) - greatest(ab.s, c.chrstart) + 1)"
+QUERIES["track_intersect_three_total"] = query(
+    lambda t: overlap.intersect_many([a_track(t), b_track(t), _c_track(t)], "sum", "total").withColumn(
+        "value", single("value")),
+    f"{_WITH_ABC} SELECT {_THREE_PLACE}, " + single_sql(" + ".join(
+        f"{x}.value * {_THREE_LENGTH} / ({x}.chrend - {x}.chrstart + 1)" for x in "abc")) + f" AS value {_THREE}",
+)
+QUERIES["track_intersect_three_metadata"] = query(
+    lambda t: overlap.intersect_many([
+        line_track(t, "O", metadata=("l_returnflag", "l_partkey")), line_track(t, "F", metadata=("l_returnflag",)),
+        _c_track(t).withColumn("band", F.floor(F.col("value") / 50))], "max", metadata=True,
+    ).drop("t1_value", "t2_value", "t3_value"),
+    f"WITH a AS ({line_track_sql('O', more=', l_returnflag, l_partkey')}), "
+    f"b AS ({line_track_sql('F', more=', l_returnflag')}), c AS ({_SQL_C}), {_AB} SELECT {_THREE_PLACE}, "
+    "greatest(a.value, b.value, c.value) AS value, a.l_returnflag AS t1_l_returnflag, a.l_partkey AS t1_l_partkey, "
+    f"b.l_returnflag AS t2_l_returnflag, CAST(floor(c.value / 50) AS BIGINT) AS t3_band {_THREE}",
+)
+
 _GAPS = (
     "r AS (SELECT DISTINCT chr, chrstart, chrend FROM a), "
     "k AS (SELECT r.chr, r.chrstart, r.chrend, m.chrstart AS ms, m.chrend AS me FROM r LEFT JOIN m "
