@@ -90,3 +90,53 @@ def salted_join(
     spread = big.withColumn("_salt", salt)
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return spread.join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], share: float = 0.01, tracked: int = 4096) -> DataFrame:
+    """Keys that hold more than ``share`` of the rows: (_hot, _splits), hash and number of parts.
+
+    A frequent-items sketch per task is merged to one; it keeps every key above
+    rows / ``tracked``, so none above ``share`` is missed. The result has 1 / ``share``
+    rows at most. A part is as large as the smallest hot key; NULL keys count as one.
+    """
+    if not 1 / tracked < share <= 1:
+        raise ValueError("share has to lie above 1 / tracked, and not above 1")
+    most = F.lit(min(tracked, int(1 / share) + 1))
+    found = df.agg(F.call_function("approx_top_k", F.xxhash64(*keys), most, F.lit(tracked)).alias("top"),
+                   F.count(F.lit(1)).alias("rows")).select("rows", F.explode("top").alias("top"))
+    part = F.col("rows") * share
+    return found.filter(F.col("top.count") > part).select(
+        F.col("top.item").alias("_hot"), F.ceil(F.col("top.count") / part).cast("int").alias("_splits"))
+
+
+def split_hot_keys(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], share: float = 0.01, tracked: int = 4096,
+) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a ``_salt``: rows of ``left`` with a hot key are dealt over its parts, rows of
+    ``right`` with that key are repeated for each; all other rows have salt 0 and are there once."""
+    # A fixed number of rows at most, whatever the inputs.
+    hot = F.broadcast(hot_keys(left, keys, share, tracked))
+    here = F.xxhash64(*keys)
+    part = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("_splits")).cast("int")
+    dealt = left.withColumn("_key", here).join(hot, F.col("_key") == F.col("_hot"), "left").withColumn(
+        "_salt", F.when(F.col("_splits").isNotNull(), part).otherwise(0))
+    copies = F.when(F.col("_splits").isNotNull(), F.sequence(F.lit(0), F.col("_splits") - 1)).otherwise(F.array(F.lit(0)))
+    repeated = right.withColumn("_key", here).join(hot, F.col("_key") == F.col("_hot"), "left").withColumn(
+        "_salt", F.explode(copies))
+    extra = ("_key", "_hot", "_splits")
+    return dealt.drop(*extra), repeated.drop(*extra)
+
+
+def skew_join(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", share: float = 0.01, tracked: int = 4096,
+) -> DataFrame:
+    """Equi-join whose hot keys are found when it runs: see :func:`split_hot_keys`.
+
+    Unlike the splitting of adaptive execution this holds for what follows on the same
+    key and salt as well, and for the rows with NULL keys of a left join. Inner, left,
+    left_semi and left_anti joins keep their meaning.
+    """
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError(f"a {how} join cannot repeat its right side")
+    dealt, repeated = split_hot_keys(left, right, keys, share, tracked)
+    return dealt.join(repeated, [*keys, "_salt"], how).drop("_salt")

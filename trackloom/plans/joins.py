@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trackloom.operators.joins import UniqueSource, salted_join, unique_join
+from trackloom.operators.joins import UniqueSource, salted_join, skew_join, unique_join
 from trackloom.plans.registry import Query, query, same_sql
 
 QUERIES: dict[str, Query] = {
@@ -62,6 +62,15 @@ QUERIES: dict[str, Query] = {
         ).groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n")),
         "SELECT c_mktsegment, count(*) AS n FROM events JOIN customer ON user_id = c_custkey "
         "GROUP BY c_mktsegment"),
+    # A third of all events have one key, and every tenth has none.
+    "join_skew_detected": query(
+        lambda t: skew_join(
+            t.events.selectExpr("event_id", "value", "CASE WHEN event_id % 10 = 0 THEN NULL "
+                                "WHEN event_id % 3 = 0 THEN 7 ELSE user_id END AS c_custkey"),
+            t.customer.select("c_custkey", "c_mktsegment"), ["c_custkey"], "left", share=0.05,
+        ).select("event_id", "value", "c_custkey", "c_mktsegment"),
+        "SELECT event_id, value, k AS c_custkey, c_mktsegment FROM (SELECT *, CASE WHEN event_id % 10 = 0 THEN NULL "
+        "WHEN event_id % 3 = 0 THEN 7 ELSE user_id END AS k FROM events) LEFT JOIN customer ON k = c_custkey"),
 }
 
 
