@@ -1,6 +1,11 @@
 """Functions and relational operators whose results are easy to get wrong."""
 
+import datetime
+import decimal
+import functools
 import math
+import random
+import struct
 
 import pytest
 from pyspark.sql import Row
@@ -200,3 +205,67 @@ def test_macro(spark):
     tables.create_macro(spark, "share", "part DOUBLE, whole DOUBLE", "100 * part / whole")
     assert spark.sql("SELECT share(3, 8) AS s").first()["s"] == pytest.approx(37.5)
     tables.drop_macro(spark, "share")
+
+
+def _java(kind, v):
+    """Hashes of single values by the rules of the JVM, with struct for the bits."""
+    wrap = lambda x: (x + (1 << 31)) % (1 << 32) - (1 << 31)
+    fold = lambda xs: functools.reduce(lambda h, x: wrap(31 * h + x), xs, 0)
+    if v is None:
+        return 0
+    if kind == "double":
+        bits = struct.unpack(">Q", struct.pack(">d", v))[0] if v == v else 0x7FF8 << 48
+        return wrap(bits ^ bits >> 32)
+    if kind == "float":
+        return struct.unpack(">i", struct.pack(">f", v))[0] if v == v else 0x7FC00000
+    if kind == "decimal":
+        sign, digits, exponent = v.normalize(decimal.Context(prec=50)).as_tuple()
+        exponent = exponent if v else 0
+        whole = int("".join(map(str, digits))) * 10 ** max(exponent, 0)
+        words = [whole >> 32 * k & 0xFFFFFFFF for k in (3, 2, 1, 0)]
+        return wrap(31 * (fold(words) * (-1 if sign else 1)) + max(-exponent, 0))
+    if kind == "binary":
+        return wrap(functools.reduce(lambda h, x: 31 * h + (x + 128) % 256 - 128, v, 1))
+    if kind == "date":
+        return (v - datetime.date(1970, 1, 1)).days
+    if kind == "timestamp":
+        micros = (v - datetime.datetime(1970, 1, 1)) // datetime.timedelta(microseconds=1)
+        x = (micros // 10**6 << 30 | micros % 10**6 * 1000) & (1 << 64) - 1
+        return wrap(x ^ x >> 32)
+    if kind == "bigint":
+        return wrap((v ^ v >> 32) & 0xFFFFFFFF)
+    if kind == "array<double>":
+        return fold(_java("double", x) for x in v)
+    if kind == "map<bigint,float>":
+        return wrap(sum(_java("bigint", k) ^ _java("float", x) for k, x in v.items()))
+    return fold((_java("bigint", v[0]), _java("array<double>", v[1])))
+
+
+@pytest.mark.parametrize("kind, values", [
+    ("double", [0.0, -0.0, 1.0, -2.5, 0.1, 1e308, -1e308, 5e-324, -3e-310, 2.2250738585072014e-308, 2.0 ** 1023, 1 - 2.0 ** -53,
+                2.0 - 2.0 ** -52, float("inf"), float("-inf"), float("nan"), 123456789.123, None]),
+    ("float", [0.0, -0.0, 1.5, -0.10000000149011612, 1.401298464324817e-45, 3.4028234663852886e38, float("inf"), float("nan"), None]),
+    ("decimal", [decimal.Decimal(x) for x in ("0.000000000000000000", "1", "-1.10", "100.000", "99999999999999999999.123456789012345678",
+                                              "-4294967296", "18446744073709551616.5", "0.000000000000000001")] + [None]),
+    ("binary", [b"", b"\x00", b"abc\xff\x80", None]),
+    ("date", [datetime.date(1970, 1, 1), datetime.date(1969, 12, 31), datetime.date(2024, 2, 29), None]),
+    ("timestamp", [datetime.datetime(1970, 1, 1), datetime.datetime(1969, 12, 31, 23, 59, 59, 999999),
+                   datetime.datetime(2024, 2, 29, 12, 30, 5, 250000), None]),
+    ("array<double>", [[], [1.5, None, -0.0], None]),
+    ("map<bigint,float>", [{}, {1: 2.5, -7: None, 1 << 40: -1.0}, None]),
+    ("struct<a:bigint,b:array<double>>", [(5, [0.5]), (None, None), (-1, []), None]),
+])
+def test_hash_of_every_type(spark, kind, values):
+    declared = {"decimal": "decimal(38,18)"}.get(kind, kind)
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], f"k int, v {declared}")
+    got = [r.h for r in df.select("k", hashing.fold_hash(df, "v").alias("h")).orderBy("k").collect()]
+    assert got == [_java(kind, v) for v in values]
+
+
+def test_random_doubles_hash_by_their_bits(spark):
+    generator = random.Random(1)
+    values = [struct.unpack(">d", generator.randbytes(8))[0] for _ in range(3000)]
+    values = [v for v in values if v == v] + [2.0 ** k for k in range(-1074, 1024, 7)] + [2.0 ** k * (1 - 2.0 ** -53) for k in range(-1020, 1024, 9)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = [tuple(r) for r in df.select("v", hashing.fold_hash(df, "v").alias("h")).collect()]
+    assert all(h == _java("double", v) for v, h in got)

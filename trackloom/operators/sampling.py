@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.functions.hashing import bucket_of, hashable
 from trackloom.sources.files import table_bytes
 
 
-def bucket_sample(df: DataFrame, x: int, y: int, *on: str) -> DataFrame:
-    """Bucket ``x`` out of ``y`` (counted from 1) by the hash of the columns.
+def bucket_sample(df: DataFrame, x: int, y: int, *on: Column | str) -> DataFrame:
+    """Bucket ``x`` out of ``y`` (counted from 1) by the hash of columns or expressions of any type.
 
     The same rows come back every time. Without columns the whole row counts.
     """

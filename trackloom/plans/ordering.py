@@ -8,6 +8,24 @@ from trackloom.functions import hashing
 from trackloom.operators import sampling
 from trackloom.plans.registry import Query, query, same_sql
 
+_HASHED = {
+    "h_double": "o_totalprice", "h_float": "cast(o_totalprice AS float)", "h_decimal": "cast(o_totalprice AS decimal(15, 2))",
+    "h_date": "cast(o_orderdate AS date)", "h_timestamp": "cast(o_orderdate AS timestamp)",
+    "h_binary": "cast(o_orderpriority AS binary)", "h_array": "array(o_orderpriority, o_orderpriority)",
+    "h_map": "map(o_orderpriority, o_custkey, 'x', 1L)",
+    "h_struct": "struct(o_custkey AS k, o_orderpriority AS s, o_totalprice AS d)"}
+
+
+def _int32(value: str) -> str:
+    """The low 32 bits of a whole number, signed."""
+    return f"(((({value}) % 4294967296 + 4294967296 + 2147483648) % 4294967296) - 2147483648)::INT"
+
+
+def _folded_sql(code: str, begin: int) -> str:
+    return (f"list_reduce(list_prepend({begin}::BIGINT, list_transform(string_split(o_orderpriority, ''), "
+            f"lambda x: {code}::BIGINT)), lambda h, x: (h * 31 + x) & 4294967295)")
+
+
 QUERIES: dict[str, Query] = {
     "filter_three_valued": same_sql(
         "SELECT doc_id, k FROM (SELECT doc_id, nullif(quality, 0) AS k, toxic FROM {labels}) "
@@ -74,6 +92,28 @@ QUERIES: dict[str, Query] = {
         lambda t: t.nation.select(
             "n_nationkey", hashing.fold_hash(t.nation, "n_nationkey", "n_regionkey").alias("h")),
         "SELECT n_nationkey, CAST(n_nationkey * 31 + n_regionkey AS INT) AS h FROM nation"),
+    "hash_all_types": query(
+        lambda t: t.orders.select("o_orderkey", *[
+            hashing.fold_hash(t.orders, F.expr(e)).alias(n) for n, e in _HASHED.items()]),
+        f"""WITH v AS (SELECT *, o_totalprice::BIT::BIGINT AS d, o_totalprice::FLOAT::BIT::BIGINT AS f,
+            o_totalprice::DECIMAL(15, 2) AS m, epoch_us(o_orderdate) AS us, {_folded_sql('ord(x)', 0)} AS s,
+            {_folded_sql('ord(x)', 1)} AS b FROM orders),
+        w AS (SELECT *, CASE WHEN m * 10 % 10 <> m * 100 % 10 OR m * 100 % 10 <> 0 THEN
+            CASE WHEN m * 100 % 10 = 0 THEN 1 ELSE 2 END ELSE CASE WHEN m % 1 = 0 THEN 0 ELSE 1 END END AS scale,
+            (us // 1000000 << 30) | (us % 1000000 * 1000) AS ts FROM v),
+        x AS (SELECT *, (m * 10 ** scale)::HUGEINT AS u, xor(o_custkey, o_custkey >> 32) AS k FROM w),
+        h AS (SELECT o_orderkey, {_int32('xor(d, d >> 32)')} AS h_double, {_int32('f')} AS h_float,
+            {_int32('31 * (u // 4294967296 * 31 + u % 4294967296)::HUGEINT + scale')} AS h_decimal,
+            date_diff('day', DATE '1970-01-01', o_orderdate::DATE)::INT AS h_date, {_int32('xor(ts, ts >> 32)')} AS h_timestamp,
+            {_int32('b')} AS h_binary, {_int32('s')} AS s, k, {_int32('xor(d, d >> 32)')} AS d FROM x)
+        SELECT o_orderkey, h_double, h_float, h_decimal, h_date, h_timestamp, h_binary,
+            {_int32('s::BIGINT * 31 + s')} AS h_array, {_int32('xor(s::BIGINT, k) + xor(120, 1)')} AS h_map,
+            {_int32('(k * 31 + s) * 31 + d')} AS h_struct FROM h"""),
+    "sample_bucket_expression": query(
+        lambda t: sampling.bucket_sample(t.orders, 2, 5, F.expr("cast(o_orderdate AS date)"), F.expr("o_custkey % 7")).select(
+            "o_orderkey"),
+        "SELECT o_orderkey FROM orders WHERE ((date_diff('day', DATE '1970-01-01', o_orderdate::DATE) * 31 + o_custkey % 7) "
+        "& 2147483647) % 5 = 1"),
     "sample_percent": query(
         # Within five deviations of a tenth, and every row is one of the table.
         lambda t: sampling.percent_sample(t.lineitem, 10, seed=3).agg(
