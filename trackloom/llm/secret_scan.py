@@ -27,6 +27,8 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 RATIO = 12.0
 # Bounds of the sample of labelled strings that the models are fitted on.
 TRAINING_ROWS, TRAINING_CHARS, DRAWN = 2000, 4000, 400
+# Words of the sample that compounds are made of, evenly from all its texts.
+COMPOUND_WORDS = 8000
 SETS = {
     "hex": "0123456789abcdef", "upper": ALPHABET[:26] + "0123456789",
     "alphanumeric": ALPHABET[:62], "base64": ALPHABET}
@@ -87,7 +89,7 @@ def fit(texts: list[str]) -> SecretModel:
         for m in re.finditer(r"[A-Za-z]{3,}[A-Za-z0-9+/_=-]*", text):
             if not any(start < m.end() and m.start() < end for _, start, end in spans):
                 ordinary.append(m[0])
-    words = list(ordinary)
+    words = ordinary[::-(-len(ordinary) // COMPOUND_WORDS) or 1]
     for k in range(0, len(words) - 2, 2):
         number = str(generator.integers(0, 1000))
         ordinary += ["_".join(words[k:k + 3]), words[k] + words[k + 1].capitalize() + number,
