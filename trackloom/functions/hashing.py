@@ -78,10 +78,13 @@ def float_bits(c: Column, double: bool = True) -> Column:
 
 def _decimal(c: Column, kind: T.DecimalType) -> Column:
     """31 times the hash of the digits, and the scale, without zeros at the end."""
-    text = c.cast("string")
+    # Small numbers print with an exponent.
+    printed = c.cast("string")
+    text, power = F.split_part(printed, F.lit("E-"), F.lit(1)), F.split_part(printed, F.lit("E-"), F.lit(2))
     if kind.scale:
-        text = F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))
-    scale = F.when(F.instr(text, ".") > 0, F.length(text) - F.instr(text, ".")).otherwise(0).cast("bigint")
+        text = F.when(F.instr(text, ".") > 0, F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))).otherwise(text)
+    scale = F.when(F.instr(text, ".") > 0, F.length(text) - F.instr(text, ".")).otherwise(0)
+    scale = (scale + F.coalesce(F.nullif(power, F.lit("")).cast("bigint"), F.lit(0))).cast("bigint")
     digits = F.replace(F.replace(text, F.lit("."), F.lit("")), F.lit("-"), F.lit("")).cast("decimal(38,0)")
     base = F.lit(1 << 32).cast("decimal(38,0)")
 
@@ -98,7 +101,7 @@ def _decimal(c: Column, kind: T.DecimalType) -> Column:
         return _let(left, step)
 
     sign = F.when(c < 0, -1).otherwise(1)
-    return _wrap(_wrap(words(digits, 4) * sign) * 31 + scale)
+    return F.when(c == 0, 0).otherwise(_wrap(_wrap(words(digits, 4) * sign) * 31 + scale))
 
 
 def java_hash(c: Column, kind: T.DataType) -> Column:
