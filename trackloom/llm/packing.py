@@ -17,7 +17,7 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 # Tokens that are packed together, and entries of a worker's cache of tokenized words.
 SHARD_TOKENS = 1 << 20
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 # Attention cost of a document of n tokens in a sequence: LINEAR * n + QUADRATIC * n * n.
 LINEAR, QUADRATIC = 1.0, 1.0 / CAPACITY
 PUNCTUATION = b".,;:!?*%&$#"
