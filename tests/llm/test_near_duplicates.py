@@ -83,3 +83,28 @@ def test_lost_check_sums_do_not_lose_a_pair():
         "n_shingles": [1000, 1000], "sketch": [b"\1" * 256] * 2,
         "members": [s.astype(np.uint32).tobytes() for s in sets], "keys": [[1], [1]]})
     assert _tile_pairs(80)(table).to_pylist() == [{"a": 6, "b": 5}]
+
+
+def test_shared_ids_with_unlike_texts(spark):
+    dice = random.Random(11)
+    a, b = ([f"{x}{dice.randrange(10**6)}" for _ in range(80)] for x in "ab")
+    texts = [(1, a), (1, b), (1, b), (2, [*a, "more"]), (3, [*b, "more"]), (9, ["alone"]), (9, []), (None, a),
+             (0, [*b, "other"]), (8, ["far", *map(str, range(40))])]
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in texts], "doc_id long, text string").repartition(3)
+    check(frame, 3, 85)
+    got = {r.doc_id: r.component_id for r in near_duplicates(frame, shingle=3, percent=85).collect()}
+    assert got == {None: None, 0: 0, 1: 0, 2: 0, 3: 0, 8: 8, 9: 9}
+
+
+def test_recall_at_the_threshold(spark):
+    # 37 shingles each, 34 of 40 common: exactly 85 percent.
+    dice = random.Random(13)
+    rows = []
+    for k in range(5000):
+        words = [f"w{dice.randrange(10**9)}" for _ in range(39)]
+        rows.append((2 * k, " ".join(words)))
+        rows.append((2 * k + 1, " ".join([*words[:36], *(f"e{dice.randrange(10**9)}" for _ in range(3))])))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = near_duplicates(frame, shingle=3, percent=85).collect()
+    linked = sum(r.doc_id % 2 == 1 and r.component_id == r.doc_id - 1 for r in got)
+    assert linked >= 4995 and all(r.component_id == r.doc_id for r in got if r.doc_id % 2 == 0)

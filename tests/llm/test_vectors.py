@@ -67,3 +67,13 @@ def test_transform_is_a_rotation():
 
 def test_empty(spark):
     assert link_vectors(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_shared_ids_with_unlike_vectors(spark):
+    dice = np.random.default_rng(4)
+    a, b = dice.normal(size=(2, 16))
+    near = lambda v: (v + dice.normal(size=16) * 0.01).tolist()
+    rows = [(1, a.tolist(), 0), (1, b.tolist(), 0), (2, near(a), 0), (4, near(a), 0), (3, near(b), 0), (5, None, 0), (5, near(a), 1)]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in link_vectors(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [(1, 1, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 1, 1, False), (4, 2, 1, False),
+                   (5, 0, 5, True), (5, 0, 5, True)]

@@ -211,19 +211,22 @@ def link_vectors(
     first bucket that both are in; only sums and a spanning forest leave a task, so hot
     groups give no pair rows. A bucket of any size is cut into tiles. Null labels, null,
     zero and empty vectors and such with null or non-finite parts link with nothing, as do
-    rows with a null id (component_id null, kept true). Rows that share an id are one
-    node. An empty table gives an empty result; other columns are ignored.
+    rows with a null id (component_id null, kept true). Rows that share an id are in one
+    component; each counts its own links. An empty table gives an empty result; other columns
+    are ignored.
     """
     source = vectors.select(
-        F.col(id_column).cast("long").alias("node"), F.col(vector_column).cast("array<double>").alias("vector"),
+        F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("vector"),
         F.col(label_column).alias("label"))
-    source = source.withColumn("usable", _usable(F.col("vector"), F.col("label"), F.col("node")))
+    source = source.withColumn("usable", _usable(F.col("vector"), F.col("label"), F.col("id")))
     size = F.when(F.col("usable"), F.size("vector"))
     source = source.withColumns({
         "salt": F.xxhash64("label", size), "h1": F.xxhash64("vector"), "h2": F.hash("vector")})
     used = source.filter("usable")
+    # A class has a number of its own: one id may stand in several classes.
     classes = saved(used.groupBy("salt", "h1", "h2").agg(
-        F.min("node").alias("node"), F.count("*").alias("weight"), F.min_by("vector", "node").alias("vector")))
+        F.min("id").alias("low"), F.count("*").alias("weight"), F.first("vector").alias("vector")).withColumn(
+        "node", F.monotonically_increasing_id()))
     stats = classes.agg(F.max(F.size("vector")).alias("d"), F.count("*").alias("n")).first()
     polytope = planned(stats["d"] or 1, stats["n"], cosine, probes)
     hashed = saved(classes.select("node", "salt", "vector").mapInArrow(
@@ -245,14 +248,19 @@ def link_vectors(
     found = saved(cut.groupBy("bundle").applyInArrow(
         _tile_links(cosine, polytope.tables, polytope.probes), "node long, links long, root long"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    merged = connected_components(found, "node", "root")
-    rep = classes.select("salt", "h1", "h2", F.col("node").alias("rep"), "weight")
-    rep = rep.join(links.withColumnRenamed("node", "rep"), "rep", "left").join(
-        merged.withColumnRenamed("node", "rep"), "rep", "left")
-    out = source.select("node", "usable", "salt", "h1", "h2").join(rep, ["salt", "h1", "h2"], "left")
+    rep = classes.select("salt", "h1", "h2", "node", "low", "weight")
+    rows = saved(source.select("id", "usable", "salt", "h1", "h2").join(rep, ["salt", "h1", "h2"], "left").select(
+        "id", "usable", *[F.when(F.col("usable"), F.col(c)).alias(c) for c in ("node", "low", "weight")]))
+    several = rows.filter("usable").groupBy("id").agg(
+        F.min("node").alias("root"), F.max("node").alias("high")).filter("root < high").select("id", "root")
+    shared_ids = rows.join(several, "id").filter("usable").select("node", "root").distinct()
+    merged = connected_components(found.select("node", "root").unionByName(shared_ids), "node", "root")
+    label = merged.join(classes.select("node", "low"), "node").groupBy("component").agg(F.min("low").alias("least"))
+    out = rows.join(links, "node", "left").join(
+        merged.join(label, "component").select("node", "least"), "node", "left")
     ok = F.col("usable")
     count = F.when(ok, F.coalesce("links", F.lit(0)) + F.col("weight") - 1).otherwise(F.lit(0))
-    component = F.when(ok, F.coalesce("component", "rep")).otherwise(F.col("node"))
+    component = F.when(ok, F.coalesce("least", "low")).otherwise(F.col("id"))
     return out.select(
-        F.col("node").alias(id_column), count.cast("long").alias("n_links"), component.alias("component_id"),
-        F.coalesce(F.col("node") == component, F.lit(True)).alias("kept"))
+        F.col("id").alias(id_column), count.cast("long").alias("n_links"), component.alias("component_id"),
+        F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

@@ -35,7 +35,7 @@ BUNDLE = 4000
 
 
 def _signer(shingle: int, coordinates: int):
-    """Batches of (id, text) to (id, n_shingles, s1, s2, signature)."""
+    """Batches of (id, digest, text) to (id, digest, n_shingles, s1, s2, signature, sketch)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher(lower=True)
@@ -43,7 +43,7 @@ def _signer(shingle: int, coordinates: int):
         flips = generator.integers(0, 1 << 63, coordinates, np.uint64)
         factors = generator.integers(0, 1 << 63, coordinates, np.uint64) * np.uint64(2) + np.uint64(1)
         for batch in batches:
-            for row, end, words in hasher.chunks(batch.column(1)):
+            for row, end, words in hasher.chunks(batch.column(2)):
                 counts = np.diff(words.first)
                 # A document of fewer words than a shingle is one shingle of all its words.
                 sizes = np.where(counts >= shingle, counts - shingle + 1, (counts > 0).astype(int))
@@ -82,10 +82,10 @@ def _signer(shingle: int, coordinates: int):
                     pa.array(np.arange(len(counts) + 1, dtype=np.int32) * coordinates),
                     pa.array(signature.ravel().view(np.int32)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(row, end - row), pa.array(n),
+                    [batch.column(0).slice(row, end - row), batch.column(1).slice(row, end - row), pa.array(n),
                      pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), lists,
                      pa.array([r.tobytes() for r in sketch], pa.binary())],
-                    names=["node", "n_shingles", "s1", "s2", "signature", "sketch"])
+                    names=["id", "digest", "n_shingles", "s1", "s2", "signature", "sketch"])
 
     return sign
 
@@ -239,24 +239,30 @@ def near_duplicates(
 
     ``matches``: least number of equal coordinates of a candidate; the default is 5
     deviations below what is expected at the threshold. Null or empty texts have no
-    shingles and link with nothing. Rows that share an id are one node. Rows with a
-    null id link with nothing: component_id is null and kept true. An empty table gives
-    an empty result; other columns are ignored.
+    shingles and link with nothing. Rows that share an id are in one component, and each of
+    their texts is compared. Rows with a null id link with nothing: component_id is null and
+    kept true. An empty table gives an empty result; other columns are ignored.
     """
     if matches is None:
         share = percent / 100
         spread = (coordinates * share * (1 - share)) ** 0.5
         matches = max(1, int(coordinates * share - 5 * spread))
     prefix = coordinates - matches + 1
-    source = docs.select(F.col(id_column).cast("long").alias("node"), F.col(text_column).alias("text"))
-    schema = ("node long, n_shingles long, s1 long, s2 long, signature array<int>, sketch binary")
+    # A row is known by its id and a digest of its text.
+    source = docs.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text_column).alias("digest"),
+                         F.col(text_column).alias("text"))
+    schema = "id long, digest long, n_shingles long, s1 long, s2 long, signature array<int>, sketch binary"
     signed = saved(source.mapInArrow(_signer(shingle, coordinates), schema))
 
-    # Documents with one shingle set are one class; only its smallest id goes on.
-    kinds = signed.filter("n_shingles > 0 AND node IS NOT NULL")
-    classes = saved(kinds.groupBy("s1", "s2", "n_shingles").agg(F.min("node").alias("rep")))
-    reps = classes.select(F.col("rep").alias("node"), "s1", "s2")
-    nodes = kinds.select("node", "s1", "s2", "signature").join(reps, ["node", "s1", "s2"], "left_semi")
+    # Documents with one shingle set are one class, a node with a number of its own. Only the
+    # text of one row of it is looked at again.
+    same_set = ["s1", "s2", "n_shingles"]
+    kinds = signed.filter("n_shingles > 0 AND id IS NOT NULL")
+    classes = saved(kinds.groupBy(*same_set).agg(
+        F.min(F.struct("id", "digest")).alias("row"), F.first("signature").alias("signature"),
+        F.first("sketch").alias("sketch")).select(
+        F.monotonically_increasing_id().alias("node"), *same_set, "row.*", "signature", "sketch"))
+    nodes = classes.select("node", "signature")
 
     # Prefix: a document's rarest coordinate-value pairs, so a line that many documents
     # share brings none of them together. Pairs of one document only come first of all.
@@ -276,11 +282,12 @@ def near_duplicates(
     stars = posts.join(leaders, "key").select(
         F.col("node").alias("a"), (-F.col("top.back")).alias("b")).filter("a != b").distinct()
     # Of all texts only those of documents in a list are looked at again.
-    texts = saved(source.join(posts.select("node").distinct(), "node", "left_semi"))
+    wanted = classes.select("node", "id", "digest").join(posts.select("node").distinct(), "node", "left_semi")
+    texts = saved(source.join(wanted, ["id", "digest"]).groupBy("id", "digest", "node").agg(
+        F.first("text").alias("text")).select("node", "text"))
     confirm = _confirmer(shingle, percent)
-    signatures = kinds.select("node", "signature").dropDuplicates(["node"])
-    others = signatures.select(F.col("node").alias("b"), F.col("signature").alias("sig_b"))
-    signatures = signatures.select(F.col("node").alias("a"), F.col("signature").alias("sig_a"))
+    others = nodes.select(F.col("node").alias("b"), F.col("signature").alias("sig_b"))
+    signatures = nodes.select(F.col("node").alias("a"), F.col("signature").alias("sig_a"))
     stars = saved(stars.join(signatures, "a").join(others, "b").filter(
         _equal_coordinates() >= matches).select("a", "b"))
     near = saved(_confirmed(stars, texts, confirm))
@@ -289,23 +296,26 @@ def near_duplicates(
     # What remains: pairs in one list whose documents are not connected yet.
     open_lists = saved(_unmerged(posts.drop("n").join(merged, "node", "left").withColumn(
         "component", F.coalesce("component", "node"))))
-    sketches = kinds.select("node", "n_shingles", "sketch").dropDuplicates(["node"])
+    sketches = classes.select("node", "n_shingles", "sketch")
     long_lists = open_lists.filter(F.col("n") > LONG)
     whole = texts.join(long_lists.select("node").distinct(), "node", "left_semi").mapInArrow(
         _members(shingle), "node long, members binary")
     rest = _tiled(open_lists.filter(F.col("n") <= LONG), sketches, percent).unionByName(
-        _tiled(long_lists, sketches.join(whole.dropDuplicates(["node"]), "node").join(
+        _tiled(long_lists, sketches.join(whole, "node").join(
             posts.groupBy("node").agg(F.collect_list("key").alias("keys")), "node"), percent)).distinct()
     tried = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     rest = rest.join(tried, ["a", "b"], "left_anti")
     more = saved(_confirmed(rest, texts, confirm))
-    links = near.unionByName(more)
-    merged = connected_components(links).withColumnRenamed("node", "rep")
-
-    found = signed.join(classes.select("s1", "s2", "n_shingles", "rep"), ["s1", "s2", "n_shingles"], "left")
-    found = found.join(merged, "rep", "left")
-    # The smallest id of a component is a class representative, so it is the label.
-    linked = (F.col("n_shingles") > 0) & F.col("node").isNotNull()
-    component = F.when(linked, F.coalesce("component", "rep", "node")).otherwise(F.col("node"))
-    return found.select(F.col("node").alias(id_column), "n_shingles", component.alias("component_id")).withColumn(
+    # Every row with its class; classes that share an id are one component.
+    first = classes.select(*same_set, "node", F.col("id").alias("low"))
+    found = saved(signed.select("id", *same_set).join(first, same_set, "left").withColumn(
+        "node", F.when(F.col("id").isNotNull(), F.col("node"))).select("id", "n_shingles", "node", "low"))
+    several = found.filter("node IS NOT NULL").groupBy("id").agg(
+        F.min("node").alias("b"), F.max("node").alias("high")).filter("b < high").select("id", "b")
+    shared_ids = found.join(several, "id").select(F.col("node").alias("a"), "b").distinct()
+    merged = connected_components(near.unionByName(more).unionByName(shared_ids))
+    label = merged.join(classes.select("node", "id"), "node").groupBy("component").agg(F.min("id").alias("least"))
+    found = found.join(merged.join(label, "component").select("node", "least"), "node", "left")
+    component = F.when(F.col("node").isNotNull(), F.coalesce("least", "low")).otherwise(F.col("id"))
+    return found.select(F.col("id").alias(id_column), "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col(id_column) == F.col("component_id"), F.lit(True)))
