@@ -112,3 +112,13 @@ def test_short_lists_tables_and_headings_stay():
     sections = f"<section class='a'><h2>A</h2>{p}</section><section class='b'><h2>B</h2>{p}</section>"
     assert main_text(f"<body><div>{sections}</div></body>") == f"A\n{LONG}\nB\n{LONG}"
     assert main_text(f"{LONG}<div class='facts'>{parts}</div>") == "\n".join([LONG, "one", "two", "three", "four"])
+
+
+def test_stray_and_unclosed_elements_cost_linear_time():
+    import time
+
+    for html in ("<span class='ad'>x</i></b></span2>" * 20_000, "<div>a" * 20_000,
+                 "<p><td>" + "<span class='ad'>" * 20_000 + "<hr>" * 20_000):
+        begin = time.monotonic()
+        main_text(html)
+        assert time.monotonic() - begin < 10

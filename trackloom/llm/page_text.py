@@ -65,6 +65,8 @@ class Blocks:
         # Name, path, whether it is furniture, its rank (2 in an article, 1 in main, else 0),
         # the innermost element named like furniture.
         self.stack: list[tuple[str, int, bool, int, int]] = [("", 0, False, 0, -1)]
+        # Depths of the open elements by name, and of all open blocks under "*".
+        self.depths: dict[str, list[int]] = {}
         self.parts: list[str] = []
         self.links = self.in_link = 0
         self._read(html)
@@ -133,6 +135,8 @@ class Blocks:
             self.hints.append((hint, rank))
             hint = len(self.hints) - 1
         rank = max(rank, {"article": 2, "main": 1}.get(name, 0))
+        for key in (name, "*") if name in BLOCKS else (name,):
+            self.depths.setdefault(key, []).append(len(self.stack))
         self.stack.append((name, self._child(path, label), out or furniture, rank, hint))
 
     def _child(self, parent: int, label: str) -> int:
@@ -165,23 +169,31 @@ class Blocks:
         names = LAYOUT.sub(" ", f"{found.get('class', '')} {found.get('id', '')}")
         return bool(HINT.search(names) or (not inside and TOP.search(names)))
 
+    def _innermost(self, names: set[str]) -> int:
+        """The depth of the innermost open element of these names; 0 for none."""
+        return max((self.depths[n][-1] for n in names if self.depths.get(n)), default=0)
+
+    def _cut(self, depth: int) -> None:
+        """End the element at this depth and all in it, so each is looked at once."""
+        for name, *_ in self.stack[depth:]:
+            self.depths[name].pop()
+            if name in BLOCKS:
+                self.depths["*"].pop()
+        del self.stack[depth:]
+
     def _pop(self, kinds: set[str], limit: set[str]) -> None:
-        for depth in range(len(self.stack) - 1, 0, -1):
-            if self.stack[depth][0] in kinds:
-                del self.stack[depth:]
-                return
-            if self.stack[depth][0] in limit or (kinds == {"p"} and self.stack[depth][0] in BLOCKS):
-                return
+        depth = self._innermost(kinds)
+        if depth and depth >= self._innermost(limit | {"*"} if kinds == {"p"} else limit):
+            self._cut(depth)
 
     def _close(self, name: str) -> None:
         if name == "a":
             self.in_link = max(0, self.in_link - 1)
-        if name in BLOCKS or any(entry[0] == name for entry in self.stack):
+        depth = self._innermost({name})
+        if name in BLOCKS or depth:
             self._flush()
-            for depth in range(len(self.stack) - 1, 0, -1):
-                if self.stack[depth][0] == name:
-                    del self.stack[depth:]
-                    return
+        if depth:
+            self._cut(depth)
 
 
 def _smoothed(values: np.ndarray) -> np.ndarray:
@@ -247,12 +259,15 @@ def _without_furniture(page: Blocks) -> Blocks:
 def _home(page: Blocks, nodes: list[int]) -> int:
     """The path of the element that holds the content, given the good paths."""
     # A path has a higher number than those around it.
-    home = nodes[0]
+    home, known = nodes[0], set()
     for node in nodes[1:]:
-        while home != node:
+        # What lies below the home so far stays below it, so no path is walked twice.
+        while home != node and node not in known:
             if home > node:
+                known.add(home)
                 home = page.parent[home]
             else:
+                known.add(node)
                 node = page.parent[node]
     if len(nodes) == 1:
         home = max(page.parent[home], 0)
