@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _sequences(df: DataFrame, sentences: str, n: int) -> DataFrame:
-    """Every run of n words in every sentence of an array<array<string>> column."""
-    one = df.select(F.explode(sentences).alias("_words")).filter(F.size("_words") >= n)
-    starts = one.select("_words", F.explode(F.sequence(F.lit(1), F.size("_words") - (n - 1))).alias("_at"))
-    return starts.select(F.slice("_words", F.col("_at"), n).alias("ngram"))
+def sequences(df: DataFrame, sentences: str, n: int, keep: Sequence[str] = ()) -> DataFrame:
+    """Every run of n words in every sentence of an array<array<string>> column, as ``ngram``.
+
+    The runs of a sentence are made in one expression, so no row carries the sentence along.
+    """
+    one = df.select(*keep, F.explode(sentences).alias("_words")).filter(F.size("_words") >= n)
+    places = F.sequence(F.lit(1), F.size("_words") - (n - 1))
+    return one.select(*keep, F.explode(F.transform(places, lambda at: F.slice("_words", at, n))).alias("ngram"))
 
 
 def _top(counted: DataFrame, k: int) -> DataFrame:
@@ -25,14 +28,14 @@ def ngrams(df: DataFrame, sentences: str, n: int, k: int) -> DataFrame:
 
     Counting is map-side combined; the top k is kept per task before it is merged.
     """
-    counted = _sequences(df, sentences, n).groupBy("ngram").agg(
+    counted = sequences(df, sentences, n).groupBy("ngram").agg(
         F.count(F.lit(1)).cast("double").alias("estfrequency"))
     return _top(counted, k)
 
 
 def context_ngrams(df: DataFrame, sentences: str, context: Sequence[str | None], k: int) -> DataFrame:
     """The k most frequent fillers of the NULL places of ``context``."""
-    found = _sequences(df, sentences, len(context))
+    found = sequences(df, sentences, len(context))
     for place, word in enumerate(context):
         if word is not None:
             found = found.filter(F.element_at("ngram", place + 1) == word)

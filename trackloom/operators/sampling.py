@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.functions.hashing import bucket_of, hashable
-from trackloom.sources.files import table_bytes
+from trackloom.sources.files import listed_files, table_bytes
 
 
 def bucket_sample(df: DataFrame, x: int, y: int, *on: Column | str) -> DataFrame:
@@ -38,3 +38,24 @@ def size_sample(df: DataFrame, size: str, seed: int = 0) -> DataFrame:
     wanted = int(size[:-1]) * units[size[-1].upper()]
     total = table_bytes(df)
     return df.sample(fraction=min(1.0, wanted / max(total, 1)), seed=seed)
+
+
+def block_sample(spark: SparkSession, path: str, percent: float, seed: int = 0, format: str = "parquet") -> DataFrame:
+    """Whole files of a table, drawn by ``seed`` until they hold ``percent`` of its bytes.
+
+    Files are drawn from the listing, so the others are never opened. The same seed draws
+    the same files. At least one file comes unless the table has none or nothing is asked for.
+    """
+    table = spark.read.format(format).load(path)
+    wanted = listed_files(table).agg(F.sum("length")).first()[0] or 0
+    wanted *= percent / 100
+    chosen, held = [], 0
+    drawn = listed_files(table).select("path", "length").orderBy(F.xxhash64("path", F.lit(seed)), "path")
+    for file in drawn.toLocalIterator():
+        if held >= wanted:
+            break
+        chosen.append(file["path"])
+        held += file["length"]
+    if not chosen:
+        return table.limit(0)
+    return spark.read.format(format).schema(table.schema).option("basePath", path).load(chosen)

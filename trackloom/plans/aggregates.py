@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trackloom.functions import aggregates as ag
-from trackloom.functions import text_stats
+from trackloom.functions import sketches, text_stats
 from trackloom.operators.grouping import grouping_id
 from trackloom.operators.quantiles import percentiles
 from trackloom.plans.registry import Query, query, same_sql, single
@@ -187,9 +187,9 @@ _WORDS_SQL = (
 )
 
 
-def _words(t, table: str, column: str):
+def _words(t, table: str, column: str, *keep: str):
     """Whole texts as one word list each; words are runs of Latin letters."""
-    return getattr(t, table).select(F.array(F.expr(
+    return getattr(t, table).select(*keep, F.array(F.expr(
         f"filter(split(lower({column}), '[^a-z]+'), x -> x <> '')")).alias("sentences"))
 
 
@@ -222,3 +222,19 @@ QUERIES["agg_ngrams_of_sentences"] = query(
     f"WITH {_WORDS_SQL.format(column='text', table='documents')}, u AS (SELECT unnest(words) AS word FROM w), "
     "c AS (SELECT count(*) AS n FROM u GROUP BY word) "
     "SELECT 20 AS n, TRUE AS pairs, TRUE AS bounded, CAST(max(n) AS DOUBLE) AS most FROM c")
+# States per priority, merged: the estimate is within four standard errors of the exact number.
+QUERIES["agg_ndv_merged"] = query(
+    lambda t: sketches.merged_stats(sketches.stats_state(t.orders, "o_custkey", ["o_orderpriority"])).crossJoin(
+        t.orders.agg(F.count_distinct("o_custkey").alias("exact"))).select(
+        "rows", "nulls", "least", "largest", (F.abs(F.col("ndv") / F.col("exact") - 1) < 0.065).alias("near")),
+    "SELECT count(*) AS rows, count(*) FILTER (o_custkey IS NULL) AS nulls, min(o_custkey) AS least, "
+    "max(o_custkey) AS largest, TRUE AS near FROM orders")
+# States per language, merged: each of the most frequent bigrams is found, its count inside the bounds.
+QUERIES["agg_ngrams_estimated"] = query(
+    lambda t: text_stats.ngrams(_words(t, "documents", "text"), "sentences", 2, 20).join(
+        sketches.merged_ngrams(sketches.ngram_state(
+            _words(t, "documents", "text", "lang"), "sentences", 2, ["lang"]), 1000).select(
+            "ngram", F.col("estfrequency").alias("most"), "least"), "ngram", "left").select(
+        F.array_join("ngram", " ").alias("ngram"), "estfrequency",
+        F.coalesce(F.col("estfrequency").between(F.col("least"), F.col("most")), F.lit(False)).alias("inside")),
+    QUERIES["agg_ngrams_2"].sql.replace("AS estfrequency FROM r", "AS estfrequency, TRUE AS inside FROM r"))

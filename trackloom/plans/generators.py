@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions import scalar as fn
 from trackloom.functions import tables
+from trackloom.operators import ordered
 from trackloom.plans.registry import Query, Tables, query, same_sql, single
 
 
@@ -94,6 +95,12 @@ QUERIES: dict[str, Query] = {
             "SELECT c.count FROM count_twice(TABLE(SELECT n_regionkey, n_nationkey FROM {nation}) PARTITION BY n_regionkey) c"
             .replace("SELECT n_regionkey, n_nationkey", "SELECT n_nationkey AS value, n_regionkey")))[1],
         "SELECT CAST(unnest([n, n]) AS INT) AS count FROM (SELECT count(*) AS n FROM nation GROUP BY n_regionkey)"),
+    "function_row_sequence": query(
+        # Consecutive numbers over a whole table, which no single task holds.
+        lambda t: ordered.row_numbers(
+            t.orders.select("o_orderkey", "o_custkey"), [], ["o_orderkey"], "row_sequence").select(
+            "o_orderkey", F.col("row_sequence").cast("bigint").alias("row_sequence")),
+        "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS row_sequence FROM orders"),
     "function_array_sum": query(
         lambda t: t.embeddings.select("vec_id", F.aggregate(
             F.transform("embedding", lambda x: x.cast("double")), F.lit(0.0), lambda a, x: a + x).cast("float").cast("double").alias("s")),

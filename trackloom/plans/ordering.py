@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from trackloom.functions import hashing
 from trackloom.operators import sampling
 from trackloom.plans.registry import Query, query, same_sql
+from trackloom.sources.files import table_bytes
 
 _HASHED = {
     "h_double": "o_totalprice", "h_float": "cast(o_totalprice AS float)", "h_decimal": "cast(o_totalprice AS decimal(15, 2))",
@@ -129,8 +130,11 @@ QUERIES: dict[str, Query] = {
             (F.max("n") <= 10).alias("few"), (F.min("n") > 0).alias("some"), (F.sum("n") == F.sum("d")).alias("differ")),
         "SELECT TRUE AS few, TRUE AS some, TRUE AS differ"),
     "sample_size": query(
-        # A table below the size comes whole.
-        lambda t: sampling.size_sample(t.orders, "4G", seed=1).agg(
-            F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("s")),
-        "SELECT count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS s FROM orders"),
+        # A quarter of the table's bytes: within five deviations of a quarter of its rows, each a row of it.
+        lambda t: sampling.size_sample(t.lineitem, f"{table_bytes(t.lineitem) // 4}B", seed=1).agg(
+            F.count(F.lit(1)).alias("n"), F.min("l_orderkey").alias("k")).crossJoin(
+            t.lineitem.agg(F.count(F.lit(1)).alias("rows"), F.min("l_orderkey").alias("least"))).select(
+            "rows", (F.abs(F.col("n") - F.col("rows") / 4) < 2.2 * F.sqrt("rows")).alias("near"),
+            (F.col("k") >= F.col("least")).alias("inside")),
+        "SELECT count(*) AS rows, TRUE AS near, TRUE AS inside FROM lineitem"),
 }

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from trackloom.operators import sampling
 from trackloom.plans.registry import Query, Tables, query
 from trackloom.session import checkpoint_folder
 from trackloom.sources import files, tables, text, tracks
@@ -22,6 +23,18 @@ def _written(t: Tables, frame, write) -> str:
     return path
 
 
+def _blocks(t: Tables):
+    """A quarter of a table of 16 files: whole files, as few as hold a quarter of the bytes."""
+    path = scratch(t)
+    t.lineitem.select("l_orderkey", "l_quantity").repartition(16).write.parquet(path)
+    of_file = [F.col("_metadata.file_path").alias("file")]
+    rows = t.spark.read.parquet(path).groupBy(*of_file).agg(F.count(F.lit(1)).alias("n"))
+    drawn = sampling.block_sample(t.spark, path, 25, seed=3).groupBy(*of_file).agg(F.count(F.lit(1)).alias("m"))
+    return rows.join(drawn, "file", "left").agg(
+        F.sum("n").alias("rows"), F.count_if(F.col("m") > 0).between(1, 5).alias("few"),
+        F.min(F.coalesce(F.col("m") == F.col("n"), F.lit(True))).alias("whole"))
+
+
 _NESTED = ("n_nationkey int, n_name string, tags array<string>, codes map<string,int>, "
            "place struct<region:int,name:string>, missing double")
 
@@ -250,6 +263,8 @@ QUERIES: dict[str, Query] = {
     "storage_table_statistics": query(
         _table_statistics, "SELECT 'min' AS info_name, CAST(min(c_nationkey) AS VARCHAR) AS info_value FROM customer UNION ALL "
         "SELECT 'max', CAST(max(c_nationkey) AS VARCHAR) FROM customer UNION ALL SELECT 'num_nulls', '0'"),
+    "sample_percent_blocks": query(
+        _blocks, "SELECT count(*) AS rows, TRUE AS few, TRUE AS whole FROM lineitem"),
     "storage_partition_commands": query(
         _partition_commands, "SELECT DISTINCT 'n_regionkey=' || n_regionkey AS partition FROM nation WHERE n_regionkey <> 0"),
 }

@@ -39,13 +39,17 @@ def with_virtual_columns(df: DataFrame) -> DataFrame:
     )
 
 
-def table_bytes(df: DataFrame) -> int:
-    """Bytes of the files behind a table, from their listing; no file is opened."""
+def listed_files(df: DataFrame) -> DataFrame:
+    """``path, length`` of the files behind a table, from their listing; no file is opened."""
     files = df.inputFiles()
     if not files:
-        return 0
-    listed = df.sparkSession.read.format("binaryFile").load(files)
-    return listed.agg(F.sum("length").alias("bytes")).first()["bytes"] or 0
+        return df.sparkSession.createDataFrame([], "path string, length long")
+    return df.sparkSession.read.format("binaryFile").load(files).select("path", "length")
+
+
+def table_bytes(df: DataFrame) -> int:
+    """Bytes of the files behind a table, from their listing."""
+    return listed_files(df).agg(F.sum("length").alias("bytes")).first()["bytes"] or 0
 
 
 def compact(spark: SparkSession, source: str, target: str, format: str = "parquet",
