@@ -9,13 +9,10 @@ from pyspark.sql import functions as F
 
 
 def sequences(df: DataFrame, sentences: str, n: int, keep: Sequence[str] = ()) -> DataFrame:
-    """Every run of n words in every sentence of an array<array<string>> column, as ``ngram``.
-
-    The runs of a sentence are made in one expression, so no row carries the sentence along.
-    """
+    """Every run of n words in every sentence of an array<array<string>> column, as ``ngram``."""
     one = df.select(*keep, F.explode(sentences).alias("_words")).filter(F.size("_words") >= n)
-    places = F.sequence(F.lit(1), F.size("_words") - (n - 1))
-    return one.select(*keep, F.explode(F.transform(places, lambda at: F.slice("_words", at, n))).alias("ngram"))
+    starts = one.select(*keep, "_words", F.explode(F.sequence(F.lit(1), F.size("_words") - (n - 1))).alias("_at"))
+    return starts.select(*keep, F.slice("_words", F.col("_at"), n).alias("ngram"))
 
 
 def _top(counted: DataFrame, k: int) -> DataFrame:
