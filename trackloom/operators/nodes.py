@@ -113,6 +113,29 @@ def spread(
     return out.drop(_LEVEL, _SLOT, "_first", "_last")
 
 
+# Half lines of ranks are cut in runs of 4 ** RUN_LEVEL ranks and the blocks of what is left.
+RUN_LEVEL = 5
+
+
+def spread_prefix(df: DataFrame, count: Column) -> DataFrame:
+    """One row per node of the ranks ``0 .. count - 1``, to meet :func:`spread_rank`.
+
+    Every whole run of 1024 ranks is one node, the rest is the cover of its blocks. A
+    row stands for up to 1024 ranks, so the runs are few next to the pairs they give,
+    and no key has more than 1024 ranks on the other side.
+    """
+    runs = _shift_right(count, F.lit(2 * RUN_LEVEL))
+    whole = df.filter(runs > 0).withColumn(_SLOT, F.explode(F.sequence(F.lit(0).cast("bigint"), runs - 1)))
+    whole = whole.withColumn(NODE, _node(F.col(_SLOT), F.lit(RUN_LEVEL), 0)).drop(_SLOT)
+    rest = spread(df, F.lit(RUN_LEVEL), cover=(F.shiftleft(runs, 2 * RUN_LEVEL), count - 1))
+    return whole.unionByName(rest)
+
+
+def spread_rank(df: DataFrame, rank: Column) -> DataFrame:
+    """One row per node that holds a rank: its own block and those around it up to a run."""
+    return spread(df, F.lit(RUN_LEVEL), point=rank)
+
+
 def node_join(left: DataFrame, right: DataFrame) -> DataFrame:
     """Join two spread tables on ``(chr, node)``.
 

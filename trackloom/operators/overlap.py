@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.operators import values
+from trackloom.operators.half_lines import before_pairs
 from trackloom.operators.intervals import (
     CHR, END, KEY, LOCATION, BEGIN, VALUE, Interval, distance, length, overlap_length,
 )
@@ -53,9 +54,9 @@ def location_join(a: DataFrame, b: DataFrame, predicate: str) -> DataFrame:
     """Pairs with ``a <predicate> b``.
 
     Predicates that pin a coordinate become equi-joins on it; those that imply
-    an overlap filter the overlap join. ``precedes`` and ``follows`` have a
-    result as large as the product of the two sides within a chromosome, so
-    the join is on the chromosome and one side should be small.
+    an overlap filter the overlap join. ``precedes`` and ``follows`` join on blocks
+    of ranks; their result can be as large as the product of the two sides within a
+    chromosome, so ask ``half_lines.precede_counts`` where counts will do.
     """
     left, right = _prefixed(a, "a_"), _prefixed(b, "b_")
     test = LOCATION[predicate](shared("a_"), shared("b_"))
@@ -91,7 +92,10 @@ def location_join(a: DataFrame, b: DataFrame, predicate: str) -> DataFrame:
         return keyed(
             F.explode(F.array(ends("before", a_end + 1), ends("after", a_start - 1))),
             F.explode(F.array(ends("before", b_start), ends("after", b_end))))
-    return left.join(right, CHR).filter(test)
+    columns = [CHR, *[c for c in (*left.columns, *right.columns) if c != CHR]]
+    if predicate == "precedes":
+        return before_pairs(left, right, "a_" + END, "b_" + BEGIN).select(*columns)
+    return before_pairs(right, left, "b_" + END, "a_" + BEGIN).select(*columns)
 
 
 def distance_join(a: DataFrame, b: DataFrame, at_most: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.operators import intervals as iv
-from trackloom.operators import merge, nearest, overlap, project
+from trackloom.operators import half_lines, merge, nearest, overlap, project
 from trackloom.plans.registry import Query, Tables, query, single
 
 _START = "l_orderkey * 10 + l_linenumber"
@@ -304,6 +304,17 @@ for _name, _text in _LOCATION_SQL.items():
         f"WHERE chrend - chrstart > 4 ORDER BY a.chr, a.chrstart, a.chrend LIMIT 1) "
         f"SELECT a.* FROM a JOIN b ON a.chr = b.chr AND {_text}",
     )
+# Counts by running sums over the positions of both tracks.
+QUERIES["track_precede_counts"] = query(
+    lambda t: half_lines.precede_counts(a_track(t), b_track(t)),
+    f"{WITH_AB}, p AS (SELECT chr, chrstart AS pos, 1 AS begins, 0 AS ends FROM b UNION ALL SELECT chr, chrend, 0, 1 FROM b "
+    "UNION ALL SELECT chr, chrend, 0, 0 FROM a UNION ALL SELECT chr, chrstart - 1, 0, 0 FROM a), "
+    "g AS (SELECT chr, pos, sum(begins) AS begins, sum(ends) AS ends FROM p GROUP BY chr, pos), "
+    "c AS (SELECT chr, pos, sum(begins) OVER w AS begun, sum(ends) OVER w AS ended, "
+    "sum(begins) OVER (PARTITION BY chr) AS n FROM g WINDOW w AS (PARTITION BY chr ORDER BY pos)) "
+    "SELECT a.*, CAST(x.n - x.begun AS BIGINT) AS n_precedes, CAST(y.ended AS BIGINT) AS n_follows FROM a "
+    "JOIN c x ON x.chr = a.chr AND x.pos = a.chrend JOIN c y ON y.chr = a.chr AND y.pos = a.chrstart - 1",
+)
 QUERIES["track_distance_join"] = query(
     lambda t: overlap.distance_join(a_track(t), b_track(t), 15),
     f"{WITH_AB} SELECT {_PAIR_COLUMNS}, greatest(0, b.chrstart - a.chrend, a.chrstart - b.chrend) AS distance "
