@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from itertools import groupby
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackloom.operators.scans import ordering
+
 
 def in_file(df: DataFrame, column: Column | str, path: str, name: str = "in_file") -> DataFrame:
     """Flag the rows whose text is a line of the file. NULL stays NULL.
@@ -90,6 +95,61 @@ def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
     return df.mapInPandas(run, schema)
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[int, tuple, pa.RecordBatch]]:
+    """(number of the partition, key, rows) of sorted batches cut where one of the first columns changes."""
+    number, last = -1, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        changes = np.zeros(batch.num_rows - 1, bool)
+        for column in batch.columns[:width]:
+            # Codes of values are equal for NULLs, and for NaNs, too.
+            changes |= np.diff(column.dictionary_encode(null_encoding="encode").indices.to_numpy()) != 0
+        bounds = [0, *(np.flatnonzero(changes) + 1), batch.num_rows]
+        for low, high in zip(bounds, bounds[1:]):
+            key = tuple(column[low].as_py() for column in batch.columns[:width])
+            if last is None or repr(key) != repr(last):
+                number, last = number + 1, key
+            yield number, key, batch.slice(low, high - low)
+
+
+def partition_stream(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    function: Callable[[tuple, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+    schema: str,
+) -> DataFrame:
+    """A user's function over sorted partitions of rows, each as a stream of Arrow batches.
+
+    ``function(key, batches)`` gets the values of ``keys`` and an iterator over the rows of
+    one partition by ``order`` (``-name`` is descending), keys first, then the other columns,
+    and yields batches of ``schema``. It keeps its own state across batches, may keep, drop
+    or add rows, and need not read to the end. Spark sorts and spills; a task holds one
+    batch, so a partition may be of any length, though its rows pass one after the other.
+
+    Keys are plain columns; NULL is a key like any other. An empty table calls nothing.
+    """
+    keys = list(keys)
+    if not keys:
+        raise ValueError("a stream needs a column to partition by")
+    rows = df.select(*keys, *[c for c in df.columns if c not in keys])
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, *[ordering(c) for c in order])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, pieces in groupby(_pieces(batches, len(keys)), key=lambda piece: piece[0]):
+            _, key, first = next(pieces)
+            yield from function(key, _rows(first, pieces))
+
+    return rows.mapInArrow(run, schema)
+
+
+def _rows(first: pa.RecordBatch, pieces: Iterator) -> Iterator[pa.RecordBatch]:
+    yield first
+    for _, _, batch in pieces:
+        yield batch
+
+
 @F.udtf(returnType="a int, b int")
 class Explode2:
     """Every number twice over, in two columns."""

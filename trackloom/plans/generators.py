@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from trackloom.functions import scalar as fn
 from trackloom.functions import tables
 from trackloom.operators import ordered
 from trackloom.plans.registry import Query, Tables, query, same_sql, single
+from trackloom.session import checkpoint_folder
 
 
 def both(spark_text: str, sql: str) -> Query:
@@ -32,6 +37,27 @@ def _second_largest(t: Tables):
         lambda s, v: two_largest(*s, v), lambda s, o: two_largest(*s, *o), lambda s: s[1], "second bigint")
 
 
+def _sessions(t: Tables):
+    """Number the visits of each user: a new one begins after half an hour without an event."""
+    def visits(key, batches):
+        last, visit = None, 1
+        for batch in batches:
+            at = batch["at"].to_numpy()
+            late = np.diff(at, prepend=at[0] if last is None else last) > 1_800_000_000
+            visit, numbers = visit + int(late.sum()), visit + np.cumsum(late)
+            last = at[-1]
+            yield pa.RecordBatch.from_arrays([batch["event_id"], pa.array(numbers, pa.int64())], ["event_id", "visit"])
+
+    events = t.events.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return tables.partition_stream(events, ["user_id"], ["at", "event_id"], visits, "event_id bigint, visit bigint")
+
+
+def _in_file(t: Tables):
+    path = f"{checkpoint_folder(t.spark)}/lines-{uuid.uuid4().hex}"
+    t.customer.filter("c_nationkey = 3").select("c_name").write.text(path)
+    return tables.in_file(t.customer, "c_name", path).select("c_custkey", "in_file")
+
+
 QUERIES: dict[str, Query] = {
     "generate_explode": both(
         "SELECT vec_id, CAST(x AS DOUBLE) AS x FROM {embeddings} LATERAL VIEW explode(embedding) e AS x",
@@ -73,6 +99,25 @@ QUERIES: dict[str, Query] = {
     "function_transform_script": both(
         "SELECT TRANSFORM(n_nationkey, n_name) USING 'cat' AS (k STRING, name STRING) FROM {nation}",
         "SELECT CAST(n_nationkey AS VARCHAR) AS k, n_name AS name FROM nation"),
+    # Words are cut by one script, sorted by Spark and counted by another as they stream by.
+    "function_reduce_script": both(
+        "SELECT CAST(regexp_extract(line, '^ *([0-9]+) ', 1) AS BIGINT) AS n, regexp_extract(line, '^ *[0-9]+ (.*)$', 1) AS word FROM "
+        "(FROM (FROM (FROM {part} MAP p_name USING 'tr \" \" \"\\n\"' AS (word STRING)) SELECT word CLUSTER BY word) "
+        "REDUCE word USING 'uniq -c' AS (line STRING))",
+        "SELECT count(*) AS n, word FROM (SELECT unnest(string_split(p_name, ' ')) AS word FROM part) GROUP BY word"),
+    # Separators of the caller's own on both sides of the script.
+    "function_script_formats": both(
+        "SELECT k, name FROM (FROM (SELECT c_custkey, c_name FROM {customer} DISTRIBUTE BY c_nationkey SORT BY c_custkey) "
+        "REDUCE c_custkey, c_name ROW FORMAT DELIMITED FIELDS TERMINATED BY '|' USING 'tr \"|\" \",\"' AS (k BIGINT, name STRING) "
+        "ROW FORMAT DELIMITED FIELDS TERMINATED BY ',')",
+        "SELECT c_custkey AS k, c_name AS name FROM customer"),
+    "function_partition_stream": query(
+        _sessions,
+        "SELECT event_id, CAST(1 + sum(late) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS visit FROM "
+        "(SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) > 1800000000 "
+        "THEN 1 ELSE 0 END AS late FROM events)"),
+    "function_in_file": query(
+        _in_file, "SELECT c_custkey, c_nationkey = 3 AS in_file FROM customer"),
     "function_user_aggregate": query(
         _second_largest,
         "SELECT l_returnflag, l_linestatus, (list_sort(list(DISTINCT l_partkey), 'DESC'))[2] AS second FROM lineitem "
