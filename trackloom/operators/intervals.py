@@ -136,6 +136,8 @@ _SQL_LOCATION = {
     "adjacent_to": "a.chrend + 1 = b.chrstart OR a.chrstart - 1 = b.chrend",
     "precedes": "a.chrend < b.chrstart",
     "follows": "a.chrstart > b.chrend",
+    "prefix_of": "a.chrstart = b.chrstart AND a.chrend <= b.chrend",
+    "suffix_of": "a.chrend = b.chrend AND a.chrstart >= b.chrstart",
 }
 
 

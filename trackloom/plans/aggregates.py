@@ -173,6 +173,10 @@ QUERIES: dict[str, Query] = {
         lambda t: ag.compute_stats(t.labels.select((F.col("toxic") == 1).alias("b")), "b").select("stats.*"),
         "SELECT 'Boolean' AS columntype, count(*) FILTER (toxic = 1) AS counttrues, "
         "count(*) FILTER (toxic <> 1) AS countfalses, count(*) FILTER (toxic IS NULL) AS countnulls FROM labels"),
+    "agg_compute_stats_binary": query(
+        lambda t: ag.compute_stats(t.documents.select(F.encode("text", "utf-8").alias("b")), "b").select("stats.*"),
+        "SELECT 'Binary' AS columntype, CAST(max(octet_length(encode(text))) AS INT) AS maxlength, "
+        "avg(octet_length(encode(text))) AS avglength, count(*) FILTER (text IS NULL) AS countnulls FROM documents"),
     "agg_compute_stats_estimated": query(
         lambda t: ag.compute_stats(t.lineitem, "l_partkey").select("stats.*").crossJoin(
             t.lineitem.agg(F.count_distinct("l_partkey").alias("exact"))).select(

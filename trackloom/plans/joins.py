@@ -103,3 +103,18 @@ for _name, _preserve in {
     "outer_two": (True, False, True), "one": (True, False, False),
 }.items():
     QUERIES[f"join_unique_preserve_{_name}"] = query(_unique(_preserve), _unique_sql(_preserve))
+
+
+def _unique_two_keys(t):
+    """Customers and suppliers by nation and rest of their number; unmatched customers stay."""
+    a = t.customer.selectExpr("c_nationkey AS n", "nullif(c_custkey % 10, 3) AS r", "c_custkey AS id")
+    b = t.supplier.selectExpr("s_nationkey AS n", "s_suppkey % 10 AS r", "s_suppkey AS id")
+    return unique_join([UniqueSource(a, ["n", "r"], True), UniqueSource(b, ["n", "r"], True)], ("a_", "b_"))
+
+
+QUERIES["join_unique_two_keys"] = query(
+    _unique_two_keys,
+    "WITH a AS (SELECT c_nationkey AS n, nullif(c_custkey % 10, 3) AS r, c_custkey AS id FROM customer), "
+    "b AS (SELECT s_nationkey AS n, s_suppkey % 10 AS r, s_suppkey AS id FROM supplier) "
+    "SELECT a.n AS a_n, a.r AS a_r, a.id AS a_id, b.n AS b_n, b.r AS b_r, b.id AS b_id "
+    "FROM a FULL JOIN b ON a.n = b.n AND a.r = b.r")

@@ -70,6 +70,10 @@ QUERIES: dict[str, Query] = {
         same_sql("SELECT count(*) AS n, count(DISTINCT l.o_orderkey) AS d, count(o.o_orderkey) AS known FROM "
                  "(SELECT o_orderkey FROM {orders} LIMIT 25) l LEFT JOIN {orders} o ON l.o_orderkey = o.o_orderkey").run,
         "SELECT least(count(*), 25) AS n, least(count(*), 25) AS d, least(count(*), 25) AS known FROM orders"),
+    "limit_minimum_rows": query(
+        # The first 40 customers, of whom there must be ten.
+        lambda t: sampling.limit_at_least(t.customer.select("c_custkey", "c_name").orderBy("c_custkey"), 40, 10),
+        "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 40"),
     "union_all": same_sql(
         "SELECT k, count(*) AS n FROM (SELECT c_nationkey AS k FROM {customer} UNION ALL "
         "SELECT s_nationkey AS k FROM {supplier}) GROUP BY k"),

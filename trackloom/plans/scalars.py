@@ -231,6 +231,26 @@ QUERIES: dict[str, Query] = {
             fn.size(F.when(F.col("vec_id") < 0, F.col("embedding"))).alias("none")),
         "SELECT vec_id, CAST(len(embedding) AS INT) AS n, CAST(embedding[4] AS DOUBLE) AS i, CAST(embedding[10000] AS DOUBLE) AS \"out\", "
         "true AS c, CAST(list_min(embedding) AS DOUBLE) AS lo, -1 AS \"none\" FROM embeddings"),
+    "scalar_index_of_map": query(
+        lambda t: t.customer.select("c_custkey", F.create_map(
+            F.col("c_mktsegment"), F.col("c_nationkey"), F.lit("key"), F.col("c_nationkey") + 100).alias("m")).select(
+            "c_custkey", fn.index("m", F.lit("MACHINERY"), of_map=True).alias("segment"),
+            fn.index("m", F.lit("key"), of_map=True).alias("k")),
+        "SELECT c_custkey, CASE WHEN c_mktsegment = 'MACHINERY' THEN c_nationkey END AS segment, c_nationkey + 100 AS k FROM customer"),
+    "scalar_format_number_decimals": both(
+        "SELECT o_orderkey, format_number(o_totalprice, 2) AS two, format_number(-o_totalprice, 4) AS four FROM {orders}",
+        "SELECT o_orderkey, format('{:,.2f}', o_totalprice) AS two, format('{:,.4f}', -o_totalprice) AS four FROM orders"),
+    "scalar_bitmap_empty_groups": query(
+        # Parts a supplier sold singly against parts sold in fifties: some blocks meet in no bit.
+        lambda t: bitmaps.intersection(
+            bitmaps.build(t.lineitem.filter("l_quantity = 1"), "l_partkey", ["l_suppkey"]),
+            bitmaps.build(t.lineitem.filter("l_quantity = 50"), "l_partkey", ["l_suppkey"]), ["l_suppkey"]).select(
+            "l_suppkey", "bucket", bitmaps.is_empty().alias("empty")),
+        "WITH x AS (SELECT DISTINCT l_suppkey, l_partkey, l_quantity, CASE WHEN l_partkey > 0 THEN (l_partkey - 1) // 32768 + 1 "
+        "ELSE 0 END AS bucket FROM lineitem WHERE l_quantity IN (1, 50)), k AS (SELECT l_suppkey, bucket FROM x "
+        "GROUP BY ALL HAVING count(DISTINCT l_quantity) = 2), m AS (SELECT DISTINCT l_suppkey, bucket FROM (SELECT l_suppkey, "
+        "bucket, l_partkey FROM x GROUP BY ALL HAVING count(*) = 2)) "
+        "SELECT k.l_suppkey, k.bucket, m.bucket IS NULL AS empty FROM k LEFT JOIN m USING (l_suppkey, bucket)"),
     "scalar_maps_and_structs": query(
         lambda t: t.nation.select(
             "n_nationkey",

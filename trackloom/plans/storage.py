@@ -214,6 +214,69 @@ def _partition_commands(t: Tables):
     return t.spark.sql(f"SHOW PARTITIONS {name}")
 
 
+def _partitions_changed(t: Tables):
+    """Partitions that appear in the folder are found; others are added, renamed and dropped."""
+    name, path, aside = f"parts_{uuid.uuid4().hex}", scratch(t), scratch(t)
+    rows = t.nation.select("n_nationkey", "n_regionkey")
+    rows.filter("n_regionkey < 2").write.partitionBy("n_regionkey").option("path", path).saveAsTable(name)
+    rows.filter("n_regionkey = 2").drop("n_regionkey").write.parquet(f"{path}/n_regionkey=2")
+    rows.filter("n_regionkey = 3").drop("n_regionkey").write.parquet(aside)
+    t.spark.sql(f"MSCK REPAIR TABLE {name}")
+    t.spark.sql(f"ALTER TABLE {name} ADD PARTITION (n_regionkey = 3) LOCATION '{aside}'")
+    t.spark.sql(f"ALTER TABLE {name} PARTITION (n_regionkey = 0) RENAME TO PARTITION (n_regionkey = 10)")
+    t.spark.sql(f"ALTER TABLE {name} DROP PARTITION (n_regionkey = 1)")
+    return t.spark.table(name)
+
+
+def _access_log(t: Tables):
+    """A line per page: its number as the request, sizes that are missing now and then."""
+    line = F.format_string(
+        'owner pages [01/Jan/2024:00:00:00 +0000] 10.0.0.1 - r%d REST.GET.OBJECT p/%d "GET %s HTTP/1.1" %d - %s %d 7 3 "-" "agent, one"',
+        "page_id", "page_id", "url", F.col("page_id") % 5 * 100 + 100,
+        F.when(F.col("page_id") % 4 == 0, F.lit("-")).otherwise(F.length("html").cast("string")), F.length("html"))
+    path = _written(t, t.pages.select(line.alias("value")), lambda d, p: d.write.text(p))
+    return text.read_access_log(t.spark, path, typed=True).select(
+        "requestid", "operation", "rkey", "requesturi", "httpstatus", "bytessent", "objsize", "totaltime", "useragent")
+
+
+def _json_values(t: Tables):
+    source = t.nation.select(
+        "n_nationkey", F.array("n_name", F.lit('q"x')).alias("names"),
+        F.struct(F.col("n_regionkey").alias("region")).alias("place"), F.lit(None).cast("string").alias("none"))
+    return t.spark.read.text(_written(t, source, lambda d, p: text.write_json_values(d, p, "|")))
+
+
+def _binary(t: Tables):
+    """Whole files: as many bytes as the texts and their line ends have."""
+    path = _written(t, t.customer.select("c_name").repartition(4), lambda d, p: d.write.text(p))
+    return files.read_binary(t.spark, path).agg(
+        F.sum("length").alias("bytes"), F.sum(F.length("content")).cast("bigint").alias("content"))
+
+
+def _sequence_nulls(t: Tables):
+    source = t.customer.selectExpr("nullif(c_custkey % 7, 0) AS k", "IF(c_custkey % 5 = 0, NULL, c_name) AS v")
+    return files.read_sequence(t.spark, _written(t, source, lambda d, p: files.write_sequence(d, "k", "v", p)))
+
+
+def _peaks(t: Tables):
+    from trackloom.plans.tracks import a_track
+
+    source = a_track(t).select(
+        "chr", "chrstart", "chrend", F.lit("peak").alias("name"), F.lit(5).alias("score"), F.lit("+").alias("strand"),
+        "value", F.lit(-1.0).alias("p"), F.lit(0.5).alias("q"), F.lit(3).alias("peak"))
+    return tracks.read_narrow_peaks(t.spark, _written(t, source, tracks.write_bed))
+
+
+def _annotation(t: Tables):
+    from trackloom.plans.tracks import a_track
+
+    source = a_track(t).select(
+        F.concat_ws("\t", "chr", F.lit("made"), F.lit("exon"), "chrstart", "chrend", F.lit("."), F.lit("-"), F.lit("."), F.concat(
+            F.lit('gene_id "g'), F.col("chrstart"), F.lit('"; name "a b";'))).alias("value"))
+    path = _written(t, source, lambda d, p: d.write.text(p))
+    return tracks.read_annotation(t.spark, path).select("chr", "feature", "chrstart", "chrend", "strand", "attributes")
+
+
 def _bed(t: Tables):
     from trackloom.plans.tracks import a_track
 
@@ -226,6 +289,29 @@ QUERIES: dict[str, Query] = {
         _bed, "SELECT 'chr' || (l_suppkey % 5 + 1) AS chr, l_orderkey * 10 + l_linenumber AS chrstart, "
         "l_orderkey * 10 + l_linenumber + CAST(l_quantity AS BIGINT) AS chrend, l_extendedprice / 1000 AS value "
         "FROM lineitem WHERE l_linestatus = 'O'"),
+    "storage_peaks": query(
+        _peaks, "SELECT 'chr' || (l_suppkey % 5 + 1) AS chr, l_orderkey * 10 + l_linenumber AS chrstart, "
+        "l_orderkey * 10 + l_linenumber + CAST(l_quantity AS BIGINT) AS chrend, 'peak' AS name, 5 AS score, '+' AS strand, "
+        "l_extendedprice / 1000 AS value, -1.0::DOUBLE AS p, 0.5::DOUBLE AS q, 3 AS peak FROM lineitem WHERE l_linestatus = 'O'"),
+    "storage_annotation": query(
+        _annotation, "SELECT 'chr' || (l_suppkey % 5 + 1) AS chr, 'exon' AS feature, l_orderkey * 10 + l_linenumber AS chrstart, "
+        "l_orderkey * 10 + l_linenumber + CAST(l_quantity AS BIGINT) AS chrend, '-' AS strand, "
+        "'gene_id \"g' || (l_orderkey * 10 + l_linenumber) || '\"; name \"a b\";' AS attributes FROM lineitem WHERE l_linestatus = 'O'"),
+    "storage_access_log": query(
+        _access_log, "SELECT 'r' || page_id AS requestid, 'REST.GET.OBJECT' AS operation, 'p/' || page_id AS rkey, "
+        "'GET ' || url || ' HTTP/1.1' AS requesturi, page_id % 5 * 100 + 100 AS httpstatus, "
+        "CASE WHEN page_id % 4 <> 0 THEN length(html) END AS bytessent, length(html) AS objsize, "
+        "7::BIGINT AS totaltime, 'agent, one' AS useragent FROM pages"),
+    "storage_json_values": query(
+        _json_values, "SELECT n_nationkey || '|[\"' || n_name || '\",\"q\\\"x\"]|{\"region\":' || n_regionkey || '}|\\N' AS value FROM nation"),
+    "storage_binary_files": query(
+        _binary, "SELECT CAST(sum(length(c_name) + 1) AS BIGINT) AS bytes, CAST(sum(length(c_name) + 1) AS BIGINT) AS content FROM customer"),
+    "storage_sequence_nulls": query(
+        _sequence_nulls, "SELECT CAST(nullif(c_custkey % 7, 0) AS VARCHAR) AS key, CASE WHEN c_custkey % 5 <> 0 THEN c_name END AS value "
+        "FROM customer"),
+    "storage_partitions_changed": query(
+        _partitions_changed, "SELECT n_nationkey, CASE WHEN n_regionkey = 0 THEN 10 ELSE n_regionkey END AS n_regionkey FROM nation "
+        "WHERE n_regionkey IN (0, 2, 3)"),
     "storage_delimited_nested": query(_delimited, _FLAT_SQL),
     "storage_delimited_deep": query(
         _delimited_deep,

@@ -238,6 +238,14 @@ def _exclusive(vm: str) -> Query:
 QUERIES["track_exclusive"] = _exclusive("each")
 QUERIES["track_exclusive_total"] = _exclusive("total")
 
+QUERIES["track_exclusive_metadata"] = query(
+    lambda t: overlap.exclusive_join(
+        line_track(t, "O", metadata=("l_returnflag", "l_partkey")), b_track(t), "each", metadata=True),
+    f"WITH a AS ({line_track_sql('O', more=', l_returnflag, l_partkey')}), b AS ({line_track_sql('F')}), {merged_sql('b')}, {_GAPS} "
+    "SELECT f.chr, f.s AS chrstart, f.e AS chrend, a.value, a.l_returnflag AS a_l_returnflag, a.l_partkey AS a_l_partkey FROM f JOIN a "
+    "ON a.chr = f.chr AND a.chrstart = f.chrstart AND a.chrend = f.chrend WHERE f.s <= f.e",
+)
+
 _LOCATION_SQL = {
     "overlaps": "a.chrstart <= b.chrend AND a.chrend >= b.chrstart",
     "contains": "a.chrstart <= b.chrstart AND a.chrend >= b.chrend",
@@ -420,6 +428,20 @@ def _sql_functions(t: Tables) -> DataFrame:
         f"WHERE follows({whole}, {spot}) AND interval_length({whole}) > 20", a=a_track(t))
 
 
+def _sql_prefix_suffix(t: Tables) -> DataFrame:
+    iv.register_sql_functions(t.spark)
+    whole = "named_struct('chr', chr, 'chrstart', chrstart, 'chrend', chrend)"
+    longer = "named_struct('chr', chr, 'chrstart', chrstart, 'chrend', chrstart + 20)"
+    later = "named_struct('chr', chr, 'chrstart', chrend - 20, 'chrend', chrend)"
+    return t.spark.sql(
+        f"SELECT chr, chrstart, chrend, prefix_of({whole}, {longer}) AS p, suffix_of({whole}, {later}) AS s FROM {{a}}",
+        a=a_track(t))
+
+
+QUERIES["track_sql_prefix_suffix"] = query(
+    _sql_prefix_suffix,
+    f"{WITH_A} SELECT chr, chrstart, chrend, chrend - chrstart <= 20 AS p, chrend - chrstart <= 20 AS s FROM a",
+)
 QUERIES["track_sql_functions"] = query(
     _sql_functions,
     f"{WITH_A} SELECT chr, chrstart, chrend, {A_LEN} AS length, chrstart - 2012 AS distance FROM a "

@@ -29,6 +29,11 @@ def _single(text: str) -> str:
 QUERIES: dict[str, Query] = {
     "window_row_number": same_sql(
         f"SELECT o_custkey, o_orderkey, row_number() OVER ({_W}) AS rn {_PLACED}"),
+    "window_distribute_sort": Query(
+        same_sql("SELECT o_custkey, o_orderkey, row_number() OVER (DISTRIBUTE BY o_custkey SORT BY o_orderdate, o_orderkey) AS rn, "
+                 "sum(o_orderkey) OVER (PARTITION BY o_custkey SORT BY o_orderkey) AS upto FROM {orders}").run,
+        "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn, "
+        "CAST(sum(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS BIGINT) AS upto FROM orders"),
     "window_ranks": same_sql(
         "SELECT p_brand, p_partkey, rank() OVER w AS r, dense_rank() OVER w AS dr, "
         "percent_rank() OVER w AS pr, cume_dist() OVER w AS cd FROM {part} "

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackloom.sources.text import NULL_MARK
+
 
 def read_symlinks(spark: SparkSession, link_files: str | list[str], format: str = "text", **options) -> DataFrame:
     """Read the files named, one per line, in text files.
@@ -16,13 +18,18 @@ def read_symlinks(spark: SparkSession, link_files: str | list[str], format: str
 
 
 def write_sequence(df: DataFrame, key: str, value: str, path: str) -> None:
-    """Key / value pairs of text as a sequence file."""
-    pairs = df.select(F.col(key).cast("string"), F.col(value).cast("string"))
+    """Key / value pairs of text as a sequence file.
+
+    All records of a file are of one class, so NULL is written as the mark of NULL.
+    """
+    pairs = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit(NULL_MARK)) for c in (key, value)])
     pairs.rdd.map(lambda row: (row[0], row[1])).saveAsSequenceFile(path)
 
 
 def read_sequence(spark: SparkSession, path: str) -> DataFrame:
-    return spark.createDataFrame(spark.sparkContext.sequenceFile(path), "key string, value string")
+    """Pairs of text; records without a key or value, and the mark of NULL, give NULL."""
+    pairs = spark.createDataFrame(spark.sparkContext.sequenceFile(path), "key string, value string")
+    return pairs.select(*[F.nullif(F.col(c), F.lit(NULL_MARK)).alias(c) for c in pairs.columns])
 
 
 def read_binary(spark: SparkSession, path: str) -> DataFrame:

@@ -20,6 +20,8 @@ ACCESS_LOG_FIELDS = (
     "referer", "useragent",
 )
 
+ACCESS_LOG_COUNTS = ("httpstatus", "bytessent", "objsize", "totaltime", "turnaroundtime")
+
 
 def _quoted(separator: str) -> str:
     """A separator as a regular expression that matches it literally."""
@@ -170,8 +172,10 @@ def read_regex(
         F.when(matches, F.regexp_extract(line, pattern, i + 1)).alias(n) for i, n in enumerate(names)])
 
 
-def read_access_log(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return read_regex(spark, path, ACCESS_LOG, ACCESS_LOG_FIELDS)
+def read_access_log(spark: SparkSession, path: str | list[str], typed: bool = False) -> DataFrame:
+    """All fields as text, or the counts among them as whole numbers when ``typed`` (``-`` is NULL)."""
+    log = read_regex(spark, path, ACCESS_LOG, ACCESS_LOG_FIELDS)
+    return log.withColumns({c: F.expr(f"try_cast({c} AS bigint)") for c in ACCESS_LOG_COUNTS}) if typed else log
 
 
 def read_base64(spark: SparkSession, path: str | list[str]) -> DataFrame:
