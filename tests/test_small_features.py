@@ -1,7 +1,6 @@
 """Cases of small features that the named queries do not reach."""
 
 import pytest
-from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from trackloom.operators import sampling
@@ -12,7 +11,7 @@ def test_limit_with_a_minimum(spark):
     assert sampling.limit_at_least(spark.range(100), 7, 100).count() == 7
     assert sampling.limit_at_least(spark.range(0), 7, 0).count() == 0
     for rows in (0, 9):
-        with pytest.raises(PySparkException, match="fewer than 10 rows"):
+        with pytest.raises(Exception, match="fewer than 10 rows"):
             sampling.limit_at_least(spark.range(rows), 7, 10).collect()
 
 

@@ -64,7 +64,7 @@ def block_sample(spark: SparkSession, path: str, percent: float, seed: int = 0,
 def limit_at_least(df: DataFrame, rows: int, least: int) -> DataFrame:
     """The first ``rows`` rows; the query fails when the table has fewer than ``least``.
 
-    The check reads ``least`` rows at most and runs as a scalar subquery of the result.
+    The check reads ``least`` rows at most and runs as a scalar subquery before the result does.
     """
     short = F.raise_error(F.lit(f"fewer than {least} rows"))
     enough = df.limit(least).agg(F.when(F.count(F.lit(1)) < least, short).otherwise(F.lit(True)).alias("enough"))
