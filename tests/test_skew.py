@@ -213,3 +213,13 @@ def test_unique_join_with_hot_and_null_keys(spark):
         for place, (rows, keep) in enumerate(zip((a, b, c), preserve)):
             wanted += [(*[None] * 2 * place, *r, *[None] * (4 - 2 * place)) for r in rows if r[0] is None and keep]
         assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, wanted))
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_approximate_count_keeps_no_registers_per_key(spark, folder):
+    plan = plan_of(all_queries()["agg_approx_distinct"].run(spark, folder))
+    counting = [line for line in plan.splitlines() if "approx_count_distinct" in line]
+    assert counting and all("keys=[]" in line for line in counting)
