@@ -223,3 +223,11 @@ def test_approximate_count_keeps_no_registers_per_key(spark, folder):
     plan = plan_of(all_queries()["agg_approx_distinct"].run(spark, folder))
     counting = [line for line in plan.splitlines() if "approx_count_distinct" in line]
     assert counting and all("keys=[]" in line for line in counting)
+
+
+def test_salted_copies_are_not_broadcast(spark):
+    from trackloom.operators.joins import salted_join
+
+    big, small = spark.range(1000).withColumnRenamed("id", "k"), spark.range(10).withColumnRenamed("id", "k")
+    plan = plan_of(salted_join(big, small, ["k"], 8))
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

@@ -89,7 +89,8 @@ def salted_join(
     salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)).cast("int")
     spread = big.withColumn("_salt", salt)
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return spread.join(copies, [*keys, "_salt"], how).drop("_salt")
+    # Size estimates do not see the copies, so a broadcast planned from them would be unchecked.
+    return spread.join(copies.hint("merge"), [*keys, "_salt"], how).drop("_salt")
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], share: float = 0.01, tracked: int = 4096) -> DataFrame:
