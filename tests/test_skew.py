@@ -231,3 +231,23 @@ def test_salted_copies_are_not_broadcast(spark):
     big, small = spark.range(1000).withColumnRenamed("id", "k"), spark.range(10).withColumnRenamed("id", "k")
     plan = plan_of(salted_join(big, small, ["k"], 8))
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_blocks_of_bits_are_made_after_the_shuffle(spark):
+    from trackloom.functions import bitmaps
+
+    rows = spark.range(4000).selectExpr("id % 50 AS k", "id * 977 AS n")
+    odd = spark.createDataFrame([(None, 5), (None, 5), (3, None), (3, None), (None, None)], "k long, n long")
+    a, b = (bitmaps.build(d.unionByName(odd), "n", ["k"]) for d in (rows, rows.filter("n % 3 = 0")))
+    met = bitmaps.intersection(a, b, ["k"])
+    lines = plan_of(met).splitlines()
+    made = max(i for i, line in enumerate(lines) if "bitmap_construct_agg" in line)
+    shuffles = [i for i, line in enumerate(lines) if "Exchange" in line]
+    # No block passes a shuffle, and partitions are not joined by the bytes their rows take before they are blocks.
+    first = min(i for i, line in enumerate(lines) if "bitmap_construct_agg" in line)
+    assert not [i for i in shuffles if i < first] and "REPARTITION_BY_NUM" in "".join(lines[first:made + 4])
+    want = {}
+    for k, n in [(i % 50, i * 977) for i in range(4000) if i * 977 % 3 == 0] + [tuple(r) for r in odd.collect()]:
+        want.setdefault((k, None if n is None else (n - 1) // 32768 + 1 if n > 0 else 0), set()).add(n)
+    got = {(r.k, r.bucket): r.n for r in met.selectExpr("k", "bucket", "bitmap_count(bitmap) AS n").collect()}
+    assert got == {key: len(found - {None}) for key, found in want.items()}
