@@ -251,3 +251,16 @@ def test_blocks_of_bits_are_made_after_the_shuffle(spark):
         want.setdefault((k, None if n is None else (n - 1) // 32768 + 1 if n > 0 else 0), set()).add(n)
     got = {(r.k, r.bucket): r.n for r in met.selectExpr("k", "bucket", "bitmap_count(bitmap) AS n").collect()}
     assert got == {key: len(found - {None}) for key, found in want.items()}
+
+
+def test_unique_join_splits_a_key_by_its_result(spark, monkeypatch):
+    from trackloom.operators import joins
+
+    monkeypatch.setattr(joins, "PART_ROWS", 1000, raising=False)
+    a = spark.range(500).selectExpr("1 AS k", "id")
+    b = spark.range(40).selectExpr("1 AS k", "id")
+    got = joins.unique_join(
+        [joins.UniqueSource(a, ["k"], True), joins.UniqueSource(b, ["k"], True)], ("a_", "b_"))
+    rows = got.select("a_id", "b_id", F.spark_partition_id().alias("task")).collect()
+    assert len(rows) == len({(r.a_id, r.b_id) for r in rows}) == 20000
+    assert len({r.task for r in rows}) >= 4

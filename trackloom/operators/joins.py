@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# Result rows of one key that one task makes, about.
+PART_ROWS = 1_000_000
+
+
 class UniqueSource(NamedTuple):
     """One input of :func:`unique_join`."""
 
@@ -52,20 +56,33 @@ def unique_join(sources: Sequence[UniqueSource], prefixes: Sequence[str]) -> Dat
 
 
 def _aligned(staged: list[DataFrame], prefixes: Sequence[str], keys: list[str], preserved: list[int]) -> DataFrame:
+    """Every kept key is dealt over parts of ``PART_ROWS`` result rows or so: the rows of the input that
+    has most of them go to one part each, those of the others to every part."""
     no_null = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
     flags = [F.lit(i).alias("_source") for i in range(len(staged))]
-    seen = reduce(DataFrame.unionByName, [
-        d.filter(no_null).select(*keys, flag).distinct() for d, flag in zip(staged, flags)])
-    there = seen.groupBy(*keys).agg(*[
-        F.max((F.col("_source") == i).cast("int")).alias(f"_has{i}") for i in range(len(staged))])
-    anyone = reduce(lambda a, b: a | b, [F.col(f"_has{i}") == 1 for i in preserved])
-    everyone = reduce(lambda a, b: a & b, [F.col(f"_has{i}") == 1 for i in range(len(staged))])
-    kept = there.filter(anyone | everyone)
+    seen = reduce(DataFrame.unionByName, [d.filter(no_null).select(*keys, flag) for d, flag in zip(staged, flags)])
+    counts = [F.count_if(F.col("_source") == i) for i in range(len(staged))]
+    there = seen.groupBy(*keys).agg(*[c.alias(f"_n{i}") for i, c in enumerate(counts)])
+    anyone = reduce(lambda a, b: a | b, [F.col(f"_n{i}") > 0 for i in preserved])
+    everyone = reduce(lambda a, b: a & b, [F.col(f"_n{i}") > 0 for i in range(len(staged))])
+    numbers = [F.col(f"_n{i}") for i in range(len(staged))]
+    most = F.greatest(*numbers)
+    # In double precision, as the product of many counts may exceed a long.
+    rows = reduce(lambda a, b: a * b, [F.greatest(n, F.lit(1)).cast("double") for n in numbers])
+    kept = there.filter(anyone | everyone).withColumns({
+        "_parts": F.least(F.ceil(rows / PART_ROWS), most).cast("int"),
+        "_dealt": F.array_position(F.array(*numbers), most) - 1})
+    part = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("_parts")).cast("int")
+    tasks = int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     padded = []
     for i, d in enumerate(staged):
-        lacking = kept.filter(F.col(f"_has{i}") == 0).select(*keys)
-        padded.append(d.join(kept.select(*keys), keys, "left_semi").unionByName(lacking, allowMissingColumns=True))
-    joined = reduce(lambda a, b: a.join(b, keys), padded)
+        lacking = kept.filter(F.col(f"_n{i}") == 0).select(*keys, "_parts", "_dealt")
+        rows = d.join(kept.select(*keys, "_parts", "_dealt"), keys).unionByName(lacking, allowMissingColumns=True)
+        chosen = F.when(F.col("_dealt") == i, F.array(part)).otherwise(F.sequence(F.lit(0), F.col("_parts") - 1))
+        # A number of partitions that is given: joined by their size, few would hold all of the result.
+        padded.append(rows.withColumn("_part", F.explode(chosen)).drop("_parts", "_dealt").repartition(
+            tasks, *keys, "_part"))
+    joined = reduce(lambda a, b: a.join(b.hint("merge"), [*keys, "_part"]), padded).drop("_part")
     # A NULL key matches nothing, so those rows need no join.
     for i in preserved:
         joined = joined.unionByName(staged[i].filter(~no_null), allowMissingColumns=True)
