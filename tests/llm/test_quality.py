@@ -113,3 +113,25 @@ def test_samples_are_bounded(spark):
 def test_plan_has_no_python(spark, folder):
     plan = QUERIES["op12_ngram_ratio"](spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan and "CartesianProduct" not in plan
+
+
+def test_all_labelled_rows_count(spark):
+    """No bound on the rows that fit, and the same scores whether their ids are broadcast or shuffled."""
+    labels = spark.range(40_000).selectExpr("id AS doc_id", "CAST(id % 8 > 0 AS int) AS quality", "0 AS toxic")
+    kinds = Counter(r.kind for r in quality_ratio._labelled(labels).select("kind").collect())
+    assert kinds["fit"] > 20_000 and kinds["good"] > 5_000 and kinds["poor"] == 5_000 and sum(kinds.values()) == 40_000
+    trusted = [crc32(str(k).encode()) % 4 > 0 for k in range(40_000)]
+    texts = spark.range(40_000).selectExpr("id AS doc_id", "IF(id % 8 > 0, 'good', 'poor') AS text").unionByName(
+        spark.createDataFrame([(None, "none")] * 3, "doc_id long, text string"))
+    found = []
+    for most in ("10m", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+        try:
+            found.append(quality_ratio.bucket_weights(texts, quality_ratio._labelled(labels), "text", 64, 1.0).first()[0])
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    n = sum(trusted[k] for k in range(40_000) if k % 8)
+    assert found[0] == found[1] and kinds["fit"] == n
+    good, none = (crc32(w) % 64 for w in (b"good", b"none"))
+    assert abs(found[0][good] - (log((n + 1) / (n + 64)) - log(35_001 / (40_003 + 64)))) < 1e-9
+    assert abs(found[0][none] - (log(1 / (n + 64)) - log(4 / (40_003 + 64)))) < 1e-9

@@ -20,9 +20,6 @@ from trackloom.llm.components import saved
 from trackloom.llm.words import SPACES
 
 BUCKETS = 1 << 14
-# Labelled rows that the target is fitted on and that the threshold is set with, of each
-# kind: bounds of the labelled sample only. The raw counts are those of all documents.
-FIT_ROWS, THRESHOLD_ROWS = 20_000, 5_000
 SMOOTHING = 1.0
 # Scores are compared with the threshold in steps of 1 / STEPS, within these bounds.
 STEPS, FARTHEST = 256, 8192
@@ -92,25 +89,38 @@ def _grams(docs: DataFrame, text: str, buckets: int) -> DataFrame:
         "pair": F.pmod(here * 1_000_003 + following, F.lit(buckets))}).drop("tokens", "place")
 
 
-def _labelled(labels: DataFrame, fit_rows: int, threshold_rows: int) -> DataFrame:
-    """(label_id, kind) of bounded samples, drawn by the check sum of the id: ``fit`` and ``good`` rows
-    are trusted, ``poor`` ones are not. An id with several labels has the worst of them."""
+def _labelled(labels: DataFrame, fit_rows: int | None = None, threshold_rows: int | None = None) -> DataFrame:
+    """(label_id, kind) of all labelled ids, or of as many as asked for, told apart by the check sum of the
+    id: ``fit`` and ``good`` rows are trusted, ``poor`` ones are not. An id with several labels has the
+    worst of them."""
     worst = labels.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(
         F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
     draw = F.crc32(F.col("label_id").cast("string").cast("binary"))
     good = (F.col("quality") == 1) & (F.col("toxic") == 0)
-    kinds = {"fit": (good & (draw % 4 != 0), fit_rows), "good": (good & (draw % 4 == 0), threshold_rows),
-             "poor": (F.col("quality") == 0, threshold_rows)}
-    found = [worst.filter(chosen).orderBy(draw, "label_id").limit(rows).select("label_id", F.lit(kind).alias("kind"))
-             for kind, (chosen, rows) in kinds.items()]
-    return saved(found[0].unionByName(found[1]).unionByName(found[2]))
+    kind = F.when(F.col("quality") == 0, "poor").when(good & (draw % 4 == 0), "good").when(good, "fit")
+    told = worst.select("label_id", draw.alias("draw"), kind.alias("kind")).filter("kind IS NOT NULL")
+    if fit_rows is None and threshold_rows is None:
+        return saved(told.select("label_id", "kind"))
+    found = []
+    for one, rows in (("fit", fit_rows), ("good", threshold_rows), ("poor", threshold_rows)):
+        chosen = told.filter(F.col("kind") == one)
+        found.append(chosen if rows is None else chosen.orderBy("draw", "label_id").limit(rows))
+    return saved(reduce(DataFrame.unionByName, found).select("label_id", "kind"))
 
 
-def bucket_weights(docs: DataFrame, sample: DataFrame, text: str, buckets: int, smoothing: float) -> DataFrame:
+def _with_kind(rows: DataFrame, kinds: DataFrame) -> DataFrame:
+    """``rows`` with the kind of their id. Rows without an id have none and are dealt over the tasks.
+
+    Spark broadcasts few kinds; where there are many, the rows are shuffled once.
+    """
+    spare = F.when(F.col("doc_id").isNull(), 1 + F.pmod(F.monotonically_increasing_id(), F.lit(1024))).otherwise(F.lit(0))
+    keyed = kinds.withColumnsRenamed({"label_id": "doc_id"}).withColumn("spare_key", F.lit(0).cast("long"))
+    return rows.withColumn("spare_key", spare.cast("long")).join(keyed, ["doc_id", "spare_key"], "left").drop("spare_key")
+
+
+def bucket_weights(docs: DataFrame, kinds: DataFrame, text: str, buckets: int, smoothing: float) -> DataFrame:
     """One row with an array of the weights of all buckets."""
-    fit = sample.filter("kind = 'fit'").select("label_id", F.lit(1).alias("trusted"))
-    # The sample has a fixed number of rows at most, whatever the labels hold.
-    marked = docs.join(F.broadcast(fit), F.col("doc_id") == F.col("label_id"), "left").select(text, "trusted")
+    marked = _with_kind(docs, kinds.filter("kind = 'fit'")).select(text, F.col("kind").alias("trusted"))
     grams = _grams(marked, text, buckets)
     each = grams.select("trusted", F.explode(F.array("single", "pair")).alias("bucket")).filter("bucket IS NOT NULL")
     counts = each.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("trusted").alias("target"))
@@ -169,31 +179,31 @@ def score_threshold(scores: DataFrame) -> DataFrame:
 
 
 def filter_quality(
-    docs: DataFrame, labels: DataFrame, text: str = "text", buckets: int = BUCKETS, fit_rows: int = FIT_ROWS,
-    threshold_rows: int = THRESHOLD_ROWS, smoothing: float = SMOOTHING,
+    docs: DataFrame, labels: DataFrame, text: str = "text", buckets: int = BUCKETS, fit_rows: int | None = None,
+    threshold_rows: int | None = None, smoothing: float = SMOOTHING,
 ) -> DataFrame:
     """Rows (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score,
     kept), one for each row of ``docs``.
 
     ``labels`` has (doc_id, quality, toxic); trusted texts have quality 1 and are not
-    toxic. ``fit_rows`` of them make the target, and ``threshold_rows`` others and as
-    many of quality 0 set the threshold; both are drawn by check sums of ids. Counts of
-    the corpus are those of all rows. ``kept`` is false if base_failed or the score is
-    below the threshold; without labels of both kinds there is no threshold.
+    toxic. Three quarters of them, told by check sums of ids, make the target; the others
+    and those of quality 0 set the threshold. All labelled rows are used unless
+    ``fit_rows`` and ``threshold_rows`` (of each kind) ask for fewer. Counts of the corpus
+    are those of all rows. ``kept`` is false if base_failed or the score is below the
+    threshold; without labels of both kinds there is no threshold.
 
     A null or empty text has no words and fails; a null id has no label; rows that share
     an id share its label and are judged apart; an empty table gives an empty result;
-    other columns are ignored. Texts are never shuffled, only counts of buckets and one
-    row for each document.
+    other columns are ignored. Counts of buckets and one row for each document are
+    shuffled, texts once where the labels are too many to be broadcast.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sample = _labelled(labels.select("doc_id", "quality", "toxic"), fit_rows, threshold_rows)
-    weights = saved(bucket_weights(rows, sample, "text", buckets, smoothing))
-    judged = rows.join(F.broadcast(sample.filter("kind <> 'fit'")), F.col("doc_id") == F.col("label_id"))
-    # No filter, which would be asked of all rows before the join with the sample.
-    kind = F.when(~F.col("base_failed"), F.col("kind")).alias("kind")
-    judged = with_word_counts(judged).select(kind, "text")
-    limit = saved(score_threshold(_scored(judged, weights, "text", buckets)))
-    scored = _scored(with_word_counts(rows), weights, "text", buckets)
+    kinds = _labelled(labels.select("doc_id", "quality", "toxic"), fit_rows, threshold_rows)
+    weights = saved(bucket_weights(rows, kinds, "text", buckets, smoothing))
+    # Every document is scored once, and the threshold is found among the scores.
+    scored = saved(_scored(with_word_counts(rows), weights, "text", buckets))
+    judged = scored.filter("NOT base_failed AND doc_id IS NOT NULL").select("doc_id", "score")
+    judged = judged.join(kinds.filter("kind <> 'fit'").withColumnsRenamed({"label_id": "doc_id"}), "doc_id")
+    limit = saved(score_threshold(judged))
     good = F.coalesce(F.col("score") >= limit.scalar() / STEPS, F.lit(True))
     return scored.withColumn("kept", ~F.col("base_failed") & good)
