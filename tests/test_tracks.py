@@ -177,8 +177,8 @@ def test_long_intervals_stay_few_rows(spark):
 @pytest.mark.parametrize("vd, vm", [("sum", "total"), ("avg", "total"), ("diff", "each"), ("quotient", "each"), ("right", "total")])
 def test_intersect_of_four_tracks(spark, vd, vm):
     """Every tuple once, also where several intervals of a tuple start together."""
-    given = [CASES_A + brute.random_track(3, 14, 60, 40, ["c1"]), CASES_B + brute.random_track(4, 14, 60, 40, ["c1"]),
-             CASES_A[:6] + brute.random_track(5, 14, 60, 40, ["c1"]), brute.random_track(6, 14, 60, 40, ["c1", "chrS"])]
+    given = [CASES_A + brute.random_track(3, 16, 60, 40, ["c1"]), CASES_B + brute.random_track(4, 16, 60, 40, ["c1"]),
+             CASES_A[:6] + brute.random_track(5, 16, 60, 40, ["c1"]), brute.random_track(6, 16, 60, 40, ["c1", "chrS"])]
     expected = []
     for found in itertools.product(*given):
         low, high = max(x[1] for x in found), min(x[2] for x in found)
