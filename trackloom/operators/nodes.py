@@ -11,16 +11,23 @@ distribution of starts and lengths.
 
 An interval of length L costs O(log L) rows, so a chromosome-long interval is a
 few dozen rows and not one row per bin.
+
+Joins that return pairs of rows shuffle far less by cells: aligned blocks at least as
+long as the interval, of which it touches two at most. All rows of a cell are compared,
+which is little work while one side has few rows there; so only cells with many rows are
+cut up into nodes as above, each on its own (:func:`in_cells`, :func:`cut_hot`).
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.operators.intervals import CHR, END, BEGIN
 
-NODE = "_node"
+NODE, CELL = "_node", "_node_cell"
 _LEVEL, _SLOT = "_level", "_slot"
 
 
@@ -58,11 +65,13 @@ def spread(
     cover_role: int = 0,
     point_role: int = 0,
     point_top: Column | None = None,
+    only: Column | None = None,
 ) -> DataFrame:
     """One row per node: the cover of ``[lo, hi]`` and / or the ancestors of a position.
 
     Next to a cover, ancestors go up to ``point_top``, the highest level of the
-    covers they are to meet, where that is lower than ``top``.
+    covers they are to meet, where that is lower than ``top``. Rows without ``only``
+    stay as they are, under the node -1.
 
     ``role`` keeps two different containment questions apart in the same join.
     The only generator runs over slot numbers; which node a slot stands for, if
@@ -73,7 +82,10 @@ def spread(
         # A cover uses no level above that of its own length, however long others are.
         own = F.floor((F.length(F.bin(F.greatest(cover[1] - cover[0] + 1, F.lit(1)))) - 1) / 2).cast("int")
         top = F.least(top, own if point is None else F.greatest(own, point_top))
-    numbered = df.withColumn(_SLOT, F.explode(F.sequence(F.lit(0), (top + 1) * slots - 1)))
+    numbers = F.sequence(F.lit(0), (top + 1) * slots - 1)
+    if only is not None:
+        numbers = F.when(only, numbers).otherwise(F.array(F.lit(0)))
+    numbered = df.withColumn(_SLOT, F.explode(numbers))
     level = F.call_function("div", F.col(_SLOT), F.lit(slots)).cast("int")
     which = F.col(_SLOT) % slots
     leveled = numbered.withColumns({_LEVEL: level, _SLOT: which})
@@ -104,8 +116,10 @@ def spread(
         else:
             reached = ancestor if point_top is None else F.when(level <= point_top, ancestor)
             node = node.otherwise(reached)
+    if only is not None:
+        node = F.when(only, node).otherwise(F.lit(-1).cast("bigint"))
     out = leveled.withColumn(NODE, node)
-    if cover is not None:
+    if cover is not None or only is not None:
         out = out.filter(F.col(NODE).isNotNull())
     else:
         # Never NULL: a join on the node then adds no filter to this branch. No node is -1.
@@ -113,6 +127,109 @@ def spread(
     return out.drop(_LEVEL, _SLOT, "_first", "_last")
 
 
+# A cell has 2 ** CELL_BITS positions, and 4 times as many from level to level.
+CELL_BITS = 7
+# Cells with more than HOT rows of the right side are cut up: the HOT_CELLS fullest ones, so that
+# their list is bounded. Any other holds at most HOT rows, or a part of 1 / HOT_CELLS of all.
+HOT, HOT_CELLS = 1024, 1 << 14
+
+
+def cell_level(lo: Column, hi: Column) -> Column:
+    """The lowest level whose cells are as long as ``[lo, hi]``; its first base alone if it has no end."""
+    return F.greatest(F.lit(0), F.floor((F.length(F.bin(F.greatest(lo, hi) - lo)) - CELL_BITS + 1) / 2).cast("int"))
+
+
+def _bit(level: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), level)
+
+
+def own_level(lo: Column, hi: Column) -> Column:
+    """The level of ``[lo, hi]`` as the only bit."""
+    return _bit(cell_level(lo, hi))
+
+
+def _below(level: Column) -> Column:
+    return _bit(level) - 1
+
+
+def cell_levels(df: DataFrame, lo: Column, hi: Column) -> Column:
+    """The levels that the intervals of a track have, as bits of a scalar subquery."""
+    level = F.when(lo.isNotNull(), cell_level(lo, hi))
+    return df.agg(F.coalesce(F.bit_or(_bit(level)), F.lit(0).cast("bigint")).alias("levels")).scalar()
+
+
+def in_cells(df: DataFrame, lo: Column, hi: Column, *levels: Column) -> DataFrame:
+    """One row per cell that ``[lo, hi]`` touches on ``levels``, given as bits, one number per role."""
+    span = F.greatest(F.length(F.bin(reduce(Column.bitwiseOR, levels))) * len(levels) - 1, F.lit(0))
+    slots = df.withColumn(_SLOT, F.explode(F.when(lo.isNotNull(), F.sequence(F.lit(0), span))))
+    level = F.call_function("div", F.col(_SLOT), F.lit(len(levels))).cast("int")
+    role = (F.col(_SLOT) % len(levels)).cast("bigint")
+    asked = levels[0] if len(levels) == 1 else F.when(role == 0, levels[0]).otherwise(levels[1])
+    slots = slots.filter(asked.bitwiseAND(_bit(level)) != 0)
+    bits = level * 2 + CELL_BITS
+    touched = slots.withColumn(CELL, F.explode(F.sequence(
+        _shift_right(lo, bits), _shift_right(F.greatest(lo, hi), bits))))
+    packed = F.shiftleft(F.col(CELL), 7).bitwiseOR(F.shiftleft(level.cast("bigint"), 1)).bitwiseOR(role)
+    return touched.withColumn(CELL, packed).drop(_SLOT)
+
+
+def overlap_cells(lo: Column, hi: Column, own: Column, other: Column) -> tuple[list[Column], list[Column]]:
+    """Levels and roles by which a left and a right interval meet on the higher of their two levels.
+
+    Role 0 has a left interval on its own level and all right ones up to it, role 1 a right one on its
+    own level and lower left ones. ``own`` and ``other`` are the levels of the left and the right track.
+    """
+    level = cell_level(lo, hi)
+    upto, none = _below(level + 1), F.lit(0).cast("bigint")
+    left = [F.when(other.bitwiseAND(upto) != 0, _bit(level)).otherwise(none), other.bitwiseAND(F.bitwise_not(upto))]
+    right = [own.bitwiseAND(F.bitwise_not(_below(level))),
+             F.when(own.bitwiseAND(_below(level)) != 0, _bit(level)).otherwise(none)]
+    return left, right
+
+
+def hot_cells(cells: DataFrame) -> DataFrame:
+    """``(cell, chr)`` of the fullest cells, a bounded list."""
+    counts = cells.filter(F.col(CHR).isNotNull()).groupBy(CELL, CHR).agg(F.count(F.lit(1)).alias("_rows"))
+    fullest = counts.filter(F.col("_rows") > HOT).orderBy(F.desc("_rows"), CELL, CHR).limit(HOT_CELLS)
+    return fullest.select(CELL, CHR, F.lit(True).alias("_hot"))
+
+
+def _cell_bits() -> Column:
+    return F.shiftright(F.col(CELL), 1).bitwiseAND(F.lit(63).cast("bigint")).cast("int") * 2 + CELL_BITS
+
+
+def in_cell(position: Column) -> Column:
+    """Whether a position lies in the cell of the row, so that a pair counts in one of its cells only."""
+    return _shift_right(position, _cell_bits()) == F.shiftright(F.col(CELL), 7)
+
+
+def cut_hot(
+    cells: DataFrame,
+    hot: DataFrame | None,
+    cover: tuple[Column, Column] | None = None,
+    point: Column | None = None,
+    cover_role: int = 0,
+    point_role: int = 0,
+) -> DataFrame:
+    """Rows of hot cells by the nodes of their part in the cell (see :func:`spread`), others as they are."""
+    if hot is None:
+        return cells.withColumn(NODE, F.lit(-1).cast("bigint"))
+    marked = cells.join(F.broadcast(hot), [CELL, CHR], "left")
+    low = F.call_function("shiftleft", F.shiftright(F.col(CELL), 7), _cell_bits())
+    high = low + _bit(_cell_bits()) - 1
+    top = F.call_function("div", _cell_bits(), F.lit(2)).cast("int")
+    if cover is not None:
+        cover = F.greatest(cover[0], low), F.when(cover[1].isNotNull(), F.least(cover[1], high))
+    if point is not None:
+        point = F.when(in_cell(point), point)
+    return spread(marked, top, cover, point, cover_role, point_role, top, F.col("_hot").isNotNull()).drop("_hot")
+
+
+def cell_join(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Join two tables of cells; rows that share a cell are candidates. Shuffled as in :func:`node_join`."""
+    return left.join(right.hint("merge"), [CELL, CHR, NODE])
+
+
 # Half lines of ranks are cut in runs of 4 ** RUN_LEVEL ranks and the blocks of what is left.
 RUN_LEVEL = 5
 

@@ -13,7 +13,9 @@ from trackloom.operators.intervals import (
     CHR, END, KEY, LOCATION, BEGIN, VALUE, Interval, distance, length, overlap_length,
 )
 from trackloom.operators.merge import coalesce_track
-from trackloom.operators.nodes import NODE, node_join, spread, top_level
+from trackloom.operators.nodes import (
+    CELL, NODE, cell_join, cell_levels, cut_hot, hot_cells, in_cell, in_cells, overlap_cells, own_level,
+)
 from trackloom.operators.scans import following
 
 
@@ -31,23 +33,39 @@ def overlap_join(a: DataFrame, b: DataFrame, reach: int = 0) -> DataFrame:
     """All pairs of overlapping intervals: ``chr``, ``a_*`` and ``b_*`` columns.
 
     Two intervals overlap when either b starts inside a, or a starts inside b
-    after b's first base; exactly one of the two holds. Both are containment
-    questions, answered together by one equi-join on ``(chr, node)`` that
-    produces result pairs only. ``reach`` widens a on both sides, which finds
-    the pairs at distance ``reach`` or less.
+    after b's first base; exactly one of the two holds. Pairs meet in cells on the
+    higher of their two levels, and count in the one where the second of them starts.
+    Cells that are full of b are cut up into nodes, which give result pairs only: there
+    both questions are answered together by an equi-join on ``(chr, node)``. ``reach``
+    widens a on both sides, which finds the pairs at distance ``reach`` or less.
     """
-    top_a, top_b = top_level(a), top_level(b)
-    if reach:
-        # Widening adds 2 * reach to a length: log4 grows by at most that many levels.
-        top_a = top_a + F.lit((2 * reach).bit_length() // 2 + 1)
-    top = F.greatest(top_a, top_b)
-    left = _prefixed(a, "a_")
-    right = _prefixed(b, "b_")
+    left, right = _prefixed(a, "a_"), _prefixed(b, "b_")
     lo, hi = F.col("a_" + BEGIN) - reach, F.col("a_" + END) + reach
-    left = spread(left, top, cover=(lo, hi), cover_role=0, point=lo, point_role=1, point_top=top_b)
-    right = spread(right, top, cover=(F.col("b_" + BEGIN) + 1, F.col("b_" + END)), cover_role=1,
-                   point=F.col("b_" + BEGIN), point_role=0, point_top=top_a)
-    return node_join(left, right).drop(NODE)
+    b_lo, b_hi = F.col("b_" + BEGIN), F.col("b_" + END)
+    used_a, used_b = cell_levels(left, lo, hi), cell_levels(right, b_lo, b_hi)
+    left = in_cells(left, lo, hi, *overlap_cells(lo, hi, used_a, used_b)[0])
+    right = in_cells(right, b_lo, b_hi, *overlap_cells(b_lo, b_hi, used_a, used_b)[1])
+    hot = hot_cells(right)
+    left = cut_hot(left, hot, cover=(lo, hi), cover_role=0, point=lo, point_role=1)
+    right = cut_hot(right, hot, cover=(b_lo + 1, b_hi), cover_role=1, point=b_lo, point_role=0)
+    met = cell_join(left, right).filter(in_cell(F.greatest(lo, b_lo)))
+    return met.filter(b_lo.between(lo, hi) | lo.between(b_lo + 1, b_hi)).drop(CELL, NODE)
+
+
+def containment_join(
+    points: DataFrame, at: Column, covers: DataFrame, lo: Column, hi: Column, disjoint: bool = False,
+) -> DataFrame:
+    """All pairs of a row of ``points`` and one of ``covers`` on its chromosome whose ``[lo, hi]`` holds ``at``.
+
+    Apart from the chromosome the two sides share no column. Of ``disjoint`` covers a cell
+    holds few, so none has to be cut up.
+    """
+    used = cell_levels(covers, lo, hi)
+    covers = in_cells(covers, lo, hi, own_level(lo, hi))
+    points = in_cells(points, at, at, used)
+    hot = None if disjoint else hot_cells(covers)
+    met = cell_join(cut_hot(points, hot, point=at), cut_hot(covers, hot, cover=(lo, hi)))
+    return met.filter(at.between(lo, hi)).drop(CELL, NODE)
 
 
 def location_join(a: DataFrame, b: DataFrame, predicate: str) -> DataFrame:
@@ -74,8 +92,7 @@ def location_join(a: DataFrame, b: DataFrame, predicate: str) -> DataFrame:
         # The first base of the inner interval lies in the outer one: one question.
         covers, points = (left, right) if predicate == "contains" else (right, left)
         lo, hi, at = (a_start, a_end, b_start) if predicate == "contains" else (b_start, b_end, a_start)
-        top = top_level(a if predicate == "contains" else b)
-        pairs = node_join(spread(covers, top, cover=(lo, hi)), spread(points, top, point=at)).drop(NODE)
+        pairs = containment_join(points, at, covers, lo, hi)
         return pairs.filter(test).select(CHR, *[c for c in (*left.columns, *right.columns) if c != CHR])
     if predicate == "coincides":
         return keyed(F.struct(a_start.alias("s"), a_end.alias("e")),
@@ -164,8 +181,6 @@ def intersect_many(
         tracks = [t.select(*KEY, *([VALUE] if vd else [])) for t in tracks]
     names = [f"t{n}_" for n in range(1, len(tracks) + 1)]
     sides = [_prefixed(t, name) for t, name in zip(tracks, names)]
-    tops = [top_level(t) for t in tracks]
-    covers = [spread(side, top, cover=(F.col(n + BEGIN), F.col(n + END))) for side, top, n in zip(sides, tops, names)]
     stretches = [coalesce_track(t.select(*KEY), merge_adjacent=True) for t in tracks]
     at = F.col("_at")
 
@@ -173,11 +188,9 @@ def intersect_many(
         found = sides[last].withColumn("_at", F.col(names[last] + BEGIN))
         others = [k for k in range(len(tracks)) if k != last]
         for k in others[1:]:
-            top = top_level(stretches[k])
-            covered = spread(stretches[k], top, cover=(F.col(BEGIN), F.col(END))).select(NODE, CHR)
-            found = node_join(spread(found, top, point=at), covered).drop(NODE)
+            found = containment_join(found, at, stretches[k], F.col(BEGIN), F.col(END), disjoint=True).drop(BEGIN, END)
         for k in others:
-            found = node_join(spread(found, tops[k], point=at), covers[k]).drop(NODE)
+            found = containment_join(found, at, sides[k], F.col(names[k] + BEGIN), F.col(names[k] + END))
             if k < last:
                 found = found.filter(F.col(names[k] + BEGIN) < at)
         return found
