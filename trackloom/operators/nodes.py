@@ -139,6 +139,13 @@ def cell_level(lo: Column, hi: Column) -> Column:
     return F.greatest(F.lit(0), F.floor((F.length(F.bin(F.greatest(lo, hi) - lo)) - CELL_BITS + 1) / 2).cast("int"))
 
 
+def known_end(lo: Column, hi: Column, top: Column) -> Column:
+    """``hi``; without one, the end of the blocks that follow ``lo`` up to level ``top``, as in :func:`spread`."""
+    bits = (top + 1) * 2
+    up = F.call_function("shiftleft", _shift_right(lo + _bit(bits) - 1, bits), bits)
+    return F.coalesce(hi, up - 1)
+
+
 def _bit(level: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), level)
 
@@ -219,7 +226,7 @@ def cut_hot(
     high = low + _bit(_cell_bits()) - 1
     top = F.call_function("div", _cell_bits(), F.lit(2)).cast("int")
     if cover is not None:
-        cover = F.greatest(cover[0], low), F.when(cover[1].isNotNull(), F.least(cover[1], high))
+        cover = F.greatest(cover[0], low), F.least(cover[1], high)
     if point is not None:
         point = F.when(in_cell(point), point)
     return spread(marked, top, cover, point, cover_role, point_role, top, F.col("_hot").isNotNull()).drop("_hot")

@@ -14,7 +14,7 @@ from trackloom.operators.intervals import (
 )
 from trackloom.operators.merge import coalesce_track
 from trackloom.operators.nodes import (
-    CELL, NODE, cell_join, cell_levels, cut_hot, hot_cells, in_cell, in_cells, overlap_cells, own_level,
+    CELL, NODE, cell_join, cell_levels, cut_hot, hot_cells, in_cell, in_cells, known_end, overlap_cells, own_level, top_level,
 )
 from trackloom.operators.scans import following
 
@@ -42,6 +42,10 @@ def overlap_join(a: DataFrame, b: DataFrame, reach: int = 0) -> DataFrame:
     left, right = _prefixed(a, "a_"), _prefixed(b, "b_")
     lo, hi = F.col("a_" + BEGIN) - reach, F.col("a_" + END) + reach
     b_lo, b_hi = F.col("b_" + BEGIN), F.col("b_" + END)
+    # Widening adds 2 * reach to a length: log4 grows by at most that many levels.
+    top_a = top_level(a) + (F.lit((2 * reach).bit_length() // 2 + 1) if reach else 0)
+    top = F.least(top_a, top_level(b))
+    hi, b_hi = known_end(lo, hi, top), known_end(b_lo + 1, b_hi, top)
     used_a, used_b = cell_levels(left, lo, hi), cell_levels(right, b_lo, b_hi)
     left = in_cells(left, lo, hi, *overlap_cells(lo, hi, used_a, used_b)[0])
     right = in_cells(right, b_lo, b_hi, *overlap_cells(b_lo, b_hi, used_a, used_b)[1])
@@ -60,6 +64,7 @@ def containment_join(
     Apart from the chromosome the two sides share no column. Of ``disjoint`` covers a cell
     holds few, so none has to be cut up.
     """
+    hi = known_end(lo, hi, F.lit(0))
     used = cell_levels(covers, lo, hi)
     covers = in_cells(covers, lo, hi, own_level(lo, hi))
     points = in_cells(points, at, at, used)
