@@ -135,3 +135,18 @@ def test_all_labelled_rows_count(spark):
     good, none = (crc32(w) % 64 for w in (b"good", b"none"))
     assert abs(found[0][good] - (log((n + 1) / (n + 64)) - log(35_001 / (40_003 + 64)))) < 1e-9
     assert abs(found[0][none] - (log(1 / (n + 64)) - log(4 / (40_003 + 64)))) < 1e-9
+
+
+def test_only_texts_with_a_trusted_label_are_shuffled(spark):
+    """Of 4,000 texts, with copies of ids and null ids, about the 30 that are trusted meet the labels."""
+    kinds = spark.range(0, 4000, 200).selectExpr("id AS label_id", "'fit' AS kind").unionByName(
+        spark.range(1, 4000, 200).selectExpr("id AS label_id", "'poor' AS kind"))
+    texts = spark.range(4000).selectExpr("id AS doc_id", "CAST(id AS string) AS text").unionByName(
+        spark.range(10).selectExpr("0L AS doc_id", "'again' AS text")).unionByName(
+        spark.range(10).selectExpr("CAST(null AS long) AS doc_id", "'none' AS text"))
+    marked = quality_ratio._with_trust(texts, "text", kinds)
+    found = Counter((r.text, r.trusted) for r in marked.collect())
+    wanted = Counter((str(k), "fit" if k % 200 == 0 else None) for k in range(4000))
+    assert found == wanted + Counter({("again", "fit"): 10, ("none", None): 10})
+    bits = quality_ratio._id_bits(kinds.filter("kind = 'fit'")).first()[0]
+    assert len(bits) == quality_ratio.FILTER_BITS // 64 and 10 < sum((b & (1 << 64) - 1).bit_count() for b in bits) <= 20

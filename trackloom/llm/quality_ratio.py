@@ -23,6 +23,8 @@ BUCKETS = 1 << 14
 SMOOTHING = 1.0
 # Scores are compared with the threshold in steps of 1 / STEPS, within these bounds.
 STEPS, FARTHEST = 256, 8192
+# Bits of the array that tells ids without a trusted label: 1 MB, whatever their number.
+FILTER_BITS = 1 << 23
 MIN_WORDS, MAX_REPEATED = 10, 20
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -108,19 +110,37 @@ def _labelled(labels: DataFrame, fit_rows: int | None = None, threshold_rows: in
     return saved(reduce(DataFrame.unionByName, found).select("label_id", "kind"))
 
 
-def _with_kind(rows: DataFrame, kinds: DataFrame) -> DataFrame:
-    """``rows`` with the kind of their id. Rows without an id have none and are dealt over the tasks.
+def _id_bits(ids: DataFrame) -> DataFrame:
+    """One row (bits): an array of FILTER_BITS bits, those of the check sums of all ids being set."""
+    place = F.pmod(F.xxhash64("label_id"), F.lit(FILTER_BITS))
+    words = ids.select(F.shiftright(place, 6).alias("slot"), F.call_function(
+        "shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
+    words = words.groupBy("slot").agg(F.bit_or("bit").alias("bits"))
+    whole = ids.sparkSession.range(FILTER_BITS >> 6).withColumnRenamed("id", "slot").join(words, "slot", "left")
+    row = whole.agg(F.array_sort(F.collect_list(F.struct("slot", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))).alias("all"))
+    return row.select(F.col("all.bits").alias("bits"))
 
-    Spark broadcasts few kinds; where there are many, the rows are shuffled once.
+
+def _with_trust(rows: DataFrame, text: str, kinds: DataFrame) -> DataFrame:
+    """The texts of ``rows`` and ``trusted``, which is null unless the id has the kind ``fit``.
+
+    Only rows whose id may have it, by a bit array of bounded size, are shuffled to the kinds;
+    the others, and rows without an id, stay where they are read.
     """
-    spare = F.when(F.col("doc_id").isNull(), 1 + F.pmod(F.monotonically_increasing_id(), F.lit(1024))).otherwise(F.lit(0))
-    keyed = kinds.withColumnsRenamed({"label_id": "doc_id"}).withColumn("spare_key", F.lit(0).cast("long"))
-    return rows.withColumn("spare_key", spare.cast("long")).join(keyed, ["doc_id", "spare_key"], "left").drop("spare_key")
+    fit = kinds.filter("kind = 'fit'")
+    table = saved(_id_bits(fit)).scalar()
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    word = F.call_function("shiftright", F.get(table, F.shiftright(place, 6).cast("int")), place.bitwiseAND(F.lit(63)).cast("int"))
+    maybe = F.col("doc_id").isNotNull() & (word.bitwiseAND(F.lit(1)) != 0)
+    asked = rows.filter(maybe).select("doc_id", text).join(
+        fit.withColumnsRenamed({"label_id": "doc_id"}).hint("merge"), "doc_id", "left")
+    spared = rows.filter(~maybe).select(text, F.lit(None).cast("string").alias("trusted"))
+    return asked.select(text, F.col("kind").alias("trusted")).unionByName(spared)
 
 
 def bucket_weights(docs: DataFrame, kinds: DataFrame, text: str, buckets: int, smoothing: float) -> DataFrame:
     """One row with an array of the weights of all buckets."""
-    marked = _with_kind(docs, kinds.filter("kind = 'fit'")).select(text, F.col("kind").alias("trusted"))
+    marked = _with_trust(docs, text, kinds)
     grams = _grams(marked, text, buckets)
     each = grams.select("trusted", F.explode(F.array("single", "pair")).alias("bucket")).filter("bucket IS NOT NULL")
     counts = each.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("trusted").alias("target"))
@@ -195,7 +215,7 @@ def filter_quality(
     A null or empty text has no words and fails; a null id has no label; rows that share
     an id share its label and are judged apart; an empty table gives an empty result;
     other columns are ignored. Counts of buckets and one row for each document are
-    shuffled, texts once where the labels are too many to be broadcast.
+    shuffled, and the texts with a trusted label once.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     kinds = _labelled(labels.select("doc_id", "quality", "toxic"), fit_rows, threshold_rows)
