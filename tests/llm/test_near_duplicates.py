@@ -1,6 +1,8 @@
+import os
 import random
+import time
 
-from trackloom.llm.components import connected_components
+from trackloom.llm.components import SHUFFLE_CLEANUP, connected_components, saved
 from trackloom.llm.minhash_join import LONG, _tile_pairs, near_duplicates
 from tests.llm import rows
 
@@ -108,3 +110,39 @@ def test_recall_at_the_threshold(spark):
     got = near_duplicates(frame, shingle=3, percent=85).collect()
     linked = sum(r.doc_id % 2 == 1 and r.component_id == r.doc_id - 1 for r in got)
     assert linked >= 4995 and all(r.component_id == r.doc_id for r in got if r.doc_id % 2 == 0)
+
+
+def shuffled(spark):
+    """Numbers of the shuffles that have files."""
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    names = [n for top in folders for _, _, found in os.walk(top) for n in found]
+    return {int(n.split("_")[1]) for n in names if n.startswith("shuffle_")}
+
+
+def left_of(spark, before, most):
+    """New shuffles with files; as removal is not waited for, after up to 20 seconds."""
+    for _ in range(100):
+        if len(left := shuffled(spark) - before) <= most:
+            break
+        time.sleep(0.2)
+    return left
+
+
+def test_saved_rows_leave_no_shuffle_files(spark):
+    was, before = spark.conf.get(SHUFFLE_CLEANUP), shuffled(spark)
+    frame = spark.range(1000).selectExpr("id % 7 AS k", "id").groupBy("k").count()
+    out = saved(frame)
+    assert not left_of(spark, before, 0)
+    assert spark.conf.get(SHUFFLE_CLEANUP) == was
+    expected = sorted((k, 143 - (k == 6)) for k in range(7))
+    for _ in range(2):
+        assert sorted(map(tuple, frame.collect())) == sorted(map(tuple, out.collect())) == expected
+    assert sorted(map(tuple, saved(frame.unionAll(frame)).collect())) == sorted(expected * 2)
+
+
+def test_steps_do_not_add_up_on_disk(spark):
+    """What stays are the two sums that number the bundles and what the last step reads."""
+    before = shuffled(spark)
+    got = near_duplicates(rows.documents(spark), shingle=5, percent=80)
+    assert len(left_of(spark, before, 4)) <= 4
+    assert got.count() == rows.documents(spark).count()

@@ -8,10 +8,29 @@ from pyspark.sql import functions as F
 from trackloom.session import checkpoint_folder
 
 
+# A session that has it on removes the shuffle files of an action when the action ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(frame: DataFrame) -> DataFrame:
-    """Cut the lineage: the rows go to the shared checkpoint folder of the session."""
-    checkpoint_folder(frame.sparkSession)
-    return frame.checkpoint(eager=True)
+    """Cut the lineage: the rows go to the shared checkpoint folder of the session.
+
+    Nothing reads the shuffle files behind them again, so those are removed at once and
+    not when the driver happens to collect its garbage: a chain of steps holds the disk
+    of one. ``frame`` itself keeps the session's setting and can be used again.
+    """
+    spark = frame.sparkSession
+    checkpoint_folder(spark)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        # The setting is read when a frame is made.
+        return frame.select("*").checkpoint(eager=True)
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
 
 
 def _flat(parents: DataFrame) -> DataFrame:
